@@ -2,41 +2,34 @@
 
 from pyspark.sql import DataFrame, types as T
 
-MONEY = T.DecimalType(18, 2)
-
-
-def _schema(ddl):
-    return T.StructType.fromDDL(ddl)
-
-
 CONTRACTS = {
-    "documents": _schema("member_key string, doc_id string, text string"),
-    "observations": _schema(
+    "documents": "member_key string, doc_id string, text string",
+    "observations": (
         "member_key string, party_key string, obs_date date, source string, "
         "amount decimal(18,2), note string, ord bigint"),
-    "asserted": _schema(
+    "asserted": (
         "member_key string, party_key string, account_id string, doj date, doe date, ord bigint"),
-    "deductors": _schema(
+    "deductors": (
         "member_key string, doc_id string, block_no bigint, name string, tan string, "
         "total_paid decimal(18,2), total_tds decimal(18,2)"),
-    "transactions": _schema(
+    "transactions": (
         "member_key string, doc_id string, block_no bigint, line_no int, section string, "
         "txn_date date, amount_paid decimal(18,2), tax_deducted decimal(18,2)"),
-    "contributions": _schema(
+    "contributions": (
         "member_key string, doc_id string, account_id string, month date, employee decimal(18,2), "
         "employer decimal(18,2), pension decimal(18,2), line_no int"),
-    "bank_rows": _schema(
+    "bank_rows": (
         "member_key string, doc_id string, line_no int, txn_date date, narration string, "
         "amount decimal(18,2), direction string"),
-    "claims": _schema(
+    "claims": (
         "member_key string, tracking_id string, form string, filed date, status string"),
-    "establishments": _schema(
+    "establishments": (
         "name string, code string, covered boolean, coverage_from date, ord bigint"),
-    "ledger": _schema(
+    "ledger": (
         "member_key string, kind string, value string, scope string, source string"),
 }
 
 
 def require(df: DataFrame, contract: str) -> DataFrame:
-    """Project to the contract's columns; a missing column fails while planning."""
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in CONTRACTS[contract]])
+    """Bring a table to its contract; a missing column fails while planning."""
+    return df.to(T.StructType.fromDDL(CONTRACTS[contract]))

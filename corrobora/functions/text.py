@@ -27,3 +27,8 @@ def first_match(text, pattern, group=1) -> Column:
 
 def blank_out(text, pattern) -> Column:
     return F.regexp_replace(text, pattern, " ")
+
+
+def strip(text) -> Column:
+    """White space of any kind removed from both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from corrobora.plans import evidence_queries  # noqa: F401
+from corrobora.plans import decision_queries, evidence_queries  # noqa: F401
 from corrobora.plans.registry import ORACLES, QUERIES  # noqa: F401
