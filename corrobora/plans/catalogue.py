@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from corrobora.plans import decision_queries, evidence_queries  # noqa: F401
+from corrobora.plans import (  # noqa: F401
+    decision_queries, document_queries, evidence_queries, linkage_queries,
+)
 from corrobora.plans.registry import ORACLES, QUERIES  # noqa: F401
