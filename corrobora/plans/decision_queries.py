@@ -1,16 +1,19 @@
 """Statements, decisions, plans and corrections over the order tables, with their SQL."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from corrobora.operators import (
-    corrections, detectors, envelopes, money, orphans, planning, statements, verdicts,
+    corrections, detectors, envelopes, letters, money, orphans, planning, statements, verdicts,
 )
 from corrobora.plans import adapters
 from corrobora.plans.evidence_queries import (
     AS_OF, ASR, DAY, FLAGS, FND, MEM, OBS, ORDERED, RECON, WIN, findings_of, inputs,
-    reconstructed, self_exit_window,
+    reconstructed, self_exit_window, settled_inputs,
 )
 from corrobora.plans.registry import query, with_ctes
+from corrobora.session import cut_lineage
 
 # ------------------------------------------------------------------ SQL pieces
 
@@ -435,9 +438,10 @@ SELECT member_key, mode, mode = 'manual' AND n_spellings <= 1 AND balance > 5000
        CAST(CASE WHEN mode = 'auto' THEN round(balance * 0.50, 2) ELSE 0 END AS DOUBLE) AS atm_limit
 FROM v""")
 def settlement_verdicts(spark, folder):
-    asserted = adapters.asserted(spark, folder)
+    tables = settled_inputs(spark, folder)
+    asserted = tables[2]
     status = verdicts.claim_status(
-        findings_of(spark, folder), adapters.members(spark, folder), asserted)
+        findings_of(spark, folder, tables), adapters.members(spark, folder), asserted)
     known = asserted.select("member_key").distinct().withColumn("checked", F.lit(True))
     members = (
         adapters.member_facts(spark, folder).join(status, "member_key")
@@ -479,16 +483,16 @@ SELECT member_key, unnest(['Form 31', 'Form 19', 'Form 10C']) AS form,
             ELSE 'eligible' END AS claim_verdict
 FROM gsum JOIN flags USING (member_key)""")
 def claim_form_status(spark, folder):
-    _, days, asserted = inputs(spark, folder)
-    flags = verdicts.checked_flags(days, asserted, adapters.members(spark, folder))
+    settled = _settled(spark, folder)
+    flags = verdicts.checked_flags(settled[1], settled[2], adapters.members(spark, folder))
     return money.claim_form_status(
-        planning.gate_summary(_gates(spark, folder)).join(flags, "member_key"))
+        planning.gate_summary(_gates(spark, folder, settled)).join(flags, "member_key"))
 
 
 # ------------------------------------------------------------- gates and plans
 
 
-def _gate_members(spark, folder, observations, days, asserted, found):
+def _gate_members(spark, folder, days, asserted, found):
     flags = verdicts.checked_flags(days, asserted, adapters.members(spark, folder))
     likely = found.filter(F.col("kind") == "ORPHAN_ACCOUNT").groupBy("member_key").agg(
         F.count(F.lit(1)).alias("likely_orphans"))
@@ -497,12 +501,15 @@ def _gate_members(spark, folder, observations, days, asserted, found):
         .join(likely, "member_key", "left").fillna(0, ["likely_orphans"]))
 
 
-def _gates(spark, folder, asserted=None):
-    observations, days, recorded = inputs(spark, folder)
-    asserted = recorded if asserted is None else asserted
-    found = detectors.all_findings(observations, asserted, AS_OF, days)
-    return planning.gates(
-        _gate_members(spark, folder, observations, days, asserted, found), found)
+def _settled(spark, folder):
+    """Evidence, record and findings, each written once."""
+    tables = settled_inputs(spark, folder)
+    return (*tables, cut_lineage(findings_of(spark, folder, tables)))
+
+
+def _gates(spark, folder, settled=None):
+    _, days, asserted, found = settled or _settled(spark, folder)
+    return planning.gates(_gate_members(spark, folder, days, asserted, found), found)
 
 
 @query("gates", with_ctes(GATE) + "SELECT *, gate = 'G11' AS advisory FROM gates")
@@ -522,8 +529,9 @@ def closed_parties(spark, folder):
         F.col("r_name").alias("party_key")).distinct()
 
 
-def _steps(spark, folder):
-    return planning.plan_steps(findings_of(spark, folder), closed_parties(spark, folder))
+def _steps(spark, folder, settled=None):
+    found = (settled or _settled(spark, folder))[3]
+    return planning.plan_steps(found, closed_parties(spark, folder))
 
 
 @query("plan_steps", with_ctes(STEP) + "SELECT * FROM step")
@@ -553,9 +561,10 @@ SELECT f.member_key,
 FROM flags f LEFT JOIN opening o ON o.member_key = f.member_key AND rn = 1
 LEFT JOIN lost ON lost.member_key = f.member_key""")
 def next_step(spark, folder):
-    _, days, asserted = inputs(spark, folder)
-    flags = verdicts.checked_flags(days, asserted, adapters.members(spark, folder))
-    return planning.next_step(_steps(spark, folder), flags, _gates(spark, folder))
+    settled = _settled(spark, folder)
+    flags = verdicts.checked_flags(settled[1], settled[2], adapters.members(spark, folder))
+    return planning.next_step(
+        _steps(spark, folder, settled), flags, _gates(spark, folder, settled))
 
 
 @query("notification_events", with_ctes(STEP, GATE, RECON, CLM) + f"""
@@ -574,9 +583,12 @@ FROM recon WHERE verdict = 'exit_missing'
 UNION ALL
 SELECT member_key, filed, 'Rejected', form, 0, 0, NULL FROM clm WHERE status = 'Claim Rejected'""")
 def notification_events(spark, folder):
-    plans = planning.plan_summary(_steps(spark, folder), adapters.members(spark, folder))
+    settled = _settled(spark, folder)
+    plans = planning.plan_summary(_steps(spark, folder, settled), adapters.members(spark, folder))
+    exits = envelopes.self_exit_window(
+        envelopes.reconstruct(settled[1], settled[2], settled[2]), AS_OF)
     return planning.notification_events(
-        planning.gate_summary(_gates(spark, folder)), plans, self_exit_window(spark, folder),
+        planning.gate_summary(_gates(spark, folder, settled)), plans, exits,
         adapters.claims(spark, folder), AS_OF)
 
 
@@ -616,8 +628,11 @@ def proposal_state(spark, folder):
     return corrections.proposal_state(adapters.proposals(spark, folder), _checks(spark, folder))
 
 
-def _ready(spark, folder):
-    return proposal_state(spark, folder).filter(F.col("state") == "ready")
+def _ready(spark, folder, days, asserted):
+    proposals = adapters.proposals(spark, folder)
+    state = corrections.proposal_state(
+        proposals, corrections.check_proposals(proposals, asserted, days))
+    return cut_lineage(state.filter(F.col("state") == "ready"))
 
 
 # the same SQL chain, over the record with ready dates in place
@@ -630,24 +645,70 @@ _OVERLAID = [("asr0", ASR[0][1])] + [
 
 @query("overlaid_record", with_ctes(_OVERLAID) + "SELECT * FROM asr")
 def overlaid_record(spark, folder):
-    return corrections.overlay(adapters.asserted(spark, folder), _ready(spark, folder))
+    _, days, asserted = inputs(spark, folder)
+    return corrections.overlay(asserted, _ready(spark, folder, days, asserted))
+
+
+def _corrected(spark, folder):
+    """Evidence and ready proposals, the record with them in place, and the findings it gives."""
+    observations, days, asserted = settled_inputs(spark, folder)
+    ready = _ready(spark, folder, days, asserted)
+    after = cut_lineage(corrections.overlay(asserted, ready))
+    found = cut_lineage(detectors.all_findings(observations, after, AS_OF, days))
+    return observations, days, asserted, ready, after, found
 
 
 @query("findings_after_corrections", with_ctes(_OVERLAID, FND) + f"""
 SELECT {', '.join(detectors.FINDING_COLUMNS)} FROM fnd
 WHERE member_key IN (SELECT member_key FROM prs WHERE state = 'ready')""")
 def findings_after_corrections(spark, folder):
-    observations, days, asserted = inputs(spark, folder)
-    ready = _ready(spark, folder)
-    after = detectors.all_findings(observations, corrections.overlay(asserted, ready), AS_OF, days)
-    return after.join(ready.select("member_key").distinct(), "member_key", "left_semi")
+    *_, ready, _, found = _corrected(spark, folder)
+    return found.join(ready.select("member_key").distinct(), "member_key", "left_semi")
+
 
+def _renamed(parts, suffix):
+    """A chain of SQL fragments under names of its own."""
+    names = "|".join(n for n, _ in parts)
+    again = lambda text: re.sub(rf"\b(?<!')({names})\b(?!\()", rf"\1{suffix}", text)
+    return [(n + suffix, again(b)) for n, b in parts]
 
-@query("gates_cleared")
+
+@query("gates_cleared", with_ctes(_renamed(GATE, "_now"), _OVERLAID, GATE) + """
+SELECT g.member_key, g.gate FROM gates_now g
+WHERE g.status = 'fail' AND g.gate <> 'G11'
+  AND g.member_key IN (SELECT member_key FROM prs WHERE state = 'ready')
+  AND (g.member_key, g.gate) NOT IN
+      (SELECT (member_key, gate) FROM gates WHERE status = 'fail' AND gate <> 'G11')""")
 def gates_cleared(spark, folder):
-    ready = _ready(spark, folder)
-    after = _gates(spark, folder, corrections.overlay(adapters.asserted(spark, folder), ready))
-    return corrections.gates_cleared(_gates(spark, folder), after, ready)
+    observations, days, asserted, ready, corrected, found = _corrected(spark, folder)
+    before = cut_lineage(detectors.all_findings(observations, asserted, AS_OF, days))
+    return corrections.gates_cleared(
+        _gates(spark, folder, (observations, days, asserted, before)),
+        _gates(spark, folder, (observations, days, corrected, found)), ready)
+
+
+@query("supporting_facts", with_ctes(FND, FACTS) + """
+, early AS (SELECT DISTINCT member_key, party_key FROM fnd WHERE kind = 'EXIT_TOO_EARLY')
+, facing AS (SELECT * FROM asr JOIN early USING (member_key, party_key))
+SELECT DISTINCT member_key, 'UAN' AS kind, coalesce(uan, '') AS value, NULL AS scope,
+       'passbook header' AS source FROM early JOIN facts USING (member_key)
+UNION ALL SELECT member_key, 'MEMBER_ID', account_id, party_key, 'passbook header' FROM facing
+UNION ALL SELECT member_key, 'DATE', strftime(doe, '%d-%m-%Y'), party_key, 'service history' FROM facing
+UNION ALL
+SELECT member_key, 'DATE', strftime(obs_date, '%d-%m-%Y'), party_key, 'statement salary entry'
+FROM (SELECT o.*, row_number() OVER (PARTITION BY member_key, party_key
+                                     ORDER BY obs_date DESC, o.ord) AS rn
+      FROM obs o JOIN facing USING (member_key, party_key)
+      WHERE source = 'TDS_26AS' AND obs_date > doe) WHERE rn <= 3
+UNION ALL
+SELECT member_key, 'DATE', strftime(e, '%d-%m-%Y'), party_key, 'corrected boundary'
+FROM corrected JOIN early USING (member_key, party_key)""")
+def supporting_facts(spark, folder):
+    observations, days, asserted, found = _settled(spark, folder)
+    corrected = detectors.corrected_timeline(asserted, envelopes.support_windows(days), AS_OF)
+    return letters.supporting_facts(
+        found, asserted, observations, corrected,
+        adapters.member_facts(spark, folder).select("member_key", "uan"))
 
 
 # --------------------------------------------------------------------- orphans

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corrobora.operators import detectors, envelopes, verdicts
 from corrobora.plans import adapters
 from corrobora.plans.registry import query, with_ctes
+from corrobora.session import cut_lineage
 
 AS_OF = adapters.AS_OF
 DAY = f"DATE '{AS_OF.isoformat()}'"
@@ -215,8 +216,15 @@ def inputs(spark, folder):
     return observations, envelopes.evidence_days(observations), adapters.asserted(spark, folder)
 
 
-def findings_of(spark, folder):
-    observations, days, asserted = inputs(spark, folder)
+def settled_inputs(spark, folder):
+    """The same tables written once, for plans that read each of them many times."""
+    observations = cut_lineage(adapters.observations(spark, folder))
+    return (observations, cut_lineage(envelopes.evidence_days(observations)),
+            cut_lineage(adapters.asserted(spark, folder)))
+
+
+def findings_of(spark, folder, tables=None):
+    observations, days, asserted = tables or settled_inputs(spark, folder)
     return detectors.all_findings(observations, asserted, AS_OF, days)
 
 
@@ -341,12 +349,12 @@ def self_exit_window(spark, folder):
 
 @query("exit_facts", with_ctes(EXF) + "SELECT * FROM exf")
 def exit_facts(spark, folder):
-    observations, days, asserted = inputs(spark, folder)
+    observations, days, asserted = settled_inputs(spark, folder)
     return detectors.exit_facts(observations, days, asserted)
 
 
 def _records(spark, folder):
-    observations, days, asserted = inputs(spark, folder)
+    observations, days, asserted = settled_inputs(spark, folder)
     return detectors.record_findings(
         observations, days, envelopes.support_windows(days), asserted, AS_OF)
 
@@ -414,22 +422,22 @@ def findings(spark, folder):
 @query("ordered_findings", with_ctes(ORDERED) + f"""
 SELECT {FINDING_LIST}, severity_rank, finding_no FROM ordered""")
 def ordered_findings(spark, folder):
-    return verdicts.order_findings(findings_of(spark, folder))
+    return verdicts.order_findings(cut_lineage(findings_of(spark, folder)))
 
 
 @query("claim_status", with_ctes(STATUS) + "SELECT * FROM status")
 def claim_status(spark, folder):
+    tables = settled_inputs(spark, folder)
     return verdicts.claim_status(
-        findings_of(spark, folder), adapters.members(spark, folder),
-        adapters.asserted(spark, folder))
+        findings_of(spark, folder, tables), adapters.members(spark, folder), tables[2])
 
 
 @query("suppress_without_history", with_ctes(FND) + f"""
 SELECT {FINDING_LIST} FROM fnd
 WHERE kind <> 'ORPHAN_ACCOUNT' OR member_key IN (SELECT member_key FROM asr)""")
 def suppress_without_history(spark, folder):
-    return verdicts.suppress_without_history(
-        findings_of(spark, folder), adapters.asserted(spark, folder))
+    tables = settled_inputs(spark, folder)
+    return verdicts.suppress_without_history(cut_lineage(findings_of(spark, folder, tables)), tables[2])
 
 
 @query("no_denial_audit", with_ctes(STATUS) + """
@@ -440,7 +448,10 @@ UNION ALL SELECT member_key, kind, 'unknown severity' FROM fnd
 UNION ALL SELECT member_key, NULL, 'unknown status' FROM status
   WHERE claim_status NOT IN ('WILL_BE_REJECTED', 'LIKELY_TO_SETTLE', 'NOT_CHECKED')""")
 def no_denial_audit(spark, folder):
-    return verdicts.audit(findings_of(spark, folder), claim_status(spark, folder))
+    tables = settled_inputs(spark, folder)
+    found = cut_lineage(findings_of(spark, folder, tables))
+    return verdicts.audit(
+        found, verdicts.claim_status(found, adapters.members(spark, folder), tables[2]))
 
 
 @query("blocking_per_party", with_ctes(FND) + """
@@ -451,8 +462,9 @@ LEFT JOIN (SELECT member_key, party_key FROM fnd WHERE severity = 'BLOCKING'
            WHERE severity = 'BLOCKING' AND party_key_2 IS NOT NULL) c USING (member_key, party_key)
 GROUP BY a.member_key, a.party_key""")
 def blocking_per_party(spark, folder):
-    parties = adapters.asserted(spark, folder).select(*envelopes.PARTY).distinct()
-    return verdicts.blocking_per_party(findings_of(spark, folder), parties)
+    tables = settled_inputs(spark, folder)
+    parties = tables[2].select(*envelopes.PARTY).distinct()
+    return verdicts.blocking_per_party(findings_of(spark, folder, tables), parties)
 
 
 FLAGS = OBS + ASR + MEM + [("flags", """
@@ -514,7 +526,7 @@ UNION ALL
 SELECT member_key, party_key, 'CORRECTION_CONFLICT', 2,
        'asserted:' || party_key_2 || '[' || b_start || '..]' FROM ovc""")
 def finding_evidence(spark, folder):
-    observations, days, asserted = inputs(spark, folder)
+    observations, days, asserted = settled_inputs(spark, folder)
     windows = envelopes.support_windows(days)
-    found = detectors.all_findings(observations, asserted, AS_OF, days)
+    found = cut_lineage(detectors.all_findings(observations, asserted, AS_OF, days))
     return detectors.finding_evidence(found, observations, days, asserted, windows, AS_OF)

@@ -83,7 +83,7 @@ def evidence_coverage(classified: DataFrame) -> DataFrame:
 
 def corpus_profile(documents: DataFrame) -> DataFrame:
     """Structure of each document, without repeating anything it says."""
-    low = F.lower("text")
+    low = F.col("low")
     kind = (
         F.when(low.rlike(rules.STATEMENT_WORDS), "26as")
         .when(low.rlike(rules.PROBE_PASSBOOK_WORDS), "passbook")
@@ -114,14 +114,16 @@ def corpus_profile(documents: DataFrame) -> DataFrame:
     months = F.array_distinct(F.filter(
         F.concat(named, dated), lambda m: m.between(1990 * 12, 2100 * 12 + 11)))
 
-    statement, passbook = found(rules.STATEMENT_ANCHORS), found(rules.PASSBOOK_ANCHORS)
-    profiled = documents.select(
-        *DOC, kind.alias("kind"),
-        F.when(kind == "26as", statement).when(kind == "passbook", passbook)
-        .otherwise(F.concat(statement, passbook)).alias("anchors"),
+    # kind, anchors and months are each computed once, in a step of their own
+    profiled = documents.select(*DOC, "text", F.lower("text").alias("low")).select(
+        *DOC, kind.alias("kind"), found(rules.STATEMENT_ANCHORS).alias("statement"),
+        found(rules.PASSBOOK_ANCHORS).alias("passbook"),
         F.size(distinct_tokens(rules.TAN)).alias("tans"),
         F.size(distinct_tokens(rules.PROBE_ACCOUNT)).alias("account_ids"),
-        F.regexp_count("text", F.lit(rules.PROBE_MONEY)).alias("amounts"), months.alias("m"))
+        F.regexp_count("text", F.lit(rules.PROBE_MONEY)).alias("amounts"), months.alias("m")
+    ).withColumn("anchors", F.when(F.col("kind") == "26as", F.col("statement"))
+                 .when(F.col("kind") == "passbook", F.col("passbook"))
+                 .otherwise(F.concat("statement", "passbook"))).drop("statement", "passbook")
     has = lambda label: F.array_contains("anchors", label)
     statement_ok = (F.col("tans") >= 1) & (F.col("months") >= 2) & (F.col("amounts") >= 4)
     passbook_ok = (

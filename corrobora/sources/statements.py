@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corrobora import rules
 from corrobora.functions.dates import dmony, dmy
 from corrobora.functions.text import amounts, blank_out, first_match, from_end, money, strip
+from corrobora.session import cut_lineage
 from corrobora.sources.corpus import DOC, explode_lines
 
 
@@ -14,59 +15,64 @@ def _zero():
 
 def _tabular(lines: DataFrame) -> DataFrame:
     """Columns separated by blanks, dates as dd-Mon-yyyy."""
-    line = F.regexp_replace("line", r"\s+$", "")
-    low = F.lower(line)
+    low = F.lower("line")
     heading = F.ltrim(low).startswith("sr. no.") | low.startswith("part ")
-    is_header = line.rlike(rules.TAN)
-    is_detail = line.rlike(rules.DMONY) & line.rlike(r"^\s*\d+\s")
-    before = F.regexp_extract(line, r"^(.*?)" + rules.TAN, 1)
-    after = F.regexp_extract(line, rules.TAN + r"(.*)$", 2)
-    totals = amounts(after, rules.PLAIN_NUMBER)
-    numbers = amounts(blank_out(line, rules.DMONY), rules.PLAIN_NUMBER)
-    return (
-        lines.filter(~heading & (is_header | is_detail))
-        .select(
-            *DOC, "line_no", is_header.alias("is_header"),
-            strip(F.regexp_replace(strip(before), r"^\d+\s+", "")).alias("name"),
-            first_match(line, rules.TAN).alias("tan"),
-            F.coalesce(F.get(totals, 0), _zero()).alias("total_paid"),
-            F.coalesce(F.get(totals, 1), _zero()).alias("total_tds"),
-            F.floor(F.get(numbers, 1)).cast("bigint").cast("string").alias("section"),
-            dmony(first_match(line, rules.DMONY)).alias("txn_date"),
-            from_end(numbers, 3).alias("amount_paid"), from_end(numbers, 2).alias("tax_deducted"),
-            F.size(numbers).alias("n_numbers"))
-        .filter(F.col("is_header") | (F.col("n_numbers") >= 5))
-        .drop("n_numbers")
-    )
+    is_header = F.col("line").rlike(rules.TAN)
+    is_detail = F.col("line").rlike(r"^\s*\d+\s") & F.col("line").rlike(rules.DMONY)
+    parsed = lines.filter(~heading & (is_header | is_detail)).select(
+        *DOC, "line_no", "line", is_header.alias("is_header")
+    ).select(
+        *DOC, "line_no", "is_header", "line",
+        # a header is read after its TAN, a detail line without its dates
+        F.when(F.col("is_header"),
+               amounts(F.regexp_extract("line", rules.TAN + r"(.*)$", 2), rules.PLAIN_NUMBER))
+        .otherwise(amounts(blank_out(F.col("line"), rules.DMONY), rules.PLAIN_NUMBER)).alias("numbers"))
+    header, numbers = F.col("is_header"), F.col("numbers")
+    before = strip(F.regexp_extract("line", r"^(.*?)" + rules.TAN, 1))
+    return parsed.select(
+        *DOC, "line_no", "is_header",
+        F.when(header, strip(F.regexp_replace(before, r"^\d+\s+", ""))).alias("name"),
+        F.when(header, first_match(F.col("line"), rules.TAN)).alias("tan"),
+        F.when(header, F.coalesce(F.get(numbers, 0), _zero())).alias("total_paid"),
+        F.when(header, F.coalesce(F.get(numbers, 1), _zero())).alias("total_tds"),
+        F.when(~header, F.floor(F.get(numbers, 1)).cast("bigint").cast("string")).alias("section"),
+        F.when(~header, dmony(first_match(F.col("line"), rules.DMONY))).alias("txn_date"),
+        F.when(~header, from_end(numbers, 3)).alias("amount_paid"),
+        F.when(~header, from_end(numbers, 2)).alias("tax_deducted"),
+        (header | (F.size(numbers) >= 5)).alias("complete"))
 
 
 def _caret(lines: DataFrame) -> DataFrame:
     """Fields separated by carets; only tax sections count as detail."""
-    fields = F.transform(F.split("line", r"\^", -1), strip)
-    parsed = lines.filter(F.col("line").contains("^")).select(
-        *DOC, "line_no", fields.alias("f"),
-        F.transform(F.filter(fields, lambda x: x.rlike(rules.CARET_MONEY)), money).alias("sums"),
-        F.get(F.filter(fields, lambda x: x.rlike(r"^[A-Z]{4}\d{5}[A-Z]$")), F.lit(0)).alias("tan"),
+    fields = lines.filter(F.col("line").contains("^")).select(
+        *DOC, "line_no", F.transform(F.split("line", r"\^", -1), strip).alias("f"))
+    parsed = fields.select(
+        *DOC, "line_no", "f",
+        F.transform(F.filter("f", lambda x: x.rlike(rules.CARET_MONEY)), money).alias("sums"),
+        F.get(F.filter("f", lambda x: x.rlike(r"^[A-Z]{4}\d{5}[A-Z]$")), F.lit(0)).alias("tan"),
         F.get(F.filter(F.transform(
-            F.filter(fields, lambda x: x.rlike(rules.CARET_DATE)),
+            F.filter("f", lambda x: x.rlike(rules.CARET_DATE)),
             lambda x: F.coalesce(dmy(x), dmony(x))), lambda d: d.isNotNull()), F.lit(0)).alias("txn_date"),
-        F.get(fields, F.lit(2)).alias("section"),
-    )
+        F.get("f", F.lit(2)).alias("section"))
     three = F.size("sums") >= 3
     is_header = F.col("tan").isNotNull() & (F.size("sums") >= 2)
     is_detail = F.col("txn_date").isNotNull() & three & F.col("section").rlike(rules.CARET_SECTION)
     at = F.array_position("f", F.col("tan"))
-    return parsed.filter(is_header | is_detail).select(
+    return parsed.select(
         *DOC, "line_no", is_header.alias("is_header"),
         F.when(at > 1, F.get("f", (at - 2).cast("int"))).otherwise("").alias("name"), "tan",
         F.when(three, from_end(F.col("sums"), 3)).otherwise(F.get("sums", F.lit(0))).alias("total_paid"),
         F.when(three, from_end(F.col("sums"), 2)).otherwise(F.get("sums", F.lit(1))).alias("total_tds"),
         "section", "txn_date", from_end(F.col("sums"), 3).alias("amount_paid"),
-        from_end(F.col("sums"), 2).alias("tax_deducted"))
+        from_end(F.col("sums"), 2).alias("tax_deducted"), (is_header | is_detail).alias("complete"))
 
 
 def statement_tables(documents: DataFrame):
-    """(deductors, transactions) of all statement documents."""
+    """(deductors, transactions) of all statement documents.
+
+    The read lines are checkpointed: both tables come from them, and they are
+    far smaller than the text.
+    """
     lines = explode_lines(documents.withColumn("is_caret", F.col("text").contains("^")))
     relevant = _tabular(lines.filter(~F.col("is_caret"))).unionByName(
         _caret(lines.filter("is_caret")))
@@ -74,8 +80,9 @@ def statement_tables(documents: DataFrame):
         Window.partitionBy(*DOC).orderBy("line_no")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    carried = relevant.withColumn(
-        "block_no", F.sum(F.col("is_header").cast("bigint")).over(so_far)).filter("block_no > 0")
+    carried = cut_lineage(relevant.withColumn(
+        "block_no", F.sum(F.col("is_header").cast("bigint")).over(so_far)
+    ).filter("block_no > 0 and complete"))
     deductors = carried.filter("is_header").select(
         *DOC, "block_no", "name", "tan", "total_paid", "total_tds")
     transactions = carried.filter(~F.col("is_header")).select(
