@@ -17,13 +17,11 @@ from corrobora.plans.catalogue import QUERIES  # noqa: E402
 from corrobora.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "evidence_days", "support_windows", "evidence_confidence", "month_runs", "cite_last",
-    "timeline_segments", "reconstructed", "exit_facts", "missing_exits", "early_exits",
-    "service_overlaps", "correction_conflicts", "find_orphans", "contribution_gaps", "findings",
-    "ordered_findings", "claim_status", "gates", "plan_steps", "plan_summary", "rejection_diagnoses",
+    "support_windows", "month_runs", "cite_last", "reconstructed", "service_overlaps", "find_orphans",
+    "contribution_gaps", "findings", "claim_status", "plan_summary", "rejection_diagnoses",
     "proposal_checks", "verify_statements", "merge_deductors", "merge_passbooks", "last_contributions",
-    "withdrawal_estimates", "assess_orphans", "statement_transactions", "passbook_contributions",
-    "bank_rows", "document_kinds", "employer_pairs", "compare_names", "lint_letters",
+    "withdrawal_estimates", "assess_orphans", "statement_transactions", "bank_rows", "employer_pairs",
+    "compare_names", "lint_letters",
 ]
 
 

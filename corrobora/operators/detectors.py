@@ -15,6 +15,7 @@ from corrobora.operators.envelopes import (
     PARTY, cite_first, cite_last, citation, evidence_days, latest_record, support_windows,
 )
 from corrobora.operators.spread import following_row, upper_median
+from corrobora.session import cut_lineage
 
 FINDING_COLUMNS = [
     "member_key", "kind", "party_key", "party_key_2", "account_id", "severity",
@@ -101,6 +102,8 @@ def exit_facts(observations: DataFrame, days: DataFrame, asserted: DataFrame) ->
         F.min("min_amount").over(later).alias("tail_low"),
         F.max("max_amount").over(later).alias("tail_high"),
     ).filter((F.col("is_day") == 0) & (F.col("n_later") > 0)).drop("is_day")
+    # at most one row per record, read three times below: written once
+    at_exit = cut_lineage(at_exit)
 
     # Only a short tail without fund payments can be a settlement. Exits with
     # the same evidence after them share the evidence before them, so their

@@ -56,11 +56,10 @@ def classify_documents(documents: DataFrame) -> DataFrame:
 
 def explode_lines(documents: DataFrame) -> DataFrame:
     """S3: one row per line, numbered from 0; a final line break opens no further line."""
-    pieces = F.split("text", rules.LINE_BREAK, -1)
-    lines = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-                   ).otherwise(pieces)
+    closed = F.regexp_replace("text", f"(?:{rules.LINE_BREAK})\\z", "")
     rest = [c for c in documents.columns if c != "text"]
-    return documents.select(*rest, F.posexplode(lines).alias("line_no", "line"))
+    return documents.filter(F.col("text") != "").select(
+        *rest, F.posexplode(F.split(closed, rules.LINE_BREAK, -1)).alias("line_no", "line"))
 
 
 def evidence_coverage(classified: DataFrame) -> DataFrame:

@@ -9,62 +9,61 @@ from corrobora.session import cut_lineage
 from corrobora.sources.corpus import DOC, explode_lines
 
 
-def _zero():
-    return F.lit(0).cast("decimal(18,2)")
+def _read_lines(lines: DataFrame) -> DataFrame:
+    """S4 and S5 in one pass: each line is read by the layout of its document.
 
-
-def _tabular(lines: DataFrame) -> DataFrame:
-    """Columns separated by blanks, dates as dd-Mon-yyyy."""
-    low = F.lower("line")
+    Tabular: blanks between columns, dates as dd-Mon-yyyy, a detail line needs
+    five numbers besides its dates. Caret: fields between carets, and only tax
+    sections count as detail.
+    """
+    caret, line, low = F.col("is_caret"), F.col("line"), F.lower("line")
     heading = F.ltrim(low).startswith("sr. no.") | low.startswith("part ")
-    is_header = F.col("line").rlike(rules.TAN)
-    is_detail = F.col("line").rlike(r"^\s*\d+\s") & F.col("line").rlike(rules.DMONY)
-    parsed = lines.filter(~heading & (is_header | is_detail)).select(
-        *DOC, "line_no", "line", is_header.alias("is_header")
-    ).select(
-        *DOC, "line_no", "is_header", "line",
+    tabular = ~heading & (
+        line.rlike(rules.TAN) | (line.rlike(r"^\s*\d+\s") & line.rlike(rules.DMONY)))
+    zero = F.lit(0).cast("decimal(18,2)")
+    first, third = F.lit(0), F.lit(2)
+
+    def fields_like(pattern):
+        return F.filter("fields", lambda x: x.rlike(pattern))
+
+    split = lines.filter(F.when(caret, line.contains("^")).otherwise(tabular)).select(
+        *DOC, "line_no", "line", "is_caret",
+        F.when(caret, F.transform(F.split("line", r"\^", -1), strip)).alias("fields"),
+        F.when(~caret, first_match(line, rules.TAN)).alias("line_tan"))
+    read = split.select(
+        *DOC, "line_no", "line", "is_caret", "fields",
+        F.when(caret, F.get(fields_like(r"^[A-Z]{4}\d{5}[A-Z]$"), first)).otherwise(
+            F.col("line_tan")).alias("tan"),
+        F.when(caret, F.transform(fields_like(rules.CARET_MONEY), money))
         # a header is read after its TAN, a detail line without its dates
-        F.when(F.col("is_header"),
-               amounts(F.regexp_extract("line", rules.TAN + r"(.*)$", 2), rules.PLAIN_NUMBER))
-        .otherwise(amounts(blank_out(F.col("line"), rules.DMONY), rules.PLAIN_NUMBER)).alias("numbers"))
-    header, numbers = F.col("is_header"), F.col("numbers")
+        .when(F.col("line_tan").isNotNull(),
+              amounts(F.regexp_extract("line", rules.TAN + r"(.*)$", 2), rules.PLAIN_NUMBER))
+        .otherwise(amounts(blank_out(line, rules.DMONY), rules.PLAIN_NUMBER)).alias("sums"),
+        F.when(caret, F.get(F.filter(F.transform(
+            fields_like(rules.CARET_DATE), lambda x: F.coalesce(dmy(x), dmony(x))),
+            lambda d: d.isNotNull()), first))
+        .when(F.col("line_tan").isNull(), dmony(first_match(line, rules.DMONY))).alias("txn_date"))
+
+    sums, n = F.col("sums"), F.size("sums")
+    is_header = F.col("tan").isNotNull() & (~caret | (n >= 2))
+    at = F.array_position("fields", F.col("tan"))
     before = strip(F.regexp_extract("line", r"^(.*?)" + rules.TAN, 1))
-    return parsed.select(
-        *DOC, "line_no", "is_header",
-        F.when(header, strip(F.regexp_replace(before, r"^\d+\s+", ""))).alias("name"),
-        F.when(header, first_match(F.col("line"), rules.TAN)).alias("tan"),
-        F.when(header, F.coalesce(F.get(numbers, 0), _zero())).alias("total_paid"),
-        F.when(header, F.coalesce(F.get(numbers, 1), _zero())).alias("total_tds"),
-        F.when(~header, F.floor(F.get(numbers, 1)).cast("bigint").cast("string")).alias("section"),
-        F.when(~header, dmony(first_match(F.col("line"), rules.DMONY))).alias("txn_date"),
-        F.when(~header, from_end(numbers, 3)).alias("amount_paid"),
-        F.when(~header, from_end(numbers, 2)).alias("tax_deducted"),
-        (header | (F.size(numbers) >= 5)).alias("complete"))
+    section = F.when(caret, F.get("fields", third)).otherwise(
+        F.floor(F.get("sums", F.lit(1))).cast("bigint").cast("string"))
+    detail = F.when(caret, F.col("txn_date").isNotNull() & (n >= 3)
+                    & F.get("fields", third).rlike(rules.CARET_SECTION)).otherwise(n >= 5)
 
+    def total(position, from_right):
+        plain = F.get("sums", F.lit(position))
+        return F.when(caret & (n >= 3), from_end(sums, from_right)).otherwise(F.coalesce(plain, zero))
 
-def _caret(lines: DataFrame) -> DataFrame:
-    """Fields separated by carets; only tax sections count as detail."""
-    fields = lines.filter(F.col("line").contains("^")).select(
-        *DOC, "line_no", F.transform(F.split("line", r"\^", -1), strip).alias("f"))
-    parsed = fields.select(
-        *DOC, "line_no", "f",
-        F.transform(F.filter("f", lambda x: x.rlike(rules.CARET_MONEY)), money).alias("sums"),
-        F.get(F.filter("f", lambda x: x.rlike(r"^[A-Z]{4}\d{5}[A-Z]$")), F.lit(0)).alias("tan"),
-        F.get(F.filter(F.transform(
-            F.filter("f", lambda x: x.rlike(rules.CARET_DATE)),
-            lambda x: F.coalesce(dmy(x), dmony(x))), lambda d: d.isNotNull()), F.lit(0)).alias("txn_date"),
-        F.get("f", F.lit(2)).alias("section"))
-    three = F.size("sums") >= 3
-    is_header = F.col("tan").isNotNull() & (F.size("sums") >= 2)
-    is_detail = F.col("txn_date").isNotNull() & three & F.col("section").rlike(rules.CARET_SECTION)
-    at = F.array_position("f", F.col("tan"))
-    return parsed.select(
+    return read.select(
         *DOC, "line_no", is_header.alias("is_header"),
-        F.when(at > 1, F.get("f", (at - 2).cast("int"))).otherwise("").alias("name"), "tan",
-        F.when(three, from_end(F.col("sums"), 3)).otherwise(F.get("sums", F.lit(0))).alias("total_paid"),
-        F.when(three, from_end(F.col("sums"), 2)).otherwise(F.get("sums", F.lit(1))).alias("total_tds"),
-        "section", "txn_date", from_end(F.col("sums"), 3).alias("amount_paid"),
-        from_end(F.col("sums"), 2).alias("tax_deducted"), (is_header | is_detail).alias("complete"))
+        F.when(~is_header, None).when(caret, F.when(at > 1, F.get("fields", (at - 2).cast("int"))).otherwise(""))
+        .otherwise(strip(F.regexp_replace(before, r"^\d+\s+", ""))).alias("name"),
+        "tan", total(0, 3).alias("total_paid"), total(1, 2).alias("total_tds"),
+        section.alias("section"), "txn_date", from_end(sums, 3).alias("amount_paid"),
+        from_end(sums, 2).alias("tax_deducted"), (is_header | detail).alias("complete"))
 
 
 def statement_tables(documents: DataFrame):
@@ -74,13 +73,11 @@ def statement_tables(documents: DataFrame):
     far smaller than the text.
     """
     lines = explode_lines(documents.withColumn("is_caret", F.col("text").contains("^")))
-    relevant = _tabular(lines.filter(~F.col("is_caret"))).unionByName(
-        _caret(lines.filter("is_caret")))
     so_far = (
         Window.partitionBy(*DOC).orderBy("line_no")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    carried = cut_lineage(relevant.withColumn(
+    carried = cut_lineage(_read_lines(lines).withColumn(
         "block_no", F.sum(F.col("is_header").cast("bigint")).over(so_far)
     ).filter("block_no > 0 and complete"))
     deductors = carried.filter("is_header").select(
