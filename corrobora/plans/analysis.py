@@ -22,20 +22,22 @@ def read_documents(documents: DataFrame) -> dict:
     deductors, transactions = statement_source.statement_tables(of("26as"))
     heads, contributions = passbooks.passbook_tables(of("passbook"))
     heads = heads.withColumn("file_ord", F.col("doc_id"))
-    bank = records.bank_table(of("bank"))
-    names = records.extract_names(classified)
+    # the text is read once per kind; what it says is small next to it and written once
+    bank = cut_lineage(records.bank_table(of("bank")))
+    history = cut_lineage(records.service_history_table(of("service_history")))
+    names = cut_lineage(records.extract_names(classified))
     return {
         "documents": classified, "coverage": corpus.evidence_coverage(classified),
         "deductors": deductors, "transactions": transactions,
         "problems": statements.verify_statements(deductors, transactions),
         "merged_deductors": statements.merge_deductors(deductors),
         "passbook_heads": heads, "contributions": contributions,
-        "passbooks": statements.merge_passbooks(heads, contributions),
+        "passbooks": cut_lineage(statements.merge_passbooks(heads, contributions)),
         "related_ids": statements.related_ids(heads),
-        "history": records.service_history_table(of("service_history")),
+        "history": history,
         "bank_rows": bank, "credits": records.classify_credits(bank),
-        "names": names, "name_check": people.name_check(names),
-        "identity": records.extract_identity(classified, heads),
+        "names": names, "name_check": cut_lineage(people.name_check(names)),
+        "identity": cut_lineage(records.extract_identity(classified, heads)),
     }
 
 

@@ -1,6 +1,7 @@
 """Statements, decisions, plans and corrections over the order tables, with their SQL."""
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from corrobora.plans.evidence_queries import (
     reconstructed, self_exit_window, settled_inputs,
 )
 from corrobora.plans.registry import query, with_ctes
-from corrobora.session import cut_lineage
+from corrobora.session import cut_lineage, shared_folder
+from corrobora.streaming import refresh
 
 # ------------------------------------------------------------------ SQL pieces
 
@@ -784,3 +786,19 @@ LEFT JOIN (SELECT member_key, CAST(sum(low) AS BIGINT) AS low FROM asm GROUP BY
 def member_totals(spark, folder):
     return statements.member_totals(
         adapters.members(spark, folder), _accounts(spark, folder), _assessed(spark, folder))
+
+
+# ------------------------------------------------------------------- streaming
+
+
+@query("findings_from_stream", with_ctes(FND) + f"""
+SELECT {', '.join(detectors.FINDING_COLUMNS)} FROM fnd""")
+def findings_from_stream(spark, folder):
+    """Evidence handed in as files of a stream must end in the findings of the batch plan."""
+    store = f"{shared_folder(spark).rstrip('/')}/corrobora-stream-{uuid.uuid4().hex}"
+    adapters.observations(spark, folder).withColumn(
+        "arrived", F.lit("2001-12-01").cast("timestamp")).write.parquet(f"{store}/in")
+    refresh.refresh_findings_stream(
+        refresh.evidence_stream(spark, f"{store}/in"), store,
+        cut_lineage(adapters.asserted(spark, folder)), AS_OF, f"{store}/state").awaitTermination()
+    return spark.read.parquet(f"{store}/findings").select(*detectors.FINDING_COLUMNS)

@@ -19,7 +19,7 @@ def load_corpus(spark: SparkSession, path: str, layout="text") -> DataFrame:
     "json": tables with the three columns.
     """
     if layout == "text":
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+        files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
         parts = F.split("_metadata.file_path", "/")
         return files.select(
             F.element_at(parts, -2).alias("member_key"), F.element_at(parts, -1).alias("doc_id"),
