@@ -800,5 +800,6 @@ def findings_from_stream(spark, folder):
         "arrived", F.lit("2001-12-01").cast("timestamp")).write.parquet(f"{store}/in")
     refresh.refresh_findings_stream(
         refresh.evidence_stream(spark, f"{store}/in"), store,
-        cut_lineage(adapters.asserted(spark, folder)), AS_OF, f"{store}/state").awaitTermination()
+        cut_lineage(adapters.asserted(spark, folder)), AS_OF, f"{store}/state",
+        buckets=8).awaitTermination()
     return spark.read.parquet(f"{store}/findings").select(*detectors.FINDING_COLUMNS)

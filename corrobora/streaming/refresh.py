@@ -15,7 +15,8 @@ def evidence_stream(spark: SparkSession, path: str, delay="7 days") -> DataFrame
     )
 
 
-def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame, as_of, checkpoint: str):
+def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame, as_of, checkpoint: str,
+                            buckets=64):
     """Recompute the findings of the members each batch touches, and nobody else's.
 
     ``store`` holds two partitioned tables. Observations are kept by bucket of
@@ -24,23 +25,24 @@ def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame,
     rewritten, with the findings of their other members carried over.
     """
     spark = stream.sparkSession
-    buckets = 64
     bucket = F.pmod(F.xxhash64("member_key"), F.lit(buckets)).cast("int")
     evidence, results = f"{store}/observations", f"{store}/findings"
 
     def refresh(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
-        batch.drop("arrived").withColumn("bucket", bucket).withColumn(
-            "batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(evidence)
-        # a bucket number per changed bucket, at most 64 in all
+        # spread by party and source as well, so a busy member's bucket is written by several tasks
+        (batch.drop("arrived").withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
+         .repartition("bucket", "party_key", "source").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(evidence))
+        # bucket numbers only, at most as many as there are buckets
         changed = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
         observations = spark.read.parquet(evidence).filter(F.col("bucket").isin(changed)).drop(
             "bucket", "batch")
         record = asserted.filter(bucket.isin(changed))
-        all_findings(observations, record, as_of).withColumn("bucket", bucket).write.mode(
-            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(results)
+        (all_findings(observations, record, as_of).withColumn("bucket", bucket)
+         .repartition("bucket", "kind").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(results))
 
     return (
         stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
