@@ -168,10 +168,10 @@ def resolve_establishments(names: DataFrame, establishments: DataFrame) -> DataF
     pairs = employer_pairs(names, establishments)
     best = (
         pairs.join(establishments.withColumnRenamed("name", "name_b"), "name_b")
-        .groupBy("name_a").agg(F.max_by(
+        .groupBy("name_a").agg(F.min_by(
             F.struct(F.col("name_b").alias("est_name"), F.col("code").alias("est_code"),
                      "covered", "coverage_from", "score"),
-            F.struct("score", -F.col("ord"))).alias("e")))
+            F.struct(-F.col("score"), "ord")).alias("e")))
     return names.select("name").distinct().join(
         best.select(F.col("name_a").alias("name"), "e.*"), "name", "left")
 
@@ -179,7 +179,8 @@ def resolve_establishments(names: DataFrame, establishments: DataFrame) -> DataF
 def attribute_credits(credits: DataFrame, parties: DataFrame) -> DataFrame:
     """The party that paid a credit, by its hint, else by the whole narration, else dropped.
 
-    ``parties``: member_key, party_key, name, ord.
+    ``parties``: member_key, party_key, name, ord (any orderable column; the first
+    party wins ties).
     """
     def best(column):
         texts = credits.select("member_key", F.col(column).alias("name")).filter(
@@ -188,7 +189,7 @@ def attribute_credits(credits: DataFrame, parties: DataFrame) -> DataFrame:
             employer_pairs(texts, parties, ["member_key"])
             .join(parties.withColumnRenamed("name", "name_b"), ["member_key", "name_b"])
             .groupBy("member_key", F.col("name_a").alias(column))
-            .agg(F.max_by("party_key", F.struct("score", -F.col("ord"))).alias(f"by_{column}")))
+            .agg(F.min_by("party_key", F.struct(-F.col("score"), "ord")).alias(f"by_{column}")))
 
     return (
         credits.join(best("hint"), ["member_key", "hint"], "left")

@@ -99,3 +99,22 @@ def checked_flags(days: DataFrame, history: DataFrame, members: DataFrame) -> Da
                 F.coalesce("_known", F.lit(False)).alias("dates_checked"),
                 F.coalesce("both", F.lit(False)).alias("contributions_checked"))
     )
+
+
+def timeline_only(members: DataFrame, passbooks: DataFrame, history: DataFrame,
+                  deductors: DataFrame) -> DataFrame:
+    """Members with a tax statement and nothing to test it against."""
+    def holds(df, name):
+        return df.select("member_key").distinct().withColumn(name, F.lit(True))
+
+    def held(name):
+        return F.coalesce(name, F.lit(False))
+
+    return (
+        members.select("member_key")
+        .join(holds(passbooks, "passbook"), "member_key", "left")
+        .join(holds(history, "history"), "member_key", "left")
+        .join(holds(deductors, "statement"), "member_key", "left")
+        .select("member_key", (held("statement") & ~held("passbook") & ~held("history"))
+                .alias("timeline_only"))
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora import rules
+from corrobora.contracts import require
 from corrobora.operators import (
     corrections, detectors, envelopes, letters, linkage, money, orphans, people, planning, statements,
     verdicts,
@@ -61,7 +62,7 @@ def build_evidence(read: dict) -> dict:
         read["contributions"].select("member_key", "account_id", "month").distinct(),
         links, "account_id").withColumn("ord", placed(1))
     credits = linkage.attribute_credits(
-        read["credits"].filter("is_salary"), parties.withColumn("ord", F.col("at.rank"))
+        read["credits"].filter("is_salary"), parties.withColumnRenamed("at", "ord")
     ).withColumn("ord", placed(2, (0, "line_no")))
     observations = statements.observations_of(tax, months, credits)
     asserted = statements.to_parties(read["history"], links, "account_id").select(
@@ -126,7 +127,9 @@ def decide(read: dict, evidence: dict, outcome: dict, members: DataFrame, establ
         .withColumn("amount", F.lit(None).cast("decimal(18,2)")))
     salary = F.lit(rules.PENSION_SALARY_CAP).cast("decimal(18,2)")
     return {
-        "status": status, "flags": flags, "totals": totals, "orphans": assessed,
+        "status": status, "flags": flags, "totals": totals,
+        "timeline_only": verdicts.timeline_only(
+            members, read["passbook_heads"], read["history"], read["deductors"]), "orphans": assessed,
         "recovery": orphans.recovery_steps(assessed),
         "accounts": statements.account_list(read["passbooks"], assessed),
         "gates": gate_rows, "gate_summary": summary, "plan_steps": steps, "plan_summary": plans,
@@ -144,6 +147,8 @@ def decide(read: dict, evidence: dict, outcome: dict, members: DataFrame, establ
 
 def analyse(documents: DataFrame, as_of, establishments: DataFrame, closed: DataFrame = None) -> dict:
     """documents(member_key, doc_id, text) to every result table, by name."""
+    documents = require(documents, "documents")
+    establishments = require(establishments, "establishments")
     read = read_documents(documents)
     evidence = build_evidence(read)
     outcome = reconcile(evidence["observations"], evidence["asserted"], as_of, read["history"])

@@ -353,6 +353,19 @@ def ingest_summary(spark, folder):
         adapters.asserted(spark, folder), bank)
 
 
+@query("timeline_only", with_ctes(DED, ASR, MEM) + """
+SELECT member_key, member_key IN (SELECT member_key FROM ded)
+       AND member_key NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')
+       AND member_key NOT IN (SELECT member_key FROM asr) AS timeline_only FROM mem""")
+def timeline_only(spark, folder):
+    """Partly shipped orders stand for passbooks."""
+    passbooks = adapters.table(spark, folder, "orders").filter(F.col("o_orderstatus") == "P").select(
+        F.col("o_custkey").cast("string").alias("member_key"))
+    return verdicts.timeline_only(
+        adapters.members(spark, folder), passbooks, adapters.asserted(spark, folder),
+        adapters.deductors(spark, folder))
+
+
 @query("observations_from_documents", with_ctes(LINES, CTB) + """
 SELECT member_key, r_name AS party_key, txn_date AS obs_date, 'TDS_26AS' AS source,
        CAST(amount_paid AS DOUBLE) AS amount, 'salary TDS' AS note, doc_id * 8 + line_no AS ord
