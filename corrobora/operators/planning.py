@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora import rules
-from corrobora.operators.spread import position_in_group
+from corrobora.operators.spread import ORD_BLOCK, position_in_group
 from corrobora.operators.verdicts import severity_rank
 
 
@@ -26,7 +26,7 @@ def plan_steps(findings: DataFrame, closed: DataFrame = None) -> DataFrame:
     numbered = position_in_group(
         actions.withColumn("severity_rank", severity_rank()), ["member_key"],
         F.struct(late.alias("late"), "severity_rank", "phase",
-                 F.floor(F.col("ord") / 4096).alias("block")),
+                 F.floor(F.col("ord") / ORD_BLOCK).alias("block")),
         ["ord", "party_key", "kind"], "step_no")
     waits = late & (F.col("n_first") > 0)
     return numbered.join(first_wave, "member_key").select(

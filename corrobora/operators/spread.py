@@ -7,6 +7,9 @@ work per bucket, and carry only one summary row per bucket across the key.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# reading positions per bucket: rows of one bucket fit a task, and so do the buckets of one key
+ORD_BLOCK = 1 << 20
+
 
 def position_in_group(df: DataFrame, keys, bucket: Column, order, name="position") -> DataFrame:
     """row_number over ``keys`` ordered by (bucket, order), counted bucket by bucket."""
