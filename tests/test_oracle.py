@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from corrobora.plans.catalogue import ORACLES, QUERIES
 from tests.oracle_check import compare, database
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,5 +26,6 @@ def test_entry(spark):
     assert contract.entry(spark).columns == ["member_key", "blocking_count", "finding_count", "claim_status"]
 
 
-def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
