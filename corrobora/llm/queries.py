@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corrobora.llm import mixing, secrets
+from corrobora.llm import bytebpe, mixing, secrets, tokencounts, tokenfiles
 from corrobora.llm.tables import table
 
 QUERIES = {}
@@ -26,7 +26,25 @@ def op1(spark, folder):
     return secrets.digest(secrets.secret_spans(docs, "source", "repository"))
 
 
+@query("op3_token_files")
+def op3(spark, folder):
+    files = tokenfiles.new_folder(spark)
+    tokenfiles.write_token_files(table(spark, folder, "documents"), files)
+    return tokenfiles.token_places(tokenfiles.read_token_files(spark, files))
+
+
+@query("op4_token_counts")
+def op4(spark, folder):
+    return tokencounts.token_counts(table(spark, folder, "documents"))
+
+
 @query("op6_source_mixing", mixing.sql() + """
 SELECT doc_id, size, source_size, target, times * size AS taken FROM mix_times""")
 def op6(spark, folder):
     return mixing.mixed_sizes(table(spark, folder, "documents")).drop("source", "times")
+
+
+@query("op10_byte_bpe")
+def op10(spark, folder):
+    return bytebpe.encoded(table(spark, folder, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256", "round_trip")
