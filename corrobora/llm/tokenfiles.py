@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corrobora.llm.tables import in_batches, whole_text
-from corrobora.session import shared_folder
+from corrobora.session import cut_lineage, shared_folder
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -79,7 +79,7 @@ class WordMemo:
         for i in range(0, len(texts), step):
             split = [x.replace("\n", " ").split(" ") for x in texts[i:i + step]]
             known, older = self.words, self.older
-            fresh = {w for words in split for w in words if w not in known}
+            fresh = set().union(*split).difference(known)
             parted = {}
             for w in fresh:
                 ids = older.get(w)
@@ -93,7 +93,7 @@ class WordMemo:
                 self.learn(list(missing))
             for w, (stem, mark) in parted.items():
                 known[w] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
-            out += [b"".join([known[w] for w in words]) for words in split]
+            out += [b"".join(map(known.__getitem__, words)) for words in split]
             for w in [w for w in fresh if len(w) > LONGEST_MEMO]:
                 del known[w]
                 self.stems.pop(parted[w][0] if w in parted else w, None)
@@ -155,7 +155,7 @@ def token_places(files: DataFrame) -> DataFrame:
     key = files.schema["doc_id"].dataType.simpleString()
     told = in_batches(files.select("seq", "doc_id", "ids"), work,
                       f"seq long, doc_id {key}, n_tokens long, ids_crc32 long")
-    told = told.withColumn("part", F.shiftright("seq", 33))
+    told = cut_lineage(told).withColumn("part", F.shiftright("seq", 33))
     sums = told.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
