@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corrobora.llm import bytebpe, mixing, secrets, tokencounts, tokenfiles
+from corrobora.llm import bytebpe, mixing, quality, secrets, tokencounts, tokenfiles, toxicity
 from corrobora.llm.tables import table
 
 QUERIES = {}
@@ -38,12 +38,22 @@ def op4(spark, folder):
     return tokencounts.token_counts(table(spark, folder, "documents"))
 
 
+@query("op5_quality_cotraining")
+def op5(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op6_source_mixing", mixing.sql() + """
 SELECT doc_id, size, source_size, target, times * size AS taken FROM mix_times""")
 def op6(spark, folder):
     return mixing.mixed_sizes(table(spark, folder, "documents")).drop("source", "times")
 
 
+@query("op8_toxicity")
+def op8(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_byte_bpe")
 def op10(spark, folder):
     return bytebpe.encoded(table(spark, folder, "documents")).select(
