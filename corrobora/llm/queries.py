@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corrobora.llm import bytebpe, mixing, quality, secrets, tokencounts, tokenfiles, toxicity
+from corrobora.llm import bytebpe, minhash, mixing, quality, secrets, tokencounts, tokenfiles, toxicity
 from corrobora.llm.tables import table
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op1(spark, folder):
     return secrets.digest(secrets.secret_spans(docs, "source", "repository"))
 
 
+@query("op2_minhash_near_dedup")
+def op2(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op3_token_files")
 def op3(spark, folder):
     files = tokenfiles.new_folder(spark)
