@@ -9,9 +9,11 @@ component's, so a signature costs about one point per shingle and a fixed number
 
 Bands of the signature deal documents into buckets. In each bucket all meet one hub only, a different one per band. Pairs
 whose signatures agree in fewer components than a similarity of ``threshold`` leaves credible are dropped, the others
-are verified by the overlap of their whole multisets. Where a bucket still holds more than one component, those outside
-the largest meet all others of the bucket in blocks of signatures, and what is credible is verified as well. So every
-link that the bands bring together is found, or is implied by others, and no group is expanded into its pairs.
+are verified by the overlap of their whole multisets. Credible pairs also make clusters, wider than the components of
+links. Where a cluster holds more than one component, those outside the largest meet all others in blocks, and each task
+verifies what is credible by itself and returns only links that join components. Pairs that share a bucket but no
+cluster, which are few, are written out and verified. So every link that the bands bring together is found, or is
+implied by others, and no group is expanded into its pairs.
 
 Words are what stands between ASCII white space, letter case and marks included. A text of one to four words is one
 shingle. Null and empty cases: a null text counts as empty; identical texts are one class, empty ones too, and a text
@@ -208,7 +210,7 @@ def bags_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for part in in_slices(batch.column("text").to_pylist()):
             for bag in shingles(part):
                 values, counts = np.unique(bag, return_counts=True)
-                again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                again = np.arange(counts.sum(), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
                 bags.append(np.sort(mix(np.repeat(values, counts) + again.astype(np.uint64) * GOLDEN)).tobytes())
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(bags, pa.binary())], ["row", "bag"])
     return in_batches(texts, work, "row long, bag binary")
@@ -243,35 +245,98 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(hubs, ["band", "key"]).filter("row <> b").select(F.col("row").alias("a"), "b").distinct()
 
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Credible pairs of different components that share a bucket: outsiders of a bucket's largest component with all."""
-    least = least_agreeing(threshold)
-    placed = buckets.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn(
-        "component", F.coalesce("component", "row"))
-    parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band", "key").agg(
-        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    still = placed.join(largest, ["band", "key"]).withColumn("outside", F.col("component") != F.col("top.component"))
-    still = still.join(cells.select("row", "signature"), "row")
-    n_out = F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int")
-    n_in = F.ceil(F.col("all") / BLOCK).cast("int")
+def outsiders_with_all(placed: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows of groups with several components, dealt to block pairs (keys, i, j).
+
+    The rows outside a group's largest component ask (block i), all rows are asked (block j).
+    """
+    parts = placed.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy(*keys).agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
+    still = placed.join(largest.filter("parts > 1"), keys).withColumn("outside", F.col("component") != F.col("top.component"))
+    n_out = F.ceil((F.col("all") - F.col("top.n")) / block).cast("int")
+    n_in = F.ceil(F.col("all") / block).cast("int")
     place = F.pmod(F.xxhash64("row"), n_out).cast("int"), F.pmod(F.xxhash64("row"), n_in).cast("int")
-    columns = ["band", "key", "row", "component", "signature"]
     asking = still.filter("outside").select(
-        *columns, F.lit(True).alias("asks"), place[0].alias("i"), F.explode(F.sequence(F.lit(0), n_in - 1)).alias("j"))
+        *placed.columns, F.lit(True).alias("asks"), place[0].alias("i"), F.explode(F.sequence(F.lit(0), n_in - 1)).alias("j"))
     asked = still.select(
-        *columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), place[1].alias("j"))
+        *placed.columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), place[1].alias("j"))
+    return asking.unionByName(asked)
+
+
+def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row"))
+
+
+def signature_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, SIZE)
+
+
+def cluster_links(clusters: DataFrame, labels: DataFrame, cells: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components inside each cluster (node, component) of credible pairs.
+
+    The outsiders of a cluster's largest component meet all its rows in blocks; a task verifies the credible pairs of
+    its blocks on the whole multisets and returns only links that join components it has not joined yet.
+    """
+    least = least_agreeing(threshold)
+    placed = with_components(clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")), labels)
+    dealt = outsiders_with_all(placed, ["cluster"], BLOCK // 4).join(cells, "row").join(bags, "row")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        cells_of = lambda x: np.frombuffer(b"".join(x["signature"]), dtype="<u2").reshape(-1, SIZE)
         left, right = rows[rows["asks"]], rows[~rows["asks"]]
-        there, found = cells_of(right), []
+        there = signature_rows(right["signature"])
         ids, part = right["row"].to_numpy(), right["component"].to_numpy()
-        for row, component, cell in zip(left["row"], left["component"], cells_of(left)):
-            near = ids[((there == cell).sum(axis=1) >= least) & (part != component)]
+        bags_there = [np.frombuffer(x, dtype=np.uint64) for x in right["bag"]]
+        sizes = np.array([len(x) for x in bags_there])
+        joined: dict[int, int] = {}
+
+        def top(x):
+            while x in joined:
+                x = joined[x]
+            return x
+        found = []
+        for row, component, cell, bag in zip(left["row"], left["component"], signature_rows(left["signature"]), left["bag"]):
+            bag = np.frombuffer(bag, dtype=np.uint64)
+            fits = np.minimum(sizes, len(bag)) >= threshold * np.maximum(sizes, len(bag))
+            near = np.flatnonzero(((there == cell).sum(axis=1) >= least) & fits)
+            own = top(component)
+            near = np.array([k for k in near.tolist() if top(part[k]) != own], dtype=np.int64)
+            if not len(near):
+                continue
+            flat = np.concatenate([bags_there[k] for k in near])
+            at = np.searchsorted(bag, flat)
+            hit = bag[np.minimum(at, len(bag) - 1)] == flat
+            edges = np.concatenate([[0], np.cumsum(sizes[near])[:-1]])
+            common = np.add.reduceat(hit.astype(np.int64), edges)
+            for k in near[common >= threshold * (sizes[near] + len(bag) - common)].tolist():
+                mine, other = top(component), top(part[k])
+                if mine != other:
+                    joined[max(mine, other)] = min(mine, other)
+                    found.append((row, ids[k]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long")
+
+
+def stray_pairs(buckets: DataFrame, clusters: DataFrame, labels: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Credible pairs that share a bucket, but neither a component nor a cluster."""
+    least = least_agreeing(threshold)
+    placed = with_components(buckets, labels).join(
+        clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")), "row", "left").withColumn(
+        "cluster", F.coalesce("cluster", "row"))
+    mixed = placed.groupBy("band", "key").agg((F.min("cluster") < F.max("cluster")).alias("mixed")).filter("mixed")
+    placed = placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+    dealt = outsiders_with_all(placed, ["band", "key"], BLOCK).join(cells, "row")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["asks"]], rows[~rows["asks"]]
+        there, found = signature_rows(right["signature"]), []
+        ids, part, cluster = (right[c].to_numpy() for c in ("row", "component", "cluster"))
+        for row, component, own, cell in zip(left["row"], left["component"], left["cluster"], signature_rows(left["signature"])):
+            near = ids[((there == cell).sum(axis=1) >= least) & (part != component) & (cluster != own)]
             found.append(pd.DataFrame({"a": np.minimum(row, near), "b": np.maximum(row, near)}))
         return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return asking.unionByName(asked).groupBy("band", "key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, threshold=THRESHOLD, keep=None) -> DataFrame:
@@ -290,9 +355,9 @@ def classes(docs: DataFrame, threshold=THRESHOLD, keep=None) -> DataFrame:
     wanted = cut_lineage(buckets.select("row").distinct())
     bags = cut_lineage(bags_of(rows, wanted))
     links = cut_lineage(verified(pairs, bags, threshold))
-    labels = components(links)
-    rest = cut_lineage(open_pairs(buckets, labels, cells, threshold))
-    more = cut_lineage(verified(rest, bags, threshold))
+    labels, clusters = components(links), components(pairs)
+    stray = cut_lineage(stray_pairs(buckets, clusters, labels, cells, threshold))
+    more = cut_lineage(cluster_links(clusters, labels, cells, bags, threshold).union(verified(stray, bags, threshold)))
     if not more.isEmpty():
         labels = components(links.union(more))
     named = twins.join(labels.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left")
