@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora.llm.graph import components
 from corrobora.llm.tables import in_batches, packed, unpacked
@@ -35,6 +35,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
+HUBS = 4              # hubs of a row that are verified before anything else
 MARGIN = 4.0          # standard deviations that an estimate may fall short of the threshold
 BLOCK = 2048          # signatures of one side that meet in one task
 SLICE = 1 << 20       # bytes of text hashed at once
@@ -237,12 +238,19 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return in_batches(joined.select("a", "b", "x", "y"), work, "a long, b long")
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs (row, hub) over all buckets (band, key, row); the hub's order differs from band to band."""
+def hub_pairs(buckets: DataFrame, most=HUBS) -> DataFrame:
+    """Distinct pairs (row, hub) over all buckets (band, key, row); the hub's order differs from band to band.
+
+    Of a row's hubs the ``most`` that share the most bands with it stay; what else shares a bucket with the row meets
+    it in ``cluster_links`` or ``stray_pairs``, so nothing is lost.
+    """
     hubs = buckets.groupBy("band", "key").agg(
-        F.min(F.struct(F.xxhash64("row", "band").alias("order"), F.col("row"))).alias("hub"),
-        F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.col("hub.row").alias("b"))
-    return buckets.join(hubs, ["band", "key"]).filter("row <> b").select(F.col("row").alias("a"), "b").distinct()
+        F.min(F.struct(F.xxhash64("row", "band").alias("order"), F.col("row"))).alias("hub")).select(
+        "band", "key", F.col("hub.row").alias("b"))
+    met = buckets.join(hubs, ["band", "key"]).filter("row <> b").groupBy(F.col("row").alias("a"), "b").agg(
+        F.count(F.lit(1)).alias("n"))
+    nearest = Window.partitionBy("a").orderBy(F.desc("n"), F.xxhash64("b"), "b")
+    return met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= most).select("a", "b")
 
 
 def outsiders_with_all(placed: DataFrame, keys: list[str], block: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corrobora.llm import bytebpe, minhash, mixing, quality, secrets, tokencounts, tokenfiles, toxicity
+from corrobora.llm import bytebpe, minhash, mixing, quality, rabitq, secrets, tokencounts, tokenfiles, topk, toxicity
 from corrobora.llm.tables import table
 
 QUERIES = {}
@@ -54,11 +54,21 @@ def op6(spark, folder):
     return mixing.mixed_sizes(table(spark, folder, "documents")).drop("source", "times")
 
 
+@query("op7_exact_top_k")
+def op7(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op8_toxicity")
 def op8(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op9_embedding_near_dedup")
+def op9(spark, folder):
+    return rabitq.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op10_byte_bpe")
 def op10(spark, folder):
     return bytebpe.encoded(table(spark, folder, "documents")).select(
