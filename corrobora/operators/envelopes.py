@@ -114,12 +114,12 @@ def _cited(observations, n, ordering, direction):
 
 def cite_first(observations: DataFrame, n=3) -> DataFrame:
     """The n earliest observations of each party, numbered 1.."""
-    return _cited(observations, n, [F.asc("obs_date"), F.asc("ord")], 1)
+    return _cited(observations, n, [F.asc("obs_date"), F.asc("ord"), F.asc("source")], 1)
 
 
 def cite_last(observations: DataFrame, n=3) -> DataFrame:
     """The n latest observations of each party, numbered ..-1."""
-    return _cited(observations, n, [F.desc("obs_date"), F.desc("ord")], -1)
+    return _cited(observations, n, [F.desc("obs_date"), F.desc("ord"), F.desc("source")], -1)
 
 
 def timeline_segments(days: DataFrame, asserted: DataFrame, as_of) -> DataFrame:

@@ -289,7 +289,7 @@ CITE = """
 SELECT member_key, party_key, {number} AS cite_no, obs_date, stamp,
        source || '@' || left(CAST(obs_date AS VARCHAR), CASE WHEN source = 'EPF_CONTRIB' THEN 7 ELSE 10 END) AS citation
 FROM (SELECT *, row_number() OVER (PARTITION BY member_key, party_key
-                                   ORDER BY obs_date {way}, ord {way}) AS rn FROM obs)
+                                   ORDER BY obs_date {way}, ord {way}, source {way}) AS rn FROM obs)
 WHERE rn <= 3"""
 
 
