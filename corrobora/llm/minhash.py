@@ -10,10 +10,11 @@ component's, so a signature costs about one point per shingle and a fixed number
 Bands of the signature deal documents into buckets. In each bucket all meet one hub only, a different one per band. Pairs
 whose signatures agree in fewer components than a similarity of ``threshold`` leaves credible are dropped, the others
 are verified by the overlap of their whole multisets. Credible pairs also make clusters, wider than the components of
-links. Where a cluster holds more than one component, those outside the largest meet all others in blocks, and each task
-verifies what is credible by itself and returns only links that join components. Pairs that share a bucket but no
-cluster, which are few, are written out and verified. So every link that the bands bring together is found, or is
-implied by others, and no group is expanded into its pairs.
+links. Where a bucket holds more than one cluster, those outside its largest meet all its rows in blocks, and each task
+returns only credible pairs that join clusters; after that, every credible pair the bands bring together lies inside a
+cluster. Where a cluster holds more than one component of links, those outside the largest meet all others in blocks,
+and each task verifies what is credible by itself and returns only links that join components. So every link that the
+bands bring together is found, or is implied by others, and no group is expanded into its pairs.
 
 Words are what stands between ASCII white space, letter case and marks included. A text of one to four words is one
 shingle. Null and empty cases: a null text counts as empty; identical texts are one class, empty ones too, and a text
@@ -242,7 +243,7 @@ def hub_pairs(buckets: DataFrame, most=HUBS) -> DataFrame:
     """Distinct pairs (row, hub) over all buckets (band, key, row); the hub's order differs from band to band.
 
     Of a row's hubs the ``most`` that share the most bands with it stay; what else shares a bucket with the row meets
-    it in ``cluster_links`` or ``stray_pairs``, so nothing is lost.
+    it in ``bridges`` or ``cluster_links``, so nothing is lost.
     """
     hubs = buckets.groupBy("band", "key").agg(
         F.min(F.struct(F.xxhash64("row", "band").alias("order"), F.col("row"))).alias("hub")).select(
@@ -326,25 +327,26 @@ def cluster_links(clusters: DataFrame, labels: DataFrame, cells: DataFrame, bags
     return dealt.groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long")
 
 
-def stray_pairs(buckets: DataFrame, clusters: DataFrame, labels: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Credible pairs that share a bucket, but neither a component nor a cluster."""
+def bridges(buckets: DataFrame, clusters: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Credible pairs that share a bucket and join clusters: a task returns none between clusters it has joined."""
     least = least_agreeing(threshold)
-    placed = with_components(buckets, labels).join(
-        clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")), "row", "left").withColumn(
-        "cluster", F.coalesce("cluster", "row"))
-    mixed = placed.groupBy("band", "key").agg((F.min("cluster") < F.max("cluster")).alias("mixed")).filter("mixed")
-    placed = placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+    placed = with_components(buckets, clusters)
     dealt = outsiders_with_all(placed, ["band", "key"], BLOCK).join(cells, "row")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["asks"]], rows[~rows["asks"]]
-        there, found = signature_rows(right["signature"]), []
-        ids, part, cluster = (right[c].to_numpy() for c in ("row", "component", "cluster"))
-        for row, component, own, cell in zip(left["row"], left["component"], left["cluster"], signature_rows(left["signature"])):
-            near = ids[((there == cell).sum(axis=1) >= least) & (part != component) & (cluster != own)]
-            found.append(pd.DataFrame({"a": np.minimum(row, near), "b": np.maximum(row, near)}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+        there, ids = signature_rows(right["signature"]), right["row"].to_numpy()
+        _, top = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
+        asks, found = len(left), []
+        for k, (row, cell) in enumerate(zip(left["row"], signature_rows(left["signature"]))):
+            near = np.flatnonzero((there == cell).sum(axis=1) >= least)
+            others, at = np.unique(top[asks + near], return_index=True)
+            new = others != top[k]
+            if new.any():
+                found += [(row, b) for b in ids[near[at[new]]].tolist()]
+                top[np.isin(top, others[new])] = top[k]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(meet, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold=THRESHOLD, keep=None) -> DataFrame:
@@ -364,8 +366,10 @@ def classes(docs: DataFrame, threshold=THRESHOLD, keep=None) -> DataFrame:
     bags = cut_lineage(bags_of(rows, wanted))
     links = cut_lineage(verified(pairs, bags, threshold))
     labels, clusters = components(links), components(pairs)
-    stray = cut_lineage(stray_pairs(buckets, clusters, labels, cells, threshold))
-    more = cut_lineage(cluster_links(clusters, labels, cells, bags, threshold).union(verified(stray, bags, threshold)))
+    joining = cut_lineage(bridges(buckets, clusters, cells, threshold))
+    if not joining.isEmpty():
+        clusters = components(pairs.union(joining))
+    more = cut_lineage(cluster_links(clusters, labels, cells, bags, threshold))
     if not more.isEmpty():
         labels = components(links.union(more))
     named = twins.join(labels.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left")
