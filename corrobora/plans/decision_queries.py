@@ -769,13 +769,13 @@ def assess_orphans(spark, folder):
 
 @query("recovery_steps", with_ctes(ORP) + """
 , likely AS (
-  SELECT * FROM (VALUES (1, 'Trace the member ID', NULL), (2, 'Check your own records first', NULL),
-    (3, 'File the transfer claim', 'member ID from step 1 or 2'),
-    (4, 'Escalate if untraceable', 'a negative or absent response to step 1')) t(n, action, blocked_by))
+  SELECT * FROM (VALUES (1, 'TRACE_ID', NULL), (2, 'CHECK_OWN_PAPERS', NULL),
+    (3, 'FILE_TRANSFER', 'ID_FOUND'),
+    (4, 'ESCALATE', 'TRACE_FAILED')) t(n, action, blocked_by))
 SELECT member_key, party_key, verdict, n AS step_no, action, blocked_by
 FROM asm, likely WHERE verdict IN ('LIKELY', 'UNCERTAIN')
 UNION ALL
-SELECT member_key, party_key, verdict, 0, 'Confirm the employer''s registered name', NULL
+SELECT member_key, party_key, verdict, 0, 'CONFIRM_NAME', NULL
 FROM asm WHERE verdict = 'UNCERTAIN'""")
 def recovery_steps(spark, folder):
     return orphans.recovery_steps(_assessed(spark, folder))
@@ -807,12 +807,14 @@ def member_totals(spark, folder):
 @query("findings_from_stream", with_ctes(FND) + f"""
 SELECT {', '.join(detectors.FINDING_COLUMNS)} FROM fnd""")
 def findings_from_stream(spark, folder):
-    """Evidence handed in as files of a stream must end in the findings of the batch plan."""
+    """Evidence handed in as files over three batches must end in the findings of the batch plan."""
     store = f"{shared_folder(spark).rstrip('/')}/corrobora-stream-{uuid.uuid4().hex}"
-    adapters.observations(spark, folder).withColumn(
-        "arrived", F.lit("2001-12-01").cast("timestamp")).write.parquet(f"{store}/in")
-    refresh.refresh_findings_stream(
-        refresh.evidence_stream(spark, f"{store}/in"), store,
-        cut_lineage(adapters.asserted(spark, folder)), AS_OF, f"{store}/state",
-        buckets=8).awaitTermination()
-    return spark.read.parquet(f"{store}/findings").select(*detectors.FINDING_COLUMNS)
+    turn = F.pmod(F.xxhash64("party_key", "obs_date", "source"), F.lit(3))
+    observations = cut_lineage(adapters.observations(spark, folder).withColumn("turn", turn))
+    asserted = cut_lineage(adapters.asserted(spark, folder))
+    for batch in range(3):
+        observations.filter(F.col("turn") == batch).drop("turn").write.mode("append").parquet(f"{store}/in")
+        refresh.refresh_findings_stream(
+            refresh.evidence_stream(spark, f"{store}/in"), store, asserted, AS_OF, f"{store}/state",
+            buckets=8).awaitTermination()
+    return refresh.current_findings(spark, store)

@@ -3,48 +3,61 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora.contracts import CONTRACTS
-from corrobora.operators.detectors import all_findings
+from corrobora.operators.detectors import FINDING_COLUMNS, all_findings
 
 
-def evidence_stream(spark: SparkSession, path: str, delay="7 days") -> DataFrame:
-    """New observation files as a stream; a file handed in twice within the delay counts once."""
-    return (
-        spark.readStream.schema(CONTRACTS["observations"] + ", arrived timestamp").parquet(path)
-        .withWatermark("arrived", delay)
-        .dropDuplicatesWithinWatermark(["member_key", "party_key", "obs_date", "source", "ord"])
-    )
+def evidence_stream(spark: SparkSession, path: str) -> DataFrame:
+    """New observation files as a stream, however late; each row keeps the file it came in."""
+    return spark.readStream.schema(CONTRACTS["observations"]).parquet(path).withColumn(
+        "file", F.col("_metadata.file_path"))
+
+
+def without_repeats(evidence: DataFrame) -> DataFrame:
+    """A row of one file that comes again in another counts once; equal rows inside one file all count."""
+    columns = [c for c in evidence.columns if c != "file"]
+    in_file = evidence.groupBy("file", *columns).agg(F.count(F.lit(1)).alias("copies"))
+    whole = in_file.groupBy(*columns).agg(F.max("copies").alias("copies"))
+    return whole.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame, as_of, checkpoint: str,
                             buckets=64):
     """Recompute the findings of the members each batch touches, and nobody else's.
 
-    ``store`` holds two partitioned tables. Observations are kept by bucket of
-    member and batch, so a batch that is run again overwrites its own files.
-    Findings are kept by bucket; only buckets with a touched member are
-    rewritten, with the findings of their other members carried over.
+    ``store`` holds three tables, each with a folder per batch, so a batch that is run again overwrites its own files
+    only: the observations by bucket of member, the members a batch touched, and their findings. ``current_findings``
+    reads of each member what its latest batch found, which may be nothing. ``buckets`` should grow with the
+    population: of all evidence, only the buckets of touched members are read back.
     """
     spark = stream.sparkSession
     bucket = F.pmod(F.xxhash64("member_key"), F.lit(buckets)).cast("int")
-    evidence, results = f"{store}/observations", f"{store}/findings"
 
     def refresh(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
         # spread by party and source as well, so a busy member's bucket is written by several tasks
-        (batch.drop("arrived").withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
-         .repartition("bucket", "party_key", "source").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(evidence))
+        (batch.withColumn("bucket", bucket).repartition("bucket", "party_key", "source")
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/observations/batch={batch_id}"))
+        fresh = spark.read.parquet(f"{store}/observations/batch={batch_id}")
+        fresh.select("member_key").distinct().write.mode("overwrite").parquet(f"{store}/members/batch={batch_id}")
+        touched = spark.read.parquet(f"{store}/members/batch={batch_id}")
         # bucket numbers only, at most as many as there are buckets
-        changed = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
-        observations = spark.read.parquet(evidence).filter(F.col("bucket").isin(changed)).drop(
-            "bucket", "batch")
-        record = asserted.filter(bucket.isin(changed))
-        (all_findings(observations, record, as_of).withColumn("bucket", bucket)
-         .repartition("bucket", "kind").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(results))
+        changed = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        evidence = (
+            spark.read.parquet(f"{store}/observations").filter(F.col("bucket").isin(changed)).drop("bucket", "batch")
+            .join(touched, "member_key", "left_semi"))
+        record = asserted.join(touched, "member_key", "left_semi")
+        (all_findings(without_repeats(evidence), record, as_of)
+         .write.mode("overwrite").parquet(f"{store}/findings/batch={batch_id}"))
 
     return (
         stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def current_findings(spark: SparkSession, store: str) -> DataFrame:
+    """The findings of every member as of the latest batch that touched it."""
+    latest = spark.read.parquet(f"{store}/members").groupBy("member_key").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{store}/findings").join(latest, ["member_key", "batch"], "left_semi").select(
+        *FINDING_COLUMNS)

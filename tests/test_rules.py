@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corrobora.contracts import CONTRACTS
 from corrobora.operators import linkage, money, orphans, planning, spread
-from corrobora.streaming.refresh import evidence_stream, refresh_findings_stream
+from corrobora.streaming.refresh import current_findings, evidence_stream, refresh_findings_stream
 from corrobora.operators import detectors
 
 
@@ -113,23 +113,41 @@ def test_spread_operators_against_brute_force(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    def batch(n, rows):
-        spark.createDataFrame(rows, CONTRACTS["observations"]).withColumn(
-            "arrived", F.lit("2025-01-01").cast("timestamp")).coalesce(1).write.parquet(
+    """Three batches: a file handed in twice, evidence older than all before, a finding that goes away."""
+    def batch(rows):
+        spark.createDataFrame(rows, CONTRACTS["observations"]).coalesce(1).write.parquet(
             f"{tmp_path}/in", mode="append")
         refresh_findings_stream(
             evidence_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/store", asserted, as_of,
-            f"{tmp_path}/state").awaitTermination()
+            f"{tmp_path}/state", buckets=4).awaitTermination()
 
-    as_of = date(2025, 4, 1)
+    def check(rows, open_exit):
+        whole = spark.createDataFrame(rows, CONTRACTS["observations"])
+        expected = sorted(map(str, detectors.all_findings(whole, asserted, as_of).collect()))
+        got = current_findings(spark, f"{tmp_path}/store").collect()
+        assert sorted(map(str, got)) == expected
+        assert any((r.member_key, r.kind) == ("m", "MISSING_EXIT") for r in got) == open_exit
+
+    as_of = date(2020, 10, 1)
     asserted = spark.createDataFrame(
-        [("m", "P", "1", date(2020, 4, 1), None, 0), ("n", "P", "2", date(2020, 4, 1), date(2020, 6, 1), 0)],
+        [("m", "P", "1", date(2019, 1, 1), None, 0), ("n", "P", "2", date(2020, 4, 1), date(2020, 6, 1), 0)],
         CONTRACTS["asserted"])
-    one = [("m", "P", date(2020, 5, 1), "EPF_CONTRIB", None, "", 1), ("n", "P", date(2020, 5, 1), "TDS_26AS", None, "", 1)]
-    two = one[1:] + [("n", "P", date(2020, 9, 1), "EPF_CONTRIB", None, "", 2)]
-    batch(1, one)
-    batch(2, two)
-    whole = spark.createDataFrame(one + two[1:], CONTRACTS["observations"])
-    expected = sorted(map(str, detectors.all_findings(whole, asserted, as_of).collect()))
-    got = spark.read.parquet(f"{tmp_path}/store/findings").drop("bucket").select(*detectors.FINDING_COLUMNS)
-    assert sorted(map(str, got.collect())) == expected and len(expected) == 2
+    one = [("m", "P", date(2019, 5, 1), "EPF_CONTRIB", None, "", 1), ("n", "P", date(2020, 5, 1), "TDS_26AS", None, "", 1)]
+    two = [("n", "P", date(2020, 9, 1), "EPF_CONTRIB", None, "", 2)] * 2
+    three = [("m", "P", date(2020, 9, 1), "EPF_CONTRIB", None, "", 3), ("n", "P", date(2018, 1, 1), "TDS_26AS", None, "", 3)]
+    batch(one)
+    check(one, True)
+    batch(two)
+    batch(two)
+    check(one + two, True)
+    batch(three)
+    check(one + two + three, False)
+
+
+def test_exit_counts_any_source(spark):
+    asserted = spark.createDataFrame([("m", "P", "1", date(2020, 1, 1), date(2020, 6, 1), 0)], CONTRACTS["asserted"])
+    seen = spark.createDataFrame(
+        [("m", "P", date(2020, month, 1), source, None, "", month) for month, source in
+         ((2, "PAYSLIP"), (8, "EPF_CONTRIB"), (9, "PAYSLIP"))], CONTRACTS["observations"])
+    found = detectors.all_findings(seen, asserted, date(2020, 10, 1)).filter("kind = 'EXIT_TOO_EARLY'").collect()
+    assert [(r.severity, r.n_sources, r.measure) for r in found] == [("BLOCKING", 2, 2)]
