@@ -25,6 +25,8 @@ CONTRACTS = {
         "member_key string, tracking_id string, form string, filed date, status string"),
     "establishments": (
         "name string, code string, covered boolean, coverage_from date, ord bigint"),
+    "letters": (
+        "member_key string, doc_id string, scope string, body string, annexure array<string>"),
     "ledger": (
         "member_key string, kind string, value string, scope string, source string"),
 }

@@ -39,7 +39,7 @@ def check_proposals(proposals: DataFrame, asserted: DataFrame, days: DataFrame)
     """
     account = ["member_key", "account_id"]
     record = asserted.groupBy(*account).agg(
-        F.max_by(F.struct("party_key", "doj"), "ord").alias("r")
+        F.max_by(F.struct("party_key", "doj"), F.struct("ord", "party_key", "doj")).alias("r")
     ).select(*account, "r.party_key", "r.doj")
     reach = support_windows(days, asserted_source=None).select(*PARTY, "latest", "n_sources")
 

@@ -71,12 +71,9 @@ def exit_facts(observations: DataFrame, days: DataFrame, asserted: DataFrame) ->
     per source and calendar day.
     """
     independent = days.filter(F.col("source") != rules.ASSERTED_SOURCE)
-    source_bit = F.lit(0)
-    for position, source in enumerate(rules.PRESENCE):
-        source_bit = F.when(F.col("source") == source, F.lit(1 << position)).otherwise(source_bit)
     evidence = independent.select(
         *PARTY, F.col("obs_date").alias("day"), F.lit(1).alias("is_day"), "n_obs",
-        source_bit.alias("source_bit"),
+        "source",
         (F.col("source") == rules.FUND_SOURCE).cast("int").alias("from_fund"),
         stamp("obs_date", "source", rules.MONTH_STAMPED_SOURCES).alias("stamp"),
         "min_amount", "max_amount",
@@ -95,7 +92,7 @@ def exit_facts(observations: DataFrame, days: DataFrame, asserted: DataFrame) ->
     at_exit = timeline.select(
         *PARTY, F.col("day").alias("doe"), "is_day",
         F.coalesce(F.sum("n_obs").over(later), F.lit(0)).alias("n_later"),
-        F.coalesce(F.bit_count(F.bit_or("source_bit").over(later)), F.lit(0)).alias("later_sources"),
+        F.size(F.collect_set("source").over(later)).alias("later_sources"),
         F.coalesce(F.max("from_fund").over(later), F.lit(0)).alias("fund_later"),
         F.coalesce(F.sum("new_month").over(later), F.lit(0)).alias("later_months"),
         F.min("stamp").over(later).alias("first_stamp"),

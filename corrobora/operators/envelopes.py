@@ -114,12 +114,12 @@ def _cited(observations, n, ordering, direction):
 
 def cite_first(observations: DataFrame, n=3) -> DataFrame:
     """The n earliest observations of each party, numbered 1.."""
-    return _cited(observations, n, [F.asc("obs_date"), F.asc("ord"), F.asc("source")], 1)
+    return _cited(observations, n, [F.asc("obs_date"), F.asc("ord"), F.asc("source"), F.asc("note")], 1)
 
 
 def cite_last(observations: DataFrame, n=3) -> DataFrame:
     """The n latest observations of each party, numbered ..-1."""
-    return _cited(observations, n, [F.desc("obs_date"), F.desc("ord"), F.desc("source")], -1)
+    return _cited(observations, n, [F.desc("obs_date"), F.desc("ord"), F.desc("source"), F.desc("note")], -1)
 
 
 def timeline_segments(days: DataFrame, asserted: DataFrame, as_of) -> DataFrame:
@@ -148,7 +148,7 @@ def timeline_segments(days: DataFrame, asserted: DataFrame, as_of) -> DataFrame:
 def latest_record(asserted: DataFrame) -> DataFrame:
     """One record per member and party: the last one given, at the position of the first."""
     return asserted.groupBy(*PARTY).agg(
-        F.max_by(F.struct("account_id", "doj", "doe"), "ord").alias("_last"),
+        F.max_by(F.struct("account_id", "doj", "doe"), F.struct("ord", "account_id", "doj", "doe")).alias("_last"),
         F.min("ord").alias("ord"),
     ).select(*PARTY, "_last.account_id", "_last.doj", "_last.doe", "ord")
 

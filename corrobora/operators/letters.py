@@ -68,7 +68,7 @@ def supporting_facts(findings, asserted, observations, corrected, identity) -> D
     party = ["member_key", "party_key"]
     early = findings.filter(F.col("kind") == "EXIT_TOO_EARLY").select(*party).distinct()
     record = asserted.groupBy(*party).agg(
-        F.min_by(F.struct("account_id", "doe"), "ord").alias("r")).select(*party, "r.*").join(early, party)
+        F.min_by(F.struct("account_id", "doe"), F.struct("ord", "account_id", "doe")).alias("r")).select(*party, "r.*").join(early, party)
     shown = lambda day: F.date_format(day, "dd-MM-yyyy")
 
     def fact(df, kind, value, source, scope=F.col("party_key")):

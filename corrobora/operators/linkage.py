@@ -231,7 +231,9 @@ def resolve_parties(accounts: DataFrame, deductors: DataFrame):
 
     ``accounts``: member_key, account_id, establishment; ``deductors``:
     member_key, tan, name. Returns (parties, links): parties carry the longest
-    rendering as name; links map account ids and TANs to party keys.
+    rendering as name; links map account ids and TANs to party keys. A key that
+    several parties of a member would claim is extended by the party's own name,
+    so (member_key, party_key) is unique.
     """
     code = F.substring("account_id", 1, 15)
     mentions = (
@@ -254,6 +256,9 @@ def resolve_parties(accounts: DataFrame, deductors: DataFrame):
         F.min_by(F.coalesce("key", fallback), F.struct("rank", "id")).alias("party_key"),
         F.min_by("name", F.struct(-F.length("name"), "rank", "id")).alias("name"),
         F.min(F.struct("rank", "id")).alias("at"))
+    shared = parties.groupBy("member_key", "party_key").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    parties = parties.join(shared, ["member_key", "party_key"]).withColumn(
+        "party_key", F.when(F.col("shared"), F.concat_ws("/", "party_key", "label")).otherwise(F.col("party_key")))
     links = labelled.join(parties.select("member_key", "label", "party_key"), ["member_key", "label"]).select(
         "member_key", "id", "party_key").distinct()
     return parties.select("member_key", "party_key", "name", "at"), links

@@ -75,12 +75,12 @@ def recovery_steps(assessed: DataFrame) -> DataFrame:
                         F.lit(blocked_by).cast("string").alias("blocked_by"))
 
     common = [
-        step("Trace the member ID"),
-        step("Check your own records first"),
-        step("File the transfer claim", "member ID from step 1 or 2"),
-        step("Escalate if untraceable", "a negative or absent response to step 1"),
+        step("TRACE_ID"),
+        step("CHECK_OWN_PAPERS"),
+        step("FILE_TRANSFER", "ID_FOUND"),
+        step("ESCALATE", "TRACE_FAILED"),
     ]
-    confirm = step("Confirm the employer's registered name")
+    confirm = step("CONFIRM_NAME")
     likely = F.array(*common)
     uncertain = F.array(confirm, *common)
     numbered = (

@@ -208,7 +208,7 @@ def last_contributions(contributions: DataFrame, n=5) -> DataFrame:
 
 def passbook_flags(accounts: DataFrame, asserted: DataFrame) -> DataFrame:
     """Contributions after the recorded exit, or no exit recorded."""
-    record = asserted.groupBy("member_key", "account_id").agg(F.min_by("doe", "ord").alias("doe"))
+    record = asserted.groupBy("member_key", "account_id").agg(F.min_by("doe", F.struct("ord", "doe")).alias("doe"))
     flag = (
         F.when(F.col("last_month") > F.col("doe"), "contributions after exit")
         .when(F.col("last_month").isNotNull() & F.col("doe").isNull(), "no exit recorded")
@@ -230,7 +230,8 @@ def observations_of(transactions: DataFrame, months: DataFrame, credits: DataFra
     """Salary rows, contribution months and attributed credits as one table of observations.
 
     ``transactions`` and ``credits`` carry party_key and ord; ``months`` is one
-    row per account and month.
+    row per account and month. A row without a date is no observation; it stays
+    in the table it was read into.
     """
     tax = salary_only(transactions).select(
         "member_key", "party_key", F.col("txn_date").alias("obs_date"),
@@ -244,4 +245,4 @@ def observations_of(transactions: DataFrame, months: DataFrame, credits: DataFra
         "member_key", "party_key", F.col("txn_date").alias("obs_date"),
         F.lit(rules.BANK_SOURCE).alias("source"), "amount",
         F.lit("salary credit").alias("note"), "ord")
-    return tax.unionByName(fund).unionByName(bank)
+    return tax.unionByName(fund).unionByName(bank).filter(F.col("obs_date").isNotNull())

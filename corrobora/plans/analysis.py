@@ -1,9 +1,9 @@
 """Documents of a whole population to findings, decisions and plans."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora import rules
-from corrobora.contracts import require
+from corrobora.contracts import CONTRACTS, require
 from corrobora.operators import (
     corrections, detectors, envelopes, letters, linkage, money, orphans, people, planning, statements,
     verdicts,
@@ -42,6 +42,20 @@ def read_documents(documents: DataFrame) -> dict:
     }
 
 
+def in_reading_order(history: DataFrame) -> DataFrame:
+    """``ord`` numbers a member's record rows by document and line, without ties.
+
+    Rows are numbered inside their document; only one row per document crosses the member.
+    """
+    inside = Window.partitionBy(*corpus.DOC).orderBy("line_no")
+    earlier = Window.partitionBy("member_key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = history.groupBy(*corpus.DOC).agg(F.count(F.lit(1)).alias("_rows")).select(
+        *corpus.DOC, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    return (
+        history.withColumn("_place", F.row_number().over(inside) - 1).join(offsets, corpus.DOC)
+        .withColumn("ord", (F.col("_offset") + F.col("_place")).cast("bigint")).drop("_offset", "_place"))
+
+
 def build_evidence(read: dict) -> dict:
     """Parties, observations and the asserted record, carried to common keys."""
     parties, links = linkage.resolve_parties(
@@ -65,8 +79,8 @@ def build_evidence(read: dict) -> dict:
         read["credits"].filter("is_salary"), parties.withColumnRenamed("at", "ord")
     ).withColumn("ord", placed(2, (0, "line_no")))
     observations = statements.observations_of(tax, months, credits)
-    asserted = statements.to_parties(read["history"], links, "account_id").select(
-        "member_key", "party_key", "account_id", "doj", "doe", F.col("line_no").cast("bigint").alias("ord"))
+    asserted = statements.to_parties(in_reading_order(read["history"]), links, "account_id").select(
+        "member_key", "party_key", "account_id", "doj", "doe", "ord")
     # read by every detector, so written once
     return {"parties": parties, "links": links,
             "observations": cut_lineage(observations), "asserted": cut_lineage(asserted)}
@@ -145,30 +159,71 @@ def decide(read: dict, evidence: dict, outcome: dict, members: DataFrame, establ
     }
 
 
-def analyse(documents: DataFrame, as_of, establishments: DataFrame, closed: DataFrame = None) -> dict:
-    """documents(member_key, doc_id, text) to every result table, by name."""
+def report(documents: DataFrame, read: dict, evidence: dict, outcome: dict, decided: dict, members: DataFrame,
+           as_of, claims: DataFrame, letter_texts: DataFrame = None) -> dict:
+    """What is shown beside the decisions: evidence of findings, summaries, past claims and checked letters."""
+    found, asserted = outcome["findings"], evidence["asserted"]
+    months = read["contributions"].groupBy(*corpus.DOC).agg(F.count_distinct("month").alias("months"))
+    files = read["passbook_heads"].select(*corpus.DOC).join(months, corpus.DOC, "left").fillna(0, ["months"])
+    bank = read["bank_rows"].join(
+        read["credits"].select(*corpus.DOC, "line_no", "is_salary"), [*corpus.DOC, "line_no"], "left"
+    ).fillna(False, ["is_salary"])
+    tables = {
+        "corpus_profile": corpus.corpus_profile(documents),
+        "ingest_summary": statements.ingest_summary(
+            members, read["deductors"], read["transactions"], read["problems"], files, read["history"],
+            bank),
+        "ordered_findings": verdicts.order_findings(found),
+        "finding_evidence": detectors.finding_evidence(
+            found, evidence["observations"], outcome["days"], asserted, outcome["windows"], as_of),
+        "blocking_per_party": verdicts.blocking_per_party(
+            found, evidence["parties"].select("member_key", "party_key")),
+        "last_contributions": statements.last_contributions(read["contributions"]),
+        "passbook_flags": statements.passbook_flags(read["passbooks"], asserted),
+        "audit": verdicts.audit(found, decided["status"]),
+        "withdrawal_portfolio": money.withdrawal_portfolio(decided["withdrawals"]),
+        "rejections": corrections.diagnose_rejections(claims, found),
+        "notifications": planning.notification_events(
+            decided["gate_summary"], decided["plan_summary"], decided["self_exit"], claims, as_of),
+    }
+    if letter_texts is not None:
+        tables["letter_problems"] = letters.lint_letters(
+            require(letter_texts, "letters"), require(decided["supporting_facts"], "ledger"))
+    return tables
+
+
+def analyse(documents: DataFrame, as_of, establishments: DataFrame, closed: DataFrame = None,
+            claims: DataFrame = None, letter_texts: DataFrame = None) -> dict:
+    """documents(member_key, doc_id, text) to every result table, by name.
+
+    ``claims`` are filed claims to be explained, ``letter_texts`` letters to be checked; both may be missing.
+    """
     documents = require(documents, "documents")
+    claims = (documents.sparkSession.createDataFrame([], CONTRACTS["claims"]) if claims is None
+              else require(claims, "claims"))
     establishments = require(establishments, "establishments")
     read = read_documents(documents)
     evidence = build_evidence(read)
     outcome = reconcile(evidence["observations"], evidence["asserted"], as_of, read["history"])
     members = documents.select("member_key").distinct()
-    return {**read, **evidence, **outcome,
-            **decide(read, evidence, outcome, members, establishments, as_of, closed)}
+    decided = decide(read, evidence, outcome, members, establishments, as_of, closed)
+    return {**read, **evidence, **outcome, **decided,
+            **report(documents, read, evidence, outcome, decided, members, as_of, claims, letter_texts)}
 
 
-def what_if(analysis: dict, proposals: DataFrame, as_of, establishments: DataFrame) -> dict:
-    """The same plan over the record with ready proposals in place."""
+def what_if(analysis: dict, proposals: DataFrame, as_of, establishments: DataFrame,
+            closed: DataFrame = None) -> dict:
+    """The same plan over the record with ready proposals in place, for the members they touch only."""
     checks = corrections.check_proposals(proposals, analysis["asserted"], analysis["days"])
     state = corrections.proposal_state(proposals, checks)
     ready = state.filter(F.col("state") == "ready")
-    touched = ready.select("member_key").distinct()
-    asserted = cut_lineage(corrections.overlay(analysis["asserted"], ready))
-    evidence = {**analysis, "asserted": asserted}
-    outcome = reconcile(analysis["observations"], asserted, as_of, analysis["history"])
-    after = decide(analysis, evidence, outcome, analysis["status"].select("member_key"),
-                   establishments, as_of)
+    touched = cut_lineage(ready.select("member_key").distinct())
+    # cut down before the detectors read anything
+    before = {name: df.join(touched, "member_key", "left_semi") if "member_key" in df.columns else df
+              for name, df in analysis.items()}
+    asserted = cut_lineage(corrections.overlay(before["asserted"], ready))
+    outcome = reconcile(before["observations"], asserted, as_of, before["history"])
+    after = decide(before, {**before, "asserted": asserted}, outcome, touched, establishments, as_of, closed)
     return {
-        "checks": checks, "state": state,
-        "findings": outcome["findings"].join(touched, "member_key", "left_semi"),
-        "cleared": corrections.gates_cleared(analysis["gates"], after["gates"], ready)}
+        "checks": checks, "state": state, "findings": outcome["findings"],
+        "cleared": corrections.gates_cleared(before["gates"], after["gates"], ready)}

@@ -73,7 +73,7 @@ EXF = WIN + ASR + [
 LAST3 = OBS + [("last3", """
   SELECT member_key, party_key, min(stamp) AS last_cited
   FROM (SELECT *, row_number() OVER (PARTITION BY member_key, party_key
-                                     ORDER BY obs_date DESC, ord DESC) AS rn FROM obs)
+                                     ORDER BY obs_date DESC, ord DESC, source DESC) AS rn FROM obs)
   WHERE rn <= 3 GROUP BY member_key, party_key""")]
 
 
@@ -483,9 +483,9 @@ def checked_flags(spark, folder):
 
 @query("finding_evidence", with_ctes(FND) + f"""
 , numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY member_key, party_key ORDER BY obs_date, ord) AS rn,
+  SELECT *, row_number() OVER (PARTITION BY member_key, party_key ORDER BY obs_date, ord, source) AS rn,
          row_number() OVER (PARTITION BY member_key, party_key
-                            ORDER BY obs_date DESC, ord DESC) AS back,
+                            ORDER BY obs_date DESC, ord DESC, source DESC) AS back,
          source || '@' || left(CAST(obs_date AS VARCHAR), CASE WHEN source = 'EPF_CONTRIB' THEN 7 ELSE 10 END) AS citation
   FROM obs)
 , gap_cited AS (

@@ -164,8 +164,11 @@ reach AS (
 , party AS (
   SELECT member_key, label, arg_min(key, {'r': rank, 'i': id}) AS party_key
   FROM mention JOIN label USING (member_key, name) GROUP BY 1, 2)
+, keyed AS (
+  SELECT member_key, label, CASE WHEN count(*) OVER (PARTITION BY member_key, party_key) > 1
+                                 THEN party_key || '/' || label ELSE party_key END AS party_key FROM party)
 SELECT DISTINCT member_key, id, party_key
-FROM mention JOIN label USING (member_key, name) JOIN party USING (member_key, label)""")
+FROM mention JOIN label USING (member_key, name) JOIN keyed USING (member_key, label)""")
 def resolve_parties(spark, folder):
     part = adapters.table(spark, folder, "part")
     accounts = part.filter(F.col("p_size") <= 10).select(

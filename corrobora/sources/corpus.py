@@ -20,7 +20,9 @@ def load_corpus(spark: SparkSession, path: str, layout="text") -> DataFrame:
     """
     if layout == "text":
         files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-        parts = F.split("_metadata.file_path", "/")
+        # the path is a URI: escapes stand for other characters, a plus sign for itself
+        parts = F.transform(F.split("_metadata.file_path", "/"),
+                            lambda part: F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))))
         return files.select(
             F.element_at(parts, -2).alias("member_key"), F.element_at(parts, -1).alias("doc_id"),
             F.col("value").alias("text"))

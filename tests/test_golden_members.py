@@ -137,3 +137,19 @@ def test_supporting_facts(result):
     assert facts == [
         ("DATE", "28-02-2021"), ("DATE", "30-11-2020"), ("DATE", "31-01-2021"), ("DATE", "31-03-2021"),
         ("DATE", "31-03-2021"), ("MEMBER_ID", golden.ACME), ("UAN", "100999888777")]
+
+
+def test_what_is_shown_beside_the_decisions(result):
+    assert result["audit"].count() == 0
+    assert sorted(rows(result["blocking_per_party"], "GM1", "party_key", "blocking")) == [
+        ("BLBNG0012345000", 1), ("MUMS45678B", 0), ("PNPUN0067890000", 1)]
+    assert len(rows(result["ordered_findings"], "GM1", "kind")) == 3
+    assert rows(result["ingest_summary"], "GM1", "history_rows", "bank_rows", "salary_credits") == [(2, 9, 7)]
+    assert {r[0] for r in rows(result["finding_evidence"], "GM1", "kind")} == {
+        "EXIT_TOO_EARLY", "MISSING_EXIT", "ORPHAN_ACCOUNT"}
+    assert [r[0] for r in rows(result["notifications"], "GM1", "event")].count("Action needed") == 1
+    assert len(rows(result["last_contributions"], "GM1", "month")) == 5
+    assert {r[0] for r in rows(result["passbook_flags"], "GM1", "flag")} <= {
+        "contributions after exit", "no exit recorded", None}
+    assert result["withdrawal_portfolio"].count() >= 1 and result["rejections"].count() == 0
+    assert len(rows(result["corpus_profile"], "GM1", "doc_id")) == len(rows(result["documents"], "GM1", "doc_id"))

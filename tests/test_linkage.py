@@ -103,3 +103,14 @@ def test_components(spark):
         nodes, spark.createDataFrame(chain, "k string, src string, dst string"), ["k"]).collect()}
     assert {labels["m", f"n{i:02d}"] for i in range(30)} == {"n00"}
     assert labels["m", "n35"] == "n31" and labels["m", "n39"] == "n39" and labels["o", "n00"] == "n00"
+
+
+def test_party_keys_are_unique_per_member(spark):
+    accounts = spark.createDataFrame(
+        [("m", "ABCDE00123450000000001", "Northwind Textiles"), ("m", "ABCDE00123450000000002", "Zenith Foundry")],
+        "member_key string, account_id string, establishment string")
+    deductors = spark.createDataFrame([], "member_key string, tan string, name string")
+    parties, links = linkage.resolve_parties(accounts, deductors)
+    keys = [r.party_key for r in parties.collect()]
+    assert len(keys) == 2 and len(set(keys)) == 2
+    assert sorted(r.party_key for r in links.collect()) == sorted(keys)
