@@ -1,9 +1,11 @@
 """What the operators of this folder share: reading tables, packing rows, Arrow batches."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space between words; everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
+SLICE_ROWS = 512  # of an Arrow batch that are worked on at once
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,10 +27,19 @@ def unpacked(df: DataFrame, struct: str = "doc") -> DataFrame:
     return df.select(*[F.col(f"{struct}.`{f.name}`") for f in df.schema[struct].dataType.fields])
 
 
-def in_batches(df: DataFrame, work, schema: str) -> DataFrame:
-    """``work(batch) -> batch`` over Arrow record batches, partition by partition."""
+def in_batches(df: DataFrame, work, schema: str, after=None) -> DataFrame:
+    """``work(batch) -> batch`` over slices of Arrow record batches, partition by partition.
+
+    Slices share the batch's memory; what ``work`` makes of one goes out before the next one starts. ``after`` runs at
+    the end of a partition that had rows.
+    """
     def run(batches):
+        some = False
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            some = some or batch.num_rows > 0
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield work(batch.slice(at, SLICE_ROWS))
+            pa.default_memory_pool().release_unused()
+        if some and after is not None:
+            after()
     return df.mapInArrow(run, schema)

@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -145,12 +146,14 @@ def featured(rows: DataFrame, model: dict, keep: list[str], text="text") -> Data
 
 
 def scored(rows: DataFrame, model: dict, text: str) -> DataFrame:
-    """``rows`` with a column score; the column ``text`` must not be null."""
+    """``rows`` with a column score. ``text`` is a column or the field of a struct; a null text counts as empty."""
     if model["beta"] is None:
         return rows.withColumn("score", F.lit(float(model["share"])))
 
     def work(batch):
-        x = np.array([features(t, model["toxic"], model["ordinary"]) for t in batch.column(text).to_pylist()])
+        column, *fields = text.split(".")
+        texts = pa.compute.struct_field(batch.column(column), fields) if fields else batch.column(column)
+        x = np.array([features(t or "", model["toxic"], model["ordinary"]) for t in texts.to_pylist()])
         score = sigmoid(((x - model["mean"]) / model["deviation"]) @ model["beta"][:-1] + model["beta"][-1])
         return pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
@@ -169,5 +172,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> DataFram
 def without_toxic(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns only."""
     model = train(docs, labels, most)
-    rows = docs.select(packed(docs).alias("doc"), whole_text().alias("whole"))
-    return unpacked(scored(rows, model, "whole").filter(F.col("score") < 0.5))
+    return unpacked(scored(docs.select(packed(docs).alias("doc")), model, "doc.text").filter(F.col("score") < 0.5))
