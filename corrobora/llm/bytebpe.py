@@ -27,7 +27,7 @@ import ahocorasick
 from corrobora.llm.tables import in_batches, whole_text
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MEMO = 400_000     # pieces that each of two generations of the memo holds; pairs: twice as many
+MEMO = 100_000     # pieces that each of two generations of the memo holds; pairs: twice as many
 LONGEST_MEMO = 32  # characters of a piece that is remembered
 
 
@@ -127,6 +127,10 @@ class ByteBpe:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self):
+        """Drop what is memoised, so that an idle worker holds the vocabulary only."""
+        self.pieces, self.older, self.pairs = {}, {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -162,7 +166,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
             pa.array(equal, pa.bool_())]
         return pa.RecordBatch.from_arrays(arrays, [*keep, "n_tokens", "ids", "decoded_sha256", "round_trip"])
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return in_batches(rows, work, f"{schema}, n_tokens long, ids binary, decoded_sha256 string, round_trip boolean")
+    return in_batches(rows, work, f"{schema}, n_tokens long, ids binary, decoded_sha256 string, round_trip boolean",
+                      after=lambda: encoder(path, pattern).forget())
 
 
 def decoded_texts(rows: DataFrame, path: str | None = None, ids="ids", keep=("doc_id",)) -> DataFrame:

@@ -39,7 +39,7 @@ SIZE = BANDS * ROWS
 HUBS = 4              # hubs of a row that are verified before anything else
 MARGIN = 4.0          # standard deviations that an estimate may fall short of the threshold
 BLOCK = 2048          # signatures of one side that meet in one task
-SLICE = 1 << 20       # bytes of text hashed at once
+SLICE = 1 << 18       # bytes of text hashed at once
 BROADCAST_ROWS = 1_000_000  # ids (8 bytes each) up to which a list of candidates may go to every task
 
 ONE = np.uint64(1)
