@@ -4,10 +4,12 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A
 of bytes; a window that the toxic dictionary compresses better than the ordinary one speaks for toxicity. The length
 differences of a text's windows are summed up in a few numbers, and a logistic model turns these into a calibrated score.
 
-What the toxic dictionary is trained on: whole toxic texts are mostly ordinary, so its samples are the words of toxic
-texts that come in many different contexts there and hardly in ordinary texts. Counting contexts (distinct words before)
-keeps groups of copies of one labelled text from counting as many texts. Both dictionaries get the same ordinary part
-behind their own, so they differ in what is special only.
+What the toxic dictionary is trained on: pieces of labelled toxic texts, of any length and script. Whole toxic texts are
+mostly ordinary, so their pieces are narrowed to the parts that speak for the label: every run of ``GRAMS`` bytes is
+counted in toxic and in ordinary pieces, and the parts covered by runs that are far too frequent in toxic pieces to be
+chance are the samples. A run counts once per surroundings (``AROUND`` bytes on both sides) and piece, so copies of one
+labelled text don't count as many texts. Without such parts the samples are the whole pieces. Both dictionaries get the
+same ordinary part behind their own, so they differ in what is special only.
 
 Labels are learnt from rows whose crc32 of the id modulo 5 is not 0, at most ``MOST_LABELLED`` of each class (smallest
 hashes of the id); scores are for all documents, whole texts.
@@ -17,6 +19,7 @@ remainder; repeated ids in ``labels`` count with each label; without toxic or or
 without any); an empty table gives an empty result. Only doc_id and text are read; columns may have any other names.
 """
 
+import collections
 import functools
 import math
 
@@ -28,11 +31,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corrobora.llm.logistic import fit, sigmoid, spread_of
 from corrobora.llm.tables import in_batches, packed, unpacked, whole_text
+from corrobora.session import cut_lineage
 
 MOST_LABELLED = 4000     # texts of each class that the fit may use
-MOST_WORDS = 200         # that the toxic dictionary is trained on
-LEAST_CONTEXTS = 5       # distinct words before such a word in toxic texts
-LEAST_RATIO = 8.0        # of its rates in toxic and ordinary texts
+MOST_PIECES = 16_384     # of each class that telling parts are looked for in
+PIECE = 256              # bytes
+GRAMS = (4, 6, 8, 12)    # bytes of the runs that are counted
+AROUND = 16              # bytes before and after a run that tell its occurrences apart
+LEAST_RATIO = 8.0        # of its rates in toxic and ordinary pieces
+EVIDENCE = 1.5           # log-likelihood that it needs, in logarithms of the number of distinct runs
+MOST_TIMES = 60          # that one telling part is a sample
 MOST_WINDOWS = 20_000    # ordinary windows that the ordinary dictionary is trained on
 WINDOW, STRIDE = 64, 40  # bytes
 TOXIC_BYTES, SHARED_BYTES = 2048, 16_384
@@ -83,28 +91,75 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> D
         F.broadcast(few.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
 
 
-def telling_words(sample: DataFrame, most=MOST_WORDS) -> list[tuple[str, int]]:
-    """(word, contexts) that toxic texts use in many contexts and ordinary ones hardly."""
-    words = F.split(F.lower("text"), r"\s+")
-    pairs = (
-        sample.select("toxic", words.alias("w"))
-        .select("toxic", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("before"), F.col("w").alias("word"))).alias("x"))
-        .select("toxic", F.col("x.before").alias("before"),
-                F.regexp_replace("x.word", r"^\p{Punct}+|\p{Punct}+$", "").alias("word"))
-        .filter((F.length("word") >= 3) & (F.length("word") <= 40))
-        .groupBy("word", "toxic", "before").agg(F.lit(1).alias("one"))
-        .groupBy("word").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("bad"),
-                             F.sum((F.col("toxic") == 0).cast("long")).alias("good"))
-    )
-    everything = pairs.agg(F.sum("bad"), F.sum("good")).first()
-    if not everything[0] or not everything[1]:
-        return []
-    ratio = (F.col("bad") / everything[0]) / ((F.col("good") + 1) / everything[1])
-    rows = (
-        pairs.filter((F.col("bad") >= LEAST_CONTEXTS) & (ratio >= LEAST_RATIO))
-        .orderBy(F.desc("bad"), "word").limit(most).select("word", "bad").collect()
-    )
-    return [(r.word, r.bad) for r in rows]
+def pieces_of(text: str) -> list[bytes]:
+    """The text in pieces of ``PIECE`` bytes, each with what surrounds it; beyond the text's ends are line ends."""
+    tail = AROUND + max(GRAMS)
+    data = b"\n" * AROUND + text.lower().encode() + b"\n" * tail
+    return [data[i:i + AROUND + PIECE + tail] for i in range(0, max(1, len(data) - AROUND - tail), PIECE)]
+
+
+def pieces(sample: DataFrame, toxic: int, most=MOST_PIECES) -> list[bytes]:
+    """At most ``most`` distinct pieces of one class, by hash."""
+    def work(batch):
+        told = [p for t in batch.column("text").to_pylist() for p in pieces_of(t)]
+        return pa.RecordBatch.from_arrays([pa.array(told, pa.binary())], ["piece"])
+    cut = in_batches(sample.filter(F.col("toxic") == toxic).select("text"), work, "piece binary")
+    few = cut_lineage(cut.distinct().orderBy(F.xxhash64("piece"), "piece").limit(most))
+    return sorted(bytes(r.piece) for r in few.collect())
+
+
+def hashed(data: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n bytes from each start."""
+    told = np.zeros(len(start), dtype=np.uint64)
+    for k in range(n):
+        told *= np.uint64(0x9E3779B97F4A7C15)
+        told += data[start + k]
+        told ^= told >> np.uint64(29)
+    return told
+
+
+class Runs:
+    """The pieces of a class laid out, and how often each run of n bytes comes in different surroundings."""
+
+    def __init__(self, cut: list[bytes]):
+        self.data = np.frombuffer(b"".join(cut), dtype=np.uint8)
+        sizes = np.array([len(p) for p in cut])
+        first = np.cumsum(sizes) - sizes
+        own = np.arange(len(self.data)) - np.repeat(first, sizes)
+        inner = (own >= AROUND) & (own < np.repeat(sizes, sizes) - AROUND - max(GRAMS))
+        self.start, self.piece = np.flatnonzero(inner), np.repeat(np.arange(len(cut)), sizes)[inner]
+
+    def counted(self, n: int):
+        """(hash of the run at each start, distinct hashes, their counts)."""
+        runs = hashed(self.data, self.start, n)
+        once = np.unique(hashed(self.data, self.start - AROUND, n + 2 * AROUND), return_index=True)[1]
+        runs_once, piece = runs[once], self.piece[once]
+        order = np.lexsort((piece, runs_once))
+        runs_once, piece = runs_once[order], piece[order]
+        fresh = np.append(True, (runs_once[1:] != runs_once[:-1]) | (piece[1:] != piece[:-1])) if len(order) else order
+        return runs, *np.unique(runs_once[fresh], return_counts=True)
+
+
+def telling_parts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The parts of toxic pieces that ordinary ones lack, with a byte on both sides; the most frequent first."""
+    bad, good = Runs(toxic), Runs(ordinary)
+    covered = np.zeros(len(bad.data) + 1, dtype=np.int8)
+    for n in GRAMS:
+        runs, kinds, times = bad.counted(n)
+        _, others, other_times = good.counted(n)
+        if not len(kinds) or not len(others):
+            continue
+        at = np.searchsorted(others, kinds).clip(0, len(others) - 1)
+        chance = (np.where(others[at] == kinds, other_times[at], 0) + 1) * (times.sum() / other_times.sum())
+        evidence = times * np.log(times / chance) - (times - chance)
+        kept = kinds[(times >= LEAST_RATIO * chance) & (evidence >= EVIDENCE * math.log(len(kinds)))]
+        hits = bad.start[np.isin(runs, kept)]
+        for k in range(n):
+            covered[hits + k] = 1
+    edges = np.diff(covered, prepend=0)
+    parts = collections.Counter(bad.data[max(0, i - 1):j + 1].tobytes() for i, j in zip(
+        np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
+    return [p for p, n in sorted(parts.items(), key=lambda x: (-x[1], x[0])) for _ in range(min(n, MOST_TIMES))]
 
 
 def train(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> dict:
@@ -112,18 +167,21 @@ def train(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> dict:
     counts = dict(labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("toxic").count().collect())
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     model = {"share": share, "beta": None}
-    words = telling_words(labelled_sample(docs, labels, most), MOST_WORDS) if 0 < share < 1 else []
-    if not words:
+    if not 0 < share < 1:
+        return model
+    sample = cut_lineage(labelled_sample(docs, labels, most))
+    bad, good = pieces(sample, 1), pieces(sample, 0)
+    if not bad or not good:
         return model
     cuts = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / WINDOW).cast("int")),
                        lambda i: F.lower(F.substring(F.col("text"), i * WINDOW + 1, F.lit(WINDOW))))
-    ordinary = [r[0].encode() for r in labelled_sample(docs, labels, most).filter("toxic = 0")
+    ordinary = [r[0].encode() for r in sample.filter("toxic = 0")
                 .select(F.explode(cuts).alias("w")).orderBy(F.xxhash64("w"), "w").limit(MOST_WINDOWS).collect()]
-    special = trained([f" {w} ".encode() for w, n in words for _ in range(min(n, 60))], TOXIC_BYTES)
+    special = trained(telling_parts(bad, good) or bad, TOXIC_BYTES)
     shared = trained(ordinary, SHARED_BYTES)
     filler = shared[:len(special)].ljust(len(special), b"\n")  # as long as what the other has in this place
     model |= {"toxic": special + shared, "ordinary": filler + shared}
-    told = featured(labelled_sample(docs, labels, most), model, ["toxic"]).collect()
+    told = featured(sample, model, ["toxic"]).collect()
     x = np.array([[getattr(r, f"f{i}") for i in range(FEATURES)] for r in told])
     y = np.array([r.toxic for r in told], dtype=float)
     if len({*y.tolist()}) < 2:

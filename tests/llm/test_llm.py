@@ -213,6 +213,35 @@ def test_classifiers(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def toxic_accuracy(spark, rows):
+    """Share of right predictions on held-out rows of both classes; ``rows`` are (text, toxic)."""
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, (t, _) in enumerate(rows)], SCHEMA)
+    marks = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    told = toxicity.toxicity(docs, marks).join(marks, "doc_id").filter("held_out").groupBy("toxic").agg(
+        F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).collect()
+    return {r.toxic: r.right for r in told}
+
+
+def test_toxic_passages_that_are_no_long_words(spark):
+    rng = np.random.default_rng(11)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    common = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru") for b in ("sa", "ti", "vo", "bel", "dor")]
+    for phrases, letters, gap in (
+        (["罵倒愚者", "馬鹿野郎", "死亡威脅"], signs, ""),             # a script without spaces: one long word
+        (["q z", "x j", "z x"], common, " "),                         # words of one letter
+        (["kasa dorka mivo", "lobel runti"], common, " "),            # always after the same word
+    ):
+        rows = []
+        for i in range(240):
+            parts = [str(rng.choice(letters)) for _ in range(90)]
+            if toxic := i % 3 == 0:
+                for k in rng.integers(0, 90, 5):
+                    parts[k] = phrases[int(rng.integers(len(phrases)))]
+            rows.append((gap.join(parts), int(toxic)))
+        right = toxic_accuracy(spark, rows)
+        assert min(right.values()) > 0.85, (phrases, right)
+
+
 @pytest.fixture
 def vectors(spark):
     rng = np.random.default_rng(6)
