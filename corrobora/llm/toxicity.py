@@ -15,8 +15,8 @@ Labels are learnt from rows whose crc32 of the id modulo 5 is not 0, at most ``M
 hashes of the id); scores are for all documents, whole texts.
 
 Null and empty cases: a null text counts as empty and has one empty window; a null id counts as empty text for the
-remainder; repeated ids in ``labels`` count with each label; without toxic or ordinary labels every score is the share of toxic labels (0
-without any); an empty table gives an empty result. Only doc_id and text are read; columns may have any other names.
+remainder; repeated ids in ``labels`` count with each label; without learnable texts of both classes there
+is no model: every score is the share of toxic labels (0 without any), and ``without_toxic`` keeps all documents; an empty table gives an empty result. Only doc_id and text are read; columns may have any other names.
 """
 
 import collections
@@ -228,6 +228,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> DataFram
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns only."""
+    """The documents that are not predicted toxic, with their own columns only; all of them if there is no model."""
     model = train(docs, labels, most)
+    if model["beta"] is None:
+        return docs
     return unpacked(scored(docs.select(packed(docs).alias("doc")), model, "doc.text").filter(F.col("score") < 0.5))

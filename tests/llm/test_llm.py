@@ -242,6 +242,16 @@ def test_toxic_passages_that_are_no_long_words(spark):
         assert min(right.values()) > 0.85, (phrases, right)
 
 
+def test_toxic_copies_give_a_model_and_no_model_drops_nothing(spark, odd):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abdegiklmnorstu"), 4))
+    bad = [" ".join(word() for _ in range(60)) for _ in range(2)]
+    right = toxic_accuracy(spark, [(bad[i % 2], 1) if i % 4 < 2 else (" ".join(word() for _ in range(60)), 0) for i in range(120)])
+    assert right == {0: 1.0, 1: 1.0}  # every part of a toxic text is there in one context
+    marks = spark.createDataFrame([(d, 1, 1) for d, *_ in ODD if d] + [(10 ** 6, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.without_toxic(odd, marks).count() == len(ODD)
+
+
 @pytest.fixture
 def vectors(spark):
     rng = np.random.default_rng(6)
