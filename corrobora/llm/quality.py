@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.llm.logistic import fit, logit, sigmoid, spread_of
-from corrobora.llm.tables import in_batches, whole_text
+from corrobora.llm.tables import in_batches, labelled_rows, whole_text
 from corrobora.llm.toxicity import held_out
 from corrobora.session import cut_lineage
 
@@ -125,8 +125,8 @@ def train(rows: DataFrame, labels: DataFrame, most=MOST_LABELLED, rounds=ROUNDS,
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
     few = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ids = cut_lineage(few)  # at most ``most`` rows
-    told = rows.join(F.broadcast(ids), "doc_id").select("quality", "content", "metadata", (F.xxhash64("doc_id") % 4 == 0)
-                                                         .alias("checks")).collect()
+    told = labelled_rows(rows, ids, "quality", F.concat("content", "metadata"), most).select(
+        "quality", "content", "metadata", (F.xxhash64("doc_id") % 4 == 0).alias("checks")).collect()
     fitted, checks = [r for r in told if not r.checks], [r for r in told if r.checks]
     if min(len({r.quality for r in part}) for part in (fitted, checks)) < 2:
         return float(np.mean([r.quality for r in told])) if told else 0.5

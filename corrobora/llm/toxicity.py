@@ -15,8 +15,10 @@ Labels are learnt from rows whose crc32 of the id modulo 5 is not 0, at most ``M
 hashes of the id); scores are for all documents, whole texts.
 
 Null and empty cases: a null text counts as empty and has one empty window; a null id counts as empty text for the
-remainder; repeated ids in ``labels`` count with each label; without learnable texts of both classes there
-is no model: every score is the share of toxic labels (0 without any), and ``without_toxic`` keeps all documents; an empty table gives an empty result. Only doc_id and text are read; columns may have any other names.
+remainder; repeated ids in ``labels`` count once with each label, repeated ids of
+documents once per text, with a few texts at most; without learnable texts of both classes there
+is no model: every score is the share of toxic labels (0 without any), and ``without_toxic`` keeps all documents; an
+empty table gives an empty result. Only doc_id and text are read; columns may have any other names.
 """
 
 import collections
@@ -30,11 +32,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corrobora.llm.logistic import fit, sigmoid, spread_of
-from corrobora.llm.tables import in_batches, packed, unpacked, whole_text
+from corrobora.llm.tables import in_batches, labelled_rows, packed, unpacked, whole_text
 from corrobora.session import cut_lineage
 
 MOST_LABELLED = 4000     # texts of each class that the fit may use
-MOST_PIECES = 16_384     # of each class that telling parts are looked for in
+MOST_PIECES = 8192       # of each class that telling parts are looked for in
 PIECE = 256              # bytes
 GRAMS = (4, 6, 8, 12)    # bytes of the runs that are counted
 AROUND = 16              # bytes before and after a run that tell its occurrences apart
@@ -83,12 +85,13 @@ def trained(samples: list[bytes], size: int) -> bytes:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> DataFrame:
-    """(toxic, text) of at most ``most`` learnable rows of each class; the ids go out to all tasks, so they are bounded."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    """(toxic, text), written, of at most ``most`` learnable rows of each class; the ids go out to all tasks, so they are bounded."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = known.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= most)
-    return docs.select("doc_id", whole_text().alias("text")).join(
-        F.broadcast(few.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
+    few = cut_lineage(few.select("doc_id", "toxic"))
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    return labelled_rows(rows, few, "toxic", F.col("text"), most).select("toxic", "text")
 
 
 def pieces_of(text: str) -> list[bytes]:
@@ -108,13 +111,15 @@ def pieces(sample: DataFrame, toxic: int, most=MOST_PIECES) -> list[bytes]:
     return sorted(bytes(r.piece) for r in few.collect())
 
 
-def hashed(data: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n bytes from each start."""
-    told = np.zeros(len(start), dtype=np.uint64)
-    for k in range(n):
-        told *= np.uint64(0x9E3779B97F4A7C15)
-        told += data[start + k]
-        told ^= told >> np.uint64(29)
+def hashed(data: np.ndarray, n: int, block=1 << 18) -> np.ndarray:
+    """A hash of the n bytes from each place, in blocks that keep what numpy holds between steps small."""
+    told = np.zeros(len(data) - n + 1, dtype=np.uint64)
+    for at in range(0, len(told), block):
+        part = told[at:at + block]
+        for k in range(n):
+            part *= np.uint64(0x9E3779B97F4A7C15)
+            part += data[at + k:at + k + len(part)]
+            part ^= part >> np.uint64(29)
     return told
 
 
@@ -123,21 +128,36 @@ class Runs:
 
     def __init__(self, cut: list[bytes]):
         self.data = np.frombuffer(b"".join(cut), dtype=np.uint8)
-        sizes = np.array([len(p) for p in cut])
-        first = np.cumsum(sizes) - sizes
-        own = np.arange(len(self.data)) - np.repeat(first, sizes)
-        inner = (own >= AROUND) & (own < np.repeat(sizes, sizes) - AROUND - max(GRAMS))
-        self.start, self.piece = np.flatnonzero(inner), np.repeat(np.arange(len(cut)), sizes)[inner]
-
-    def counted(self, n: int):
-        """(hash of the run at each start, distinct hashes, their counts)."""
-        runs = hashed(self.data, self.start, n)
-        once = np.unique(hashed(self.data, self.start - AROUND, n + 2 * AROUND), return_index=True)[1]
-        runs_once, piece = runs[once], self.piece[once]
-        order = np.lexsort((piece, runs_once))
-        runs_once, piece = runs_once[order], piece[order]
-        fresh = np.append(True, (runs_once[1:] != runs_once[:-1]) | (piece[1:] != piece[:-1])) if len(order) else order
-        return runs, *np.unique(runs_once[fresh], return_counts=True)
+        around = hashed(self.data, 2 * AROUND + max(GRAMS))
+        first, piece, start = [], [], 0
+        for k, p in enumerate(cut):
+            first.append(np.arange(start + AROUND, start + len(p) - AROUND - max(GRAMS), dtype=np.int32))
+            piece.append(np.full(len(first[-1]), k, dtype=np.int32))
+            start += len(p)
+        self.start, self.piece = np.concatenate(first), np.concatenate(piece)
+        self.once = np.zeros(len(self.start), dtype=bool)
+        around = around[self.start - AROUND]
+        for part in parts_of(around):
+            self.once[part[np.unique(around[part], return_index=True)[1]]] = True
+
+    def runs(self, n: int) -> np.ndarray:
+        return hashed(self.data, n)[self.start]
+
+    def counted(self, runs: np.ndarray, part: np.ndarray):
+        """(distinct runs, counts) of a part of the places."""
+        part = part[self.once[part]]
+        order = part[np.lexsort((self.piece[part], runs[part]))]
+        kind, piece = runs[order], self.piece[order]
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (kind[1:] != kind[:-1]) | (piece[1:] != piece[:-1])
+        return np.unique(kind[fresh], return_counts=True)
+
+
+def parts_of(hashes: np.ndarray, bits=3):
+    """The places dealt by the first bits of their hash."""
+    top = (hashes >> np.uint64(64 - bits)).astype(np.uint8)
+    for k in range(1 << bits):
+        yield np.flatnonzero(top == k)
 
 
 def telling_parts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -145,17 +165,26 @@ def telling_parts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     bad, good = Runs(toxic), Runs(ordinary)
     covered = np.zeros(len(bad.data) + 1, dtype=np.int8)
     for n in GRAMS:
-        runs, kinds, times = bad.counted(n)
-        _, others, other_times = good.counted(n)
-        if not len(kinds) or not len(others):
+        runs, other_runs = bad.runs(n), good.runs(n)
+        found, n_kinds, n_times, n_others = [], 0, 0, 0
+        for part, other_part in zip(parts_of(runs), parts_of(other_runs)):
+            kinds, times = bad.counted(runs, part)
+            others, other_times = good.counted(other_runs, other_part)
+            n_kinds, n_times, n_others = n_kinds + len(kinds), n_times + times.sum(), n_others + other_times.sum()
+            kinds, times = kinds[times > 1], times[times > 1]  # once is never evidence
+            at = np.searchsorted(others, kinds).clip(0, max(0, len(others) - 1))
+            there = np.where(others[at] == kinds, other_times[at], 0) if len(others) else np.zeros(len(kinds), dtype=int)
+            found.append((kinds, times, there))
+        if not n_kinds or not n_others:
             continue
-        at = np.searchsorted(others, kinds).clip(0, len(others) - 1)
-        chance = (np.where(others[at] == kinds, other_times[at], 0) + 1) * (times.sum() / other_times.sum())
+        kinds, times, there = (np.concatenate(x) for x in zip(*found))
+        chance = (there + 1) * (n_times / n_others)
         evidence = times * np.log(times / chance) - (times - chance)
-        kept = kinds[(times >= LEAST_RATIO * chance) & (evidence >= EVIDENCE * math.log(len(kinds)))]
-        hits = bad.start[np.isin(runs, kept)]
-        for k in range(n):
-            covered[hits + k] = 1
+        kept = np.sort(kinds[(times >= LEAST_RATIO * chance) & (evidence >= EVIDENCE * math.log(n_kinds))])
+        if len(kept):
+            hits = bad.start[kept[np.searchsorted(kept, runs).clip(0, len(kept) - 1)] == runs]
+            for k in range(n):
+                covered[hits + k] = 1
     edges = np.diff(covered, prepend=0)
     parts = collections.Counter(bad.data[max(0, i - 1):j + 1].tobytes() for i, j in zip(
         np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
@@ -169,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, most=MOST_LABELLED) -> dict:
     model = {"share": share, "beta": None}
     if not 0 < share < 1:
         return model
-    sample = cut_lineage(labelled_sample(docs, labels, most))
+    sample = labelled_sample(docs, labels, most)
     bad, good = pieces(sample, 1), pieces(sample, 0)
     if not bad or not good:
         return model

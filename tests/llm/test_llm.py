@@ -16,6 +16,7 @@ import corpus_pipeline
 from corrobora.llm import (
     bytebpe, minhash, mixing, quality, rabitq, secrets, tokencounts, tokenfiles, topk, toxicity)
 from corrobora.llm.queries import ORACLES, QUERIES
+from corrobora.llm.tables import TEXTS_OF_ID, labelled_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -252,6 +253,23 @@ def test_toxic_copies_give_a_model_and_no_model_drops_nothing(spark, odd):
     assert toxicity.without_toxic(odd, marks).count() == len(ODD)
 
 
+def test_repeated_labelled_documents_are_bounded(spark):
+    rows = [(1, "the same text", "en", "s", 1)] * 40 + [(2, f"text {i}", "en", "s", 1) for i in range(40)] + [
+        (i, f"own text {i}", "en", "s", 1) for i in range(3, 20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id long, label int")
+    for most, want in ((100, {1: 1, 2: TEXTS_OF_ID} | {i: 1 for i in range(3, 20)}), (10, None)):
+        told = labelled_rows(docs, few, "label", F.col("text"), most).collect()
+        assert set(told[0].asDict()) == {*docs.columns, "label"}
+        if want:
+            assert collections.Counter(r.doc_id for r in told) == want
+        else:
+            assert collections.Counter(r.label for r in told)[0] == 10 and len({r.doc_id for r in told}) > 15
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 20)], "doc_id long, quality int, toxic int")
+    told = collections.Counter(toxicity.labelled_sample(docs, marks).select("text").toPandas()["text"])
+    assert max(told.values()) == 1
+
+
 @pytest.fixture
 def vectors(spark):
     rng = np.random.default_rng(6)
