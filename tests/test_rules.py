@@ -71,7 +71,7 @@ def test_orphan_cases(spark):
     for r in orphans.recovery_steps(assessed).collect():
         steps.setdefault(r.member_key, []).append((r.step_no, r.action))
     assert [n for n, _ in sorted(steps["1"])] == [1, 2, 3, 4]
-    assert sorted(steps["4"])[0] == (0, "Confirm the employer's registered name") and len(steps["4"]) == 5
+    assert sorted(steps["4"])[0] == (0, "CONFIRM_NAME") and len(steps["4"]) == 5
     assert "2" not in steps and "3" not in steps
 
 
