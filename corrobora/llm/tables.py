@@ -3,11 +3,13 @@
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from corrobora.llm.words import slices_of
 from corrobora.session import cut_lineage
 
 #: White space between words; everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
 SLICE_ROWS = 512  # of an Arrow batch that are worked on at once
+SLICE_BYTES = 1 << 22
 TEXTS_OF_ID = 4   # different texts of one labelled id that a fit may use
 
 
@@ -47,19 +49,19 @@ def labelled_rows(rows: DataFrame, few: DataFrame, label: str, shown: Column, mo
     return cut_lineage(found.dropDuplicates(["doc_id", "shown", label]).drop("shown"))
 
 
-def in_batches(df: DataFrame, work, schema: str, after=None) -> DataFrame:
+def in_batches(df: DataFrame, work, schema: str, texts=None) -> DataFrame:
     """``work(batch) -> batch`` over slices of Arrow record batches, partition by partition.
 
-    Slices share the batch's memory; what ``work`` makes of one goes out before the next one starts. ``after`` runs at
-    the end of a partition that had rows.
+    Slices share the batch's memory; what ``work`` makes of one goes out before the next one starts. A slice also ends
+    after ``SLICE_BYTES`` of the column ``texts``, if that is given.
     """
     def run(batches):
-        some = False
         for batch in batches:
-            some = some or batch.num_rows > 0
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                yield work(batch.slice(at, SLICE_ROWS))
+            if texts is None:
+                slices = (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+            else:
+                slices = slices_of(batch, texts, 16 * SLICE_ROWS, SLICE_BYTES)
+            for part in slices:
+                yield work(part)
             pa.default_memory_pool().release_unused()
-        if some and after is not None:
-            after()
     return df.mapInArrow(run, schema)
