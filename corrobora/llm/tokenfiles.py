@@ -14,95 +14,109 @@ the same id stand in order of their text's hash; an empty table gives files with
 
 import functools
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corrobora.llm.tables import in_batches, whole_text
+from corrobora.llm.words import IdTable, Memo, rows_of_words, split_words
 from corrobora.session import cut_lineage, shared_folder
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
-MEMO = 400_000      # words and stems that each of two generations of the memo holds
-LONGEST_MEMO = 40   # characters of a word that is remembered
+MEMO = 600_000      # words that each of two generations of the memo holds; parts of words: an eighth of it
+LONGEST_MEMO = 40   # characters of a part that is remembered
 TOGETHER = 4000     # words that the library encodes in one call
+#: A run of letters before an ASCII character that is none.
+HEAD = re.compile(r"[^\W\d_]+(?=[\x00-\x40\x5B-\x60\x7B-\x7F])")
 
 
 class WordMemo:
     """The library's encoder behind a memo of words.
 
     The tokenizer's own rules cut at white space whatever stands around it, so a text's ids are its words' ids in
-    turn. They also cut before a full stop or comma behind a letter, and fold case, so such words share a stem.
+    turn. They also cut behind a run of letters, so a word is a head of letters and a rest, each remembered by itself.
+    The two stay together where composing or folding characters could move that border: the rest has to begin with an
+    ASCII character that is no letter, and the head has to be letters still after NFC and lower-casing.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.older, self.stems = {}, {}, {}
-        self.marks = {m: self.plain(m) for m in ".,"}
-
-    def plain(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def learn(self, missing: list[str]):
-        """Encode stems, many in one call with a special string between them."""
-        odd = [x for x in missing if "<|" in x or len(x) > 1000]
-        for x in odd:
-            self.stems[x] = self.plain(x)
-        usual = [x for x in missing if "<|" not in x and len(x) <= 1000]
-        for i in range(0, len(usual), TOGETHER):
-            part = usual[i:i + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast(
-                [SEPARATOR.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = [-1, *np.flatnonzero(ids == SEPARATOR_ID).tolist(), len(ids)]
-            if len(cuts) != len(part) + 1:
-                raise ValueError("the separator is not kept apart by this tokenizer")
-            raw = ids.tobytes()
-            self.stems.update((x, raw[4 * cuts[k] + 4:4 * cuts[k + 1]]) for k, x in enumerate(part))
-
-    @staticmethod
-    def stem_of(word: str) -> tuple[str, str]:
-        mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else ""
-        stem = word[:-1] if mark else word
-        return (stem.lower() if stem.isascii() and "<" not in stem else stem), mark
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, step = [], 64
-        for i in range(0, len(texts), step):
-            split = [x.replace("\n", " ").split(" ") for x in texts[i:i + step]]
-            known, older = self.words, self.older
-            fresh = set().union(*split).difference(known)
-            parted = {}
-            for w in fresh:
-                ids = older.get(w)
-                if ids is not None:
-                    known[w] = ids
-                elif w:
-                    parted[w] = self.stem_of(w)
-                else:
-                    known[w] = b""
-            if missing := {stem for stem, _ in parted.values() if stem not in self.stems}:
-                self.learn(list(missing))
-            for w, (stem, mark) in parted.items():
-                known[w] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
-            out += [b"".join(map(known.__getitem__, words)) for words in split]
-            for w in [w for w in fresh if len(w) > LONGEST_MEMO]:
-                del known[w]
-                self.stems.pop(parted[w][0] if w in parted else w, None)
-            if len(known) > MEMO:
-                self.older, self.words = known, {}
-            if len(self.stems) > MEMO:
-                self.stems = {}
+        self.words, self.parts = IdTable(memo), Memo(memo // 8)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a run of letters
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def cut(self, parts: list[str], between: str, ends) -> list[bytes]:
+        """The ids of ``parts`` from one call; ``ends(ids)`` are the places behind each part's ids."""
+        ids = self.ids(between.join(parts))
+        stops = ends(ids)
+        if len(stops) != len(parts):
+            return [self.ids(x).tobytes() for x in parts]
+        raw, starts = ids.tobytes(), [0, *(stops[:-1] + (between != " ")).tolist()]
+        return [raw[4 * i:4 * j] for i, j in zip(starts, stops.tolist())]
+
+    def learned(self, parts: list[str]) -> dict[str, bytes]:
+        """Runs of letters are one word each to the library, so the tokens that end a word part them; special strings
+        part the others."""
+        runs = [x for x in parts if is_run(x)]
+        odd = [x for x in parts if not is_run(x) and ("<|" in x or len(x) > 1000)]
+        others = [x for x in parts if not is_run(x) and "<|" not in x and len(x) <= 1000]
+        out = {x: self.ids(x).tobytes() for x in odd}
+        for i in range(0, len(runs), TOGETHER):
+            part = runs[i:i + TOGETHER]
+            out.update(zip(part, self.cut(part, " ", lambda ids: np.flatnonzero(self.last[ids]) + 1)))
+        for i in range(0, len(others), TOGETHER):
+            part = others[i:i + TOGETHER]
+            out.update(zip(part, self.cut(
+                part, SEPARATOR, lambda ids: np.append(np.flatnonzero(ids == SEPARATOR_ID), len(ids)))))
         return out
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        pairs = [head_and_rest(w) for w in words]
+        known = {x: self.parts.get(x) for pair in pairs for x in pair}
+        known[""] = b""
+        fresh = self.learned([x for x, ids in known.items() if ids is None])
+        known.update(fresh)
+        for x, ids in fresh.items():
+            if len(x) <= LONGEST_MEMO:
+                self.parts.put(x, ids)
+        return [known[head] + known[rest] for head, rest in pairs]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each row's first id and one more, all ids)."""
+        offsets, codes, distinct = split_words(pc.replace_substring(texts, "\n", " "))
+        return rows_of_words(codes, offsets, *self.words.ids_of(distinct, self.ids_of))
+
+
+def is_run(part: str) -> bool:
+    """Whether a word is a run of letters that stays one when it is composed and lower-cased."""
+    return part.isalpha() and (part.isascii() or unicodedata.normalize("NFC", part).lower().isalpha())
+
+
+def head_and_rest(word: str) -> tuple[str, str]:
+    found = HEAD.match(word)
+    if found is None:
+        return word.lower() if word.isascii() and word.isalpha() else word, ""
+    head = found[0]
+    if head.isascii():
+        return head.lower(), word[len(head):]
+    return (head, word[len(head):]) if is_run(head) else (word, "")
+
 
 @functools.lru_cache(maxsize=2)
 def memo(path: str) -> WordMemo:
@@ -119,18 +133,16 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
         .select(F.monotonically_increasing_id().alias("seq"), "doc_id", "text")
     )
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def work(batch):
-        ids = [x + end for x in memo(path).encode(batch.column("text").to_pylist())]
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-        values = np.frombuffer(b"".join(ids), dtype="<i4")
+        offsets, ids = memo(path).encode_column(batch.column("text"))
+        values = np.insert(ids.astype(np.int32), offsets[1:], end_id)
+        offsets = (offsets + np.arange(len(offsets))).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [batch.column("seq"), batch.column("doc_id"),
              pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["seq", "doc_id", "ids"])
     key = rows.schema["doc_id"].dataType.simpleString()
     (
-        in_batches(ordered, work, f"seq long, doc_id {key}, ids array<int>")
+        in_batches(ordered, work, f"seq long, doc_id {key}, ids array<int>", texts="text")
         .write.option("orc.compress", "zstd").option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000")
         .orc(folder)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -138,6 +139,9 @@ def test_token_files_and_counts(spark, odd, empty):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in counts) == sorted((d or 0, len(ids[d]) - 1) for d, *_ in ODD)
     assert [r.over_limit for r in counts if r.doc_id == 6] == [True]
     assert tokencounts.token_counts(empty).count() == 0
+    folder = tokenfiles.new_folder(spark)
+    tokenfiles.write_token_files(empty, folder)
+    assert tokenfiles.token_places(tokenfiles.read_token_files(spark, folder)).count() == 0
 
 
 def test_counting_transducer_with_few_states_and_short_slices():
@@ -150,6 +154,34 @@ def test_counting_transducer_with_few_states_and_short_slices():
     assert small.count(texts).tolist() == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_files_before_marks_and_with_a_small_memo():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    told = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3200 or c % 97 == 0)]
+    texts = [c + "." for c in told] + [f"a{c}, x{c}=1" for c in told] + ["don't  stop\n\nWORD'S <|endoftext|>x", "word " * 9]
+    for memo in (100, 10 ** 6):
+        own = tokenfiles.WordMemo(public_tokenizers.path("word_bpe_49k.json"), memo)
+        for _ in range(2):
+            offsets, ids = own.encode_column(pa.array(texts, pa.string()))
+            want = library.encode_batch(texts, add_special_tokens=False)
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [x.ids for x in want]
+
+
+def test_byte_bpe_with_a_small_memo_and_long_pieces():
+    with open(public_tokenizers.path(bytebpe.RANKS), "rb") as file:
+        ranks = bytebpe.ranks_from(file.read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(8)
+    letters = list(" 'srevldtmab1.É中!<|>́Σſ\x1c\x85\n\t 𝔘éaaaeeeinother   ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(1500)]
+    texts += ["", " ", " a  b \n c ", "a" * 3000, "ab" * 2000, "".join(rng.choice(list("etaoinshrdlu"), 20_000))]
+    for memo in (40, 10 ** 6):
+        own = bytebpe.ByteBpe(ranks, public_tokenizers.PATTERN, memo)
+        for _ in range(2):
+            offsets, ids = own.encode_column(pa.array(texts, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode_ordinary(t) for t in texts]
+        assert own.decode(own.encode(texts[-1])) == texts[-1].encode()
+
+
 def test_byte_bpe_is_the_library_s(spark, odd, empty):
     path = public_tokenizers.path(bytebpe.RANKS)
     with open(path, "rb") as file:
