@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from corrobora.llm import bytebpe, minhash, mixing, quality, rabitq, secrets, tokencounts, tokenfiles, topk, toxicity
+from corrobora.llm import (
+    bytebpe, collocations, minhash, mixing, pii, quality, rabitq, secrets, tokencounts, tokenfiles, topk, toxicity)
 from corrobora.llm.tables import table
 
 QUERIES = {}
@@ -73,3 +74,14 @@ def op9(spark, folder):
 def op10(spark, folder):
     return bytebpe.encoded(table(spark, folder, "documents")).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256", "round_trip")
+
+
+@query("op13_pii_boosting")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    return pii.digest(pii.personal_spans(docs, pii.trained(docs)))
+
+
+@query("op12_collocations", collocations.sql())
+def op12(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
