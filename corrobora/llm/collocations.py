@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora.llm.tables import in_batches, whole_text
+from corrobora.llm.words import ByteWords
 from corrobora.session import cut_lineage
 
 LEAST = 10        # occurrences of a candidate
@@ -78,25 +79,10 @@ class Slice:
     """The words of some texts: code, language and piece of each, and the distinct words and languages."""
 
     def __init__(self, batch: pa.RecordBatch):
-        texts, langs = batch.column("text"), batch.column("lang").dictionary_encode()
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
-        offsets = offsets - offsets[0]
-        low = _BYTES[data]
-        inside = (low != 32) & (low != 10)
-        fresh = np.ones(len(low) + 1, dtype=bool)  # where no word goes on from the byte before
-        fresh[1:-1] = ~inside[:-1]
-        fresh[offsets] = True
-        starts = np.flatnonzero(inside & fresh[:-1])
-        self.size = len(starts)
-        rows = np.searchsorted(offsets, starts, side="right") - 1
-        self.piece = np.cumsum(low == 10, dtype=np.int32)[starts] + rows if self.size else np.empty(0, dtype=np.int64)
-        ends = np.flatnonzero(inside & np.append(~inside[1:] | fresh[1:-1], True)) + 1
-        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.string(), self.size, [
-            None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(low[inside].tobytes())]).dictionary_encode()
-        self.words, self.langs = coded.dictionary, langs.dictionary
-        self.code = coded.indices.to_numpy().astype(np.int64)
+        langs = batch.column("lang").dictionary_encode()
+        told = ByteWords(batch.column("text"), _BYTES)
+        self.size, self.piece, self.code, rows = told.size, told.piece, told.code, told.row
+        self.words, self.langs = told.distinct, langs.dictionary
         self.lang = langs.indices.to_numpy().astype(np.int64)[rows]
         if self.size:
             self.word_hash = hashed(self.words)[self.code]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corrobora.llm import (
-    bytebpe, collocations, minhash, mixing, pii, quality, rabitq, secrets, tokencounts, tokenfiles, topk, toxicity)
+    bytebpe, collocations, lexical, minhash, mixing, pii, quality, rabitq, secrets, tokencounts, tokenfiles, topk, toxicity)
 from corrobora.llm.tables import table
 
 QUERIES = {}
@@ -82,6 +82,11 @@ def op13(spark, folder):
     return pii.digest(pii.personal_spans(docs, pii.trained(docs)))
 
 
+@query("op11_lexical_search", lexical.sql())
+def op11(spark, folder):
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op12_collocations", collocations.sql())
 def op12(spark, folder):
     return collocations.collocations(table(spark, folder, "documents"))

@@ -36,6 +36,32 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary
 
 
+class ByteWords:
+    """The words of an Arrow column of strings without nulls: runs of bytes that ``table`` doesn't turn into a gap.
+
+    ``table`` has a byte for each byte; gaps are 32 and, between pieces of a row, 10. No word crosses a row.
+    """
+
+    def __init__(self, texts: pa.Array, table: np.ndarray):
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        low = table[data]
+        inside = (low != 32) & (low != 10)
+        fresh = np.ones(len(low) + 1, dtype=bool)  # where no word goes on from the byte before
+        fresh[1:-1] = ~inside[:-1]
+        fresh[offsets] = True
+        starts = np.flatnonzero(inside & fresh[:-1])
+        ends = np.flatnonzero(inside & np.append(~inside[1:] | fresh[1:-1], True)) + 1
+        self.size = len(starts)
+        self.row = np.searchsorted(offsets, starts, side="right") - 1
+        self.piece = np.cumsum(low == 10, dtype=np.int32)[starts] + self.row if self.size else self.row
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), self.size, [
+            None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(low[inside].tobytes())]).dictionary_encode()
+        self.distinct, self.code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``flat[starts:starts + lengths]`` of each entry, one behind the other."""
     ends = np.cumsum(lengths)
