@@ -13,8 +13,9 @@ together into tasks of even size; a large bucket is dealt to pairs of blocks. A
 links: how many, and the smallest vector it joins, so no pairs leave it.
 
 Identical vectors are one vertex with a multiplicity. Null and empty cases: a vector that is null, empty, zero, or holds
-null or non-finite components links with nothing, nor does a row without an id; vectors of different length never link;
-rows that repeat an id are one vertex of the links, and each is returned; an empty table gives an empty result.
+null or non-finite components links with nothing; vectors of different length never link; rows that repeat an id are
+vectors of their own; a row without an id links like any other, and its component is named by the ids in it, if there
+are any; an empty table gives an empty result.
 """
 
 import functools
@@ -125,11 +126,12 @@ def links_inside(rows: pd.DataFrame, bits: int, tables: int, threshold: float) -
 def near_vectors(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    fit = F.col("vec_id").isNotNull() & usable("x") & F.coalesce(F.exists("x", lambda v: v != 0), F.lit(False))
+    fit = usable("x") & F.coalesce(F.exists("x", lambda v: v != 0), F.lit(False))
     rows = cut_lineage(rows.select("vec_id", F.when(fit, F.col("x")).alias("x")).withColumn(
         "twin", F.md5(F.col("x").cast("string"))))
-    nodes = cut_lineage(rows.filter("x is not null").groupBy("twin").agg(
-        F.min("vec_id").alias("node"), F.first("x").alias("x"), F.count(F.lit(1)).alias("copies")))
+    twins = rows.filter("x is not null").groupBy("twin").agg(
+        F.min("vec_id").alias("least"), F.first("x").alias("x"), F.count(F.lit(1)).alias("copies"))
+    nodes = cut_lineage(twins.select(F.monotonically_increasing_id().alias("node"), "*"))
     bits, tables = shape(nodes.count(), threshold)
     ready = cut_lineage(keyed(nodes.select("node", F.size("x").alias("width"), "x", "copies"), bits, tables))
     placed = ready.select("node", "width", F.posexplode("keys").alias("band", "bucket"))
@@ -150,13 +152,16 @@ def near_vectors(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
     found = cut_lineage(dealt.groupBy("width", "band", "slot", "i", "j").applyInPandas(
         lambda part: links_inside(part, bits, tables, threshold), "node long, n long, joined long"))
     labels = components(found.select(F.col("node").alias("a"), F.col("joined").alias("b")))
-    told = (
-        nodes.select("twin", "node", "copies")
+    told = cut_lineage(
+        nodes.select("twin", "node", "least", "copies")
         .join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
         .join(labels, "node", "left")
-        .select("twin", F.coalesce("component", "node").alias("component"),
+        .select("twin", "least", F.coalesce("component", "node").alias("component"),
                 (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
     )
+    names = told.groupBy("component").agg(F.min("least").alias("name"))
+    told = told.drop("least").join(names, "component")
     return rows.join(told, "twin", "left").select(
-        "vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        "vec_id", F.coalesce("n", F.lit(0)).alias("n_links"),
+        F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("name")).alias("component_id")
+    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

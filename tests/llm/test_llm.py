@@ -330,6 +330,15 @@ def test_near_vectors_match_brute_force(spark, vectors):
     assert rabitq.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_with_repeated_and_missing_ids(spark):
+    near = [[1.0, 0.01 * i, 0.0, 0.0] for i in range(4)]
+    rows = list(zip((1, 1, 1, 2), near)) + [(None, [0.0, 1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.01, 0.0]), (None, [0.0, 0.0, 0.0, 5.0])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    told = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in rabitq.near_vectors(table).collect())
+    assert told == [(0, 0, 0, True), (0, 1, 7, False), (1, 3, 1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False),
+                    (7, 1, 7, True)]
+
+
 def test_top_k_matches_brute_force(vectors):
     table, rows = vectors
     x = np.floor(256 * np.array([r[1] for r in rows])).astype(np.int64)
@@ -346,7 +355,8 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     rows += [(1000, rows[1][1], "en", "t", 5), (1001, "secret: abcdef0123456789abcdef01 at the end", "en", "t", 5)] + [(r[0] + 5000, *r[1:]) for r in ODD if r[0]]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("repository", F.lit("own"))
+    kept = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         if name != "byte_bpe":
@@ -358,6 +368,7 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     want = brute_classes([tuple(r) for r in clean])
     assert sorted(r.doc_id for r in kept["near_duplicates"]) == sorted(set(want.values()))
     text = {r.doc_id: r.text for r in kept["secrets"]}
+    assert {r.repository for r in kept["secrets"]} == {"own"}
     assert text[1001] == "<SECRET> at the end"
     # the mix again, from the rows before it
     before = spark.read.parquet(str(tmp_path / "secrets"))
@@ -367,5 +378,5 @@ def test_pipeline_on_small_tables(spark, tmp_path):
 
 
 def test_all_are_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
