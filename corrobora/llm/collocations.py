@@ -28,6 +28,7 @@ from corrobora.session import cut_lineage
 LEAST = 10        # occurrences of a candidate
 COVERED = 50      # per cent of a phrase's occurrences that a longer candidate must have to drop it
 FIRST = 2000      # rows of a language
+SLICE = 1 << 21   # bytes of texts that are counted at once
 BITS = 1 << 26    # of a bitmap of hashes: 8 MB
 WORDS = ("w1", "w2", "w3")
 
@@ -134,7 +135,7 @@ def counts(rows: DataFrame, n: int, bitmap: np.ndarray | None, least: int) -> Da
             pa.concat_arrays([out.column(0), told.langs]), pa.concat_arrays([out.column(1), pa.nulls(len(told.langs), pa.string())]),
             pa.concat_arrays([out.column(2), pa.array(totals.astype(np.int64))])], ["lang", "w1", "c"])
     words = ", ".join(f"{w} string" for w in WORDS[:n])
-    summed = in_batches(rows, work, f"lang string, {words}, c long", texts="text").groupBy("lang", *WORDS[:n]).agg(
+    summed = in_batches(rows, work, f"lang string, {words}, c long", texts="text", most_bytes=SLICE).groupBy("lang", *WORDS[:n]).agg(
         F.sum("c").alias("f"))
     return cut_lineage(summed.filter((F.col("f") >= least) | F.col("w1").isNull()))
 

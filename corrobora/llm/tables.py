@@ -49,18 +49,18 @@ def labelled_rows(rows: DataFrame, few: DataFrame, label: str, shown: Column, mo
     return cut_lineage(found.dropDuplicates(["doc_id", "shown", label]).drop("shown"))
 
 
-def in_batches(df: DataFrame, work, schema: str, texts=None) -> DataFrame:
+def in_batches(df: DataFrame, work, schema: str, texts=None, most_bytes=SLICE_BYTES) -> DataFrame:
     """``work(batch) -> batch`` over slices of Arrow record batches, partition by partition.
 
     Slices share the batch's memory; what ``work`` makes of one goes out before the next one starts. A slice also ends
-    after ``SLICE_BYTES`` of the column ``texts``, if that is given.
+    after ``most_bytes`` of the column ``texts``, if that is given.
     """
     def run(batches):
         for batch in batches:
             if texts is None:
                 slices = (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
             else:
-                slices = slices_of(batch, texts, 16 * SLICE_ROWS, SLICE_BYTES)
+                slices = slices_of(batch, texts, 16 * SLICE_ROWS, most_bytes)
             for part in slices:
                 yield work(part)
             pa.default_memory_pool().release_unused()
