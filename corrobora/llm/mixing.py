@@ -108,6 +108,12 @@ def boundary(counts: DataFrame, undecided: DataFrame) -> DataFrame:
     )
 
 
+def source_plan(sized: DataFrame, weights, share, most) -> DataFrame:
+    """The plan as a written table, one row a source: Spark then knows its size, and documents stay where they are if
+    that is small enough to be sent to them."""
+    return cut_lineage(mixing_plan(sized, weights, share, most)).withColumnRenamed("source", "s")
+
+
 def times_taken() -> Column:
     return F.col("whole") + (F.col("point") <= F.col("threshold")).cast("long")
 
@@ -119,7 +125,7 @@ def sized_rows(docs: DataFrame) -> DataFrame:
 def mixed_sizes(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, times, taken (words, repeats counted)."""
     sized = cut_lineage(sized_rows(docs))
-    plan = mixing_plan(sized, weights, share, most).withColumnRenamed("source", "s")
+    plan = source_plan(sized, weights, share, most)
     return (
         sized.join(plan, sized["source"].eqNullSafe(plan["s"]))
         .withColumn("times", times_taken())
@@ -130,8 +136,7 @@ def mixed_sizes(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Dat
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with their own columns only."""
-    plan = mixing_plan(cut_lineage(sized_rows(docs).drop("doc_id")), weights, share, most)
-    plan = plan.withColumnRenamed("source", "s")
+    plan = source_plan(cut_lineage(sized_rows(docs).drop("doc_id")), weights, share, most)
     rows = docs.select(packed(docs).alias("doc"), F.col("source").alias("source"), point_of().alias("point"))
     chosen = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).filter(times_taken() > 0)
     return unpacked(chosen.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), times_taken()))))
