@@ -130,9 +130,16 @@ def judged(rows: DataFrame, most_owners=MOST_OWNERS, most_repositories=MOST_REPO
     )
 
 
+def named(column: str | Column) -> Column:
+    return column if isinstance(column, Column) else F.col(column)
+
+
 def secret_spans(docs: DataFrame, owner="source", repository=None, **limits) -> DataFrame:
-    """One row per document: doc_id and spans, array<struct<start, rank, end, live, n_owners>>."""
-    rows = scanned(docs, F.col(owner), F.col(repository or owner), F.col("doc_id"))
+    """One row per document: doc_id and spans, array<struct<start, rank, end, live, n_owners>>.
+
+    ``owner`` and ``repository`` are names of columns or expressions.
+    """
+    rows = scanned(docs, named(owner), named(owner if repository is None else repository), F.col("doc_id"))
     return judged(rows, **limits).select(F.col("kept").alias("doc_id"), "spans")
 
 
@@ -152,7 +159,7 @@ def redacted(docs: DataFrame, owner="source", repository=None, **limits) -> Data
 
     A live-looking credential becomes ``<SECRET>``, a widely copied one ``<EXAMPLE>``. Texts without findings stay.
     """
-    rows = judged(scanned(docs, F.col(owner), F.col(repository or owner), packed(docs)), **limits)
+    rows = judged(scanned(docs, named(owner), named(owner if repository is None else repository), packed(docs)), **limits)
     text = F.col("kept.text")
 
     def paint(state, x):
