@@ -29,8 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The owner of a document is its source, the repository its source and language."""
-    named = docs.withColumn("repository", F.concat_ws("/", "source", "lang"))
-    return secrets.redacted(named, "source", "repository").select(docs.columns)
+    return secrets.redacted(docs, "source", F.concat_ws("/", "source", "lang"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
