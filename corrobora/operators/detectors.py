@@ -14,7 +14,7 @@ from corrobora.functions.dates import (
 from corrobora.operators.envelopes import (
     PARTY, cite_first, cite_last, citation, evidence_days, latest_record, support_windows,
 )
-from corrobora.operators.spread import following_row, upper_median
+from corrobora.operators.spread import best_before, following_row, totals_as_of, upper_median
 from corrobora.session import cut_lineage
 
 FINDING_COLUMNS = [
@@ -208,6 +208,35 @@ def adjacent_overlaps(intervals: DataFrame) -> DataFrame:
     )
 
 
+def overlaps_all_pairs(intervals: DataFrame) -> DataFrame:
+    """J4 beyond neighbours: of each interval, how many others share a day with it, and which ones matter most.
+
+    ``intervals``: member_key, party_key, ord, start, end; (start, ord) is unique in a member, ends are not before
+    starts. A sweep over starts and ends per day gives the number: what began up to the last day, less what was over
+    before the first. Beside it stand the earlier interval that reaches furthest into this one with the days shared
+    (ties: the one that began first), and the next one to begin while this one runs. No pair of intervals is formed:
+    a member has a row per interval and a row per day at most, spread over months.
+    """
+    key = ["member_key"]
+    opened = intervals.select(*key, F.col("start").alias("day"), F.lit(1).alias("opened"))
+    closed = intervals.select(*key, F.date_add("end", 1).alias("day"), F.lit(1).alias("closed"))
+    begun = totals_as_of(opened, intervals.select(*key, F.col("end").alias("day")), key, "day", ["opened"])
+    over = totals_as_of(closed, intervals.select(*key, F.col("start").alias("day")), key, "day", ["closed"])
+    reach = F.struct(F.col("end").alias("end"), (-F.unix_date("start")).alias("began"), (-F.col("ord")).alias("ord"),
+                     F.col("party_key").alias("party"))
+    placed = best_before(intervals, key, month_no("start"), ["start", "ord"], reach, "before")
+    placed = following_row(placed, key, month_no("start"), ["start", "ord"], F.struct("party_key", "start"), "next")
+    shared = F.when(F.col("before").isNotNull(), F.datediff(F.least("end", "before.end"), "start") + 1)
+    return (
+        placed.join(begun.withColumnRenamed("day", "end"), [*key, "end"])
+        .join(over.withColumnRenamed("day", "start"), [*key, "start"])
+        .select(*PARTY, "ord", "start", "end", (F.col("opened") - F.col("closed") - 1).alias("n_overlaps"),
+                F.when(shared > 0, F.col("before.party")).alias("earlier_party"),
+                F.when(shared > 0, shared).alias("earlier_days"),
+                F.when(F.col("next.start") <= F.col("end"), F.col("next.party_key")).alias("next_party"))
+    )
+
+
 def overlap_findings(asserted, windows, as_of) -> DataFrame:
     """Overlaps on record, and overlaps a correction would create."""
     on_record = adjacent_overlaps(asserted_intervals(asserted, as_of))

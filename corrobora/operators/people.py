@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.functions.names import name_signature, name_tokens
+from corrobora.operators.linkage import components
+from corrobora.session import cut_lineage
 
 
 def _parts(side):
@@ -124,3 +126,66 @@ def name_check(names: DataFrame) -> DataFrame:
         F.coalesce("same_person", F.lit(True)).alias("same_person"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce("reason", F.lit("single document")).alias("reason"))
+
+
+def name_classes(names: DataFrame) -> DataFrame:
+    """Spellings that ``compare_names`` cannot tell apart as one class: equal signatures and first letters of the full
+    words, and equal initials. Per class: its smallest spelling, and how many members and spellings it has."""
+    tokens = name_tokens("name")
+    words, initials = F.filter(tokens, lambda t: F.length(t) != 1), F.filter(tokens, lambda t: F.length(t) == 1)
+    return names.filter(F.col("name").isNotNull()).select(
+        "member_key", "name", F.struct(
+            F.transform(words, name_signature).alias("signatures"), F.transform(words, _initial).alias("letters"),
+            F.array_sort(F.array_distinct(initials)).alias("initials")).alias("class")
+    ).groupBy("class").agg(
+        F.min("name").alias("representative"), F.count_distinct("member_key").alias("n_members"),
+        F.count_distinct("name").alias("n_spellings")).select("class.*", "representative", "n_members", "n_spellings")
+
+
+def link_people(names: DataFrame) -> DataFrame:
+    """One row per class of spellings over the whole population: representative, n_members, n_spellings, n_links
+    (other classes that E8 takes for the same person) and person (the smallest representative reachable by links).
+
+    ``names``: member_key, name; rows with a null name are left out. Classes meet only under the same given name and
+    the same surname, by signature. A name with one full word stays by itself: an initial would fit everybody, so such
+    names are compared inside a member only. Under one given name and surname, classes without a middle name are all
+    linked with each other, and those without initials either with every class that has a middle name; these links are
+    counted and joined through one class, never paired. Only classes that share a middle name, or an initial with a
+    middle name, are compared one by one, and nearly all of them are links.
+    """
+    middle = F.array_distinct(_middle(F.col("signatures")))
+    classes = cut_lineage(
+        name_classes(names).withColumn("middle", middle).select(
+            "representative", "n_members", "n_spellings", "middle", "initials",
+            F.when(F.size("signatures") > 1, F.struct(
+                F.element_at("signatures", 1).alias("given"), F.element_at("signatures", -1).alias("surname"))).alias("key")))
+    named = classes.filter(F.col("key").isNotNull())
+    plain, bare = F.size("middle") == 0, (F.size("middle") == 0) & (F.size("initials") == 0)
+    hubs = cut_lineage(named.groupBy("key").agg(
+        F.min(F.when(plain, F.col("representative"))).alias("plain_hub"), F.count_if(plain).alias("n_plain"),
+        F.min(F.when(bare, F.col("representative"))).alias("bare_hub"), F.count_if(bare).alias("n_bare"),
+        F.count_if(~plain).alias("n_middle")))
+    placed = cut_lineage(named.join(hubs, "key"))
+    own = F.when(plain, F.col("n_plain") - 1).otherwise(F.col("n_bare")) + F.when(bare, F.col("n_middle")).otherwise(0)
+    counted = placed.select("representative", own.alias("n"))
+    stars = placed.select(F.col("representative").alias("src"), F.when(plain, F.col("plain_hub")).otherwise(
+        F.col("bare_hub")).alias("dst")).filter("src <> dst")
+
+    middles = named.filter(~plain)
+    by_middle = middles.select("key", "representative", F.explode("middle").alias("shared"))
+    left, right = (by_middle.withColumnRenamed("representative", side) for side in "ab")
+    both = left.join(right, ["key", "shared"]).filter("a < b").select("a", "b")
+    lettered = named.filter(plain & ~bare).select("key", F.col("representative").alias("x"), F.explode("initials").alias("letter"))
+    worded = middles.select("key", F.col("representative").alias("y"), _initial(F.array_min("middle")).alias("letter"))
+    mixed = lettered.join(worded, ["key", "letter"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    linked = cut_lineage(compare_names(both.unionByName(mixed).distinct()).filter("same_person").select("a", "b"))
+
+    ends = linked.select(F.col("a").alias("representative")).unionByName(linked.select(F.col("b").alias("representative")))
+    links = counted.unionByName(ends.select("representative", F.lit(1).alias("n"))).groupBy("representative").agg(
+        F.sum("n").alias("n_links"))
+    edges = stars.unionByName(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    persons = components(classes, edges, [], "representative")
+    return classes.select("representative", "n_members", "n_spellings").join(persons, "representative").join(
+        links, "representative", "left").select(
+        "representative", "n_members", "n_spellings", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.col("label").alias("person"))

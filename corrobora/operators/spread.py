@@ -49,6 +49,24 @@ def following_row(df: DataFrame, keys, bucket: Column, order, payload: Column, n
     )
 
 
+def best_before(df: DataFrame, keys, bucket: Column, order, payload: Column, name) -> DataFrame:
+    """max(payload) over the rows of ``keys`` before this one in the order of (bucket, order), bucket by bucket.
+
+    One row per bucket, its maximum, crosses the key.
+    """
+    rows = df.withColumn("_bucket", bucket).withColumn("_payload", payload)
+    earlier = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_bucket").agg(F.max("_payload").alias("_top"))
+    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_bucket", F.max("_top").over(across).alias("_carried"))
+    return (
+        rows.withColumn("_own", F.max("_payload").over(earlier))
+        .join(carried, [*keys, "_bucket"], "left")
+        .withColumn(name, F.greatest("_own", "_carried"))
+        .drop("_bucket", "_payload", "_own", "_carried")
+    )
+
+
 def upper_median(df: DataFrame, keys, value, name="median") -> DataFrame:
     """Element ``n div 2`` (0-based) of the sorted values of each key, exactly.
 

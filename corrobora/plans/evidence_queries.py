@@ -390,6 +390,26 @@ def service_overlaps(spark, folder):
     return detectors.adjacent_overlaps(detectors.asserted_intervals(asserted, AS_OF))
 
 
+@query("overlaps_all_pairs", with_ctes(OVL) + """
+, pairs AS (
+  SELECT a.member_key, a.ord, count(*) AS n,
+         arg_max({'p': b.party_key, 'd': date_diff('day', a.s, least(a.e, b.e)) + 1},
+                 {'e': b.e, 's': -date_diff('day', DATE '1970-01-01', b.s), 'o': -b.ord})
+           FILTER ((b.s, b.ord) < (a.s, a.ord)) AS earlier
+  FROM corrected a JOIN corrected b
+  ON a.member_key = b.member_key AND a.ord <> b.ord AND b.s <= a.e AND b.e >= a.s GROUP BY 1, 2)
+, follow AS (
+  SELECT member_key, ord, lead(party_key) OVER w AS p, lead(s) OVER w AS b
+  FROM corrected WINDOW w AS (PARTITION BY member_key ORDER BY s, ord))
+SELECT c.member_key, c.party_key, c.ord, c.s AS "start", c.e AS "end", coalesce(n, 0) AS n_overlaps,
+       earlier.p AS earlier_party, earlier.d AS earlier_days, CASE WHEN b <= c.e THEN p END AS next_party
+FROM corrected c LEFT JOIN pairs USING (member_key, ord) JOIN follow USING (member_key, ord)""")
+def overlaps_all_pairs(spark, folder):
+    _, days, asserted = inputs(spark, folder)
+    return detectors.overlaps_all_pairs(
+        cut_lineage(detectors.corrected_timeline(asserted, envelopes.support_windows(days), AS_OF)))
+
+
 @query("correction_conflicts", with_ctes(FND) + f"""
 SELECT {FINDING_LIST} FROM fnd WHERE kind = 'CORRECTION_CONFLICT'""")
 def correction_conflicts(spark, folder):

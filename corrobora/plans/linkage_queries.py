@@ -303,3 +303,28 @@ SELECT member_key, canonical, n_documents, n_spellings, a, b, same_person, confi
 FROM canon JOIN weak USING (member_key) WHERE rn = 1""")
 def name_check(spark, folder):
     return people.name_check(_documents(spark, folder))
+
+
+@query("link_people", "WITH RECURSIVE " + with_ctes(PEOPLE)[5:].rstrip() + """
+, named AS (
+  SELECT member_key, name, list_filter(t, lambda x: length(x) > 1) AS w, list_filter(t, lambda x: length(x) = 1)[1] AS i
+  FROM form)
+, cls AS (
+  SELECT min(name) AS rep, count(DISTINCT member_key) AS n_members, count(DISTINCT name) AS n_spellings, g, s, m, wm, i
+  FROM (SELECT member_key, name, i, sg.s AS g, sl.s AS s, sm.s AS m, left(named.w[1], 1) || left(named.w[-1], 1) AS letters,
+               CASE WHEN len(named.w) > 2 THEN left(named.w[2], 1) END AS wm
+        FROM named JOIN sig sg ON sg.w = named.w[1] JOIN sig sl ON sl.w = named.w[-1]
+        LEFT JOIN sig sm ON len(named.w) > 2 AND sm.w = named.w[2])
+  GROUP BY g, s, m, letters, wm, i)
+, link AS (
+  SELECT a.rep AS a, b.rep AS b FROM cls a JOIN cls b ON a.g = b.g AND a.s = b.s AND a.rep <> b.rep
+  WHERE NOT coalesce(a.m <> b.m, false) AND NOT coalesce(a.i <> b.wm, false) AND NOT coalesce(b.i <> a.wm, false)
+    AND NOT coalesce(b.m IS NULL AND b.i <> left(a.m, 1), false)
+    AND NOT coalesce(a.m IS NULL AND a.i <> left(b.m, 1), false))
+, reach AS (
+  SELECT rep AS root, rep AS node FROM cls UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.node)
+, person AS (SELECT root AS rep, min(node) AS person FROM reach GROUP BY root)
+SELECT rep AS representative, n_members, n_spellings, (SELECT count(*) FROM link WHERE link.a = cls.rep) AS n_links, person
+FROM cls JOIN person USING (rep)""")
+def link_people(spark, folder):
+    return people.link_people(_documents(spark, folder))

@@ -189,3 +189,26 @@ def test_no_plan_pairs_everything_or_calls_python(tables, name):
     }[name]._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
+
+
+def test_overlaps_of_all_pairs(spark):
+    import random
+    from datetime import timedelta
+    rng, rows = random.Random(4), []
+    for member in "abc":
+        for ord_ in range(60):
+            start = date(2015, 1, 1) + timedelta(days=rng.randint(0, 900))
+            rows.append((member, f"p{ord_}", ord_, start, start + timedelta(days=rng.choice([0, 3, 40, 400]))))
+    rows.append(("lone", "p", 1, date(2020, 1, 1), date(2020, 1, 1)))
+    told = {(r.member_key, r.ord): r for r in detectors.overlaps_all_pairs(spark.createDataFrame(
+        rows, "member_key string, party_key string, ord bigint, start date, end date")).collect()}
+    assert len(told) == len(rows)
+    for m, p, o, s, e in rows:
+        others = [x for x in rows if x[0] == m and x[2] != o]
+        shared = [x for x in others if x[3] <= e and x[4] >= s]
+        before = max((x for x in shared if (x[3], x[2]) < (s, o)), key=lambda x: (x[4], -x[3].toordinal(), -x[2]), default=None)
+        after = min((x for x in others if (x[3], x[2]) > (s, o)), key=lambda x: (x[3], x[2]), default=None)
+        r = told[m, o]
+        assert r.n_overlaps == len(shared)
+        assert (r.earlier_party, r.earlier_days) == ((before[1], (min(e, before[4]) - s).days + 1) if before else (None, None))
+        assert r.next_party == (after[1] if after and after[3] <= e else None)

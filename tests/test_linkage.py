@@ -114,3 +114,37 @@ def test_party_keys_are_unique_per_member(spark):
     keys = [r.party_key for r in parties.collect()]
     assert len(keys) == 2 and len(set(keys)) == 2
     assert sorted(r.party_key for r in links.collect()) == sorted(keys)
+
+
+def test_people_linked_as_by_all_pairs(spark):
+    rng = random.Random(11)
+    given, middle, last = ["RAVI", "RAVEE", "WASIM", "VASIM", "ASHA"], ["KUMAR", "KUMAAR", "MOHAN", "ZAVED", "JAVED", "K", "M", "R"], [
+        "SINGH", "SINH", "RAO"]
+    names = {" ".join([rng.choice(given), *rng.sample(middle, rng.choice([0, 0, 1, 1, 2, 3])), rng.choice(last)]) for _ in range(260)}
+    names |= {"RAO", "R RAO", "", "MR RAVI SINGH", "K", "अशोक राव"}
+    rows = [(f"m{k % 60}", n) for k, n in enumerate(sorted(names) * 2)] + [("m0", None)]
+    told = people.link_people(spark.createDataFrame(rows, "member_key string, name string")).collect()
+    classes = people.name_classes(spark.createDataFrame(rows, "member_key string, name string")).collect()
+    kept = {c.representative: (c.signatures[0], c.signatures[-1]) if len(c.signatures) > 1 else None for c in classes}
+    pairs = [(a, b) for a in kept for b in kept if a < b and kept[a] and kept[a] == kept[b]]
+    judged = people.compare_names(spark.createDataFrame(pairs, "a string, b string")).filter("same_person").collect()
+    links = {n: set() for n in kept}
+    for r in judged:
+        links[r.a].add(r.b)
+        links[r.b].add(r.a)
+    person = {n: n for n in kept}
+    while (fresh := {n: min([person[n], *[person[x] for x in links[n]]]) for n in kept}) != person:
+        person = fresh
+    assert {r.representative: (r.n_links, r.person) for r in told} == {n: (len(links[n]), person[n]) for n in kept}
+    assert sum(r.n_spellings for r in told) == len(names) and len(judged) > 200
+
+
+def test_people_of_one_very_common_name(spark):
+    """50,000 members of one name, and thousands of middle names under it, beside classes without one."""
+    names = spark.range(50_000).selectExpr("cast(id as string) member_key", "'RAVI SINGH' name").unionByName(
+        spark.range(4_000).selectExpr("cast(id as string) member_key", "concat('RAVI ', translate(cast(id + 1000 as string), "
+                                      "'0123456789', 'BCDGHJKLMN'), 'A SINGH') name"))
+    told = people.link_people(names).collect()
+    hub = [r for r in told if r.representative == "RAVI SINGH"]
+    assert len(told) == 4_001 and [(r.n_members, r.n_links) for r in hub] == [(50_000, 4_000)]
+    assert len({r.person for r in told}) == 1
