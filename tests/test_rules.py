@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corrobora.contracts import CONTRACTS
 from corrobora.operators import linkage, money, orphans, planning, spread
+from corrobora.streaming import refresh
 from corrobora.streaming.refresh import current_findings, evidence_stream, refresh_findings_stream
 from corrobora.operators import detectors
 
@@ -144,6 +145,27 @@ def test_stream_equals_batch(spark, tmp_path):
     check(one + two + three, False)
 
 
+def test_stream_reads_its_own_rows_and_the_state(spark, tmp_path, monkeypatch):
+    """Four batches, bases after two deltas: the last one reads the base before it and the deltas since."""
+    monkeypatch.setattr(refresh, "COMPACT_AFTER", 2)
+    as_of, store, every = date(2020, 10, 1), f"{tmp_path}/store", []
+    asserted = spark.createDataFrame([("m", "P", "1", date(2019, 1, 1), date(2020, 1, 1), 0)], CONTRACTS["asserted"])
+    for k in range(4):
+        rows = [("m", "P", date(2020, 2 + k, 1), "EPF_CONTRIB", None, "", k), ("m", "P", date(2019, 2, 1), "TDS_26AS", None, "", 0)]
+        every += rows if k == 0 else rows[:1]
+        spark.createDataFrame(rows, CONTRACTS["observations"]).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+        refresh_findings_stream(evidence_stream(spark, f"{tmp_path}/in"), store, asserted, as_of, f"{tmp_path}/state",
+                                buckets=1).awaitTermination()
+        expected = detectors.all_findings(spark.createDataFrame(every, CONTRACTS["observations"]), asserted, as_of).collect()
+        assert sorted(map(str, current_findings(spark, store).collect())) == sorted(map(str, expected))
+    index = {r.batch: r.compacted for r in spark.read.parquet(f"{store}/index").filter("batch >= 0").collect()}
+    assert index == {0: False, 1: True, 2: False, 3: True}
+    read, due = refresh.bucket_state(spark, store, 3, [0])
+    files = {r[0].split("/evidence/")[1].split("/bucket")[0] for r in read.select(F.input_file_name()).collect()}
+    assert files == {"batch=1/kind=base", "batch=2/kind=delta", "batch=3/kind=delta"}
+    assert due == [0] and sum(r.copies for r in refresh.merged_copies(read).collect()) == len(every)
+
+
 def test_exit_counts_any_source(spark):
     asserted = spark.createDataFrame([("m", "P", "1", date(2020, 1, 1), date(2020, 6, 1), 0)], CONTRACTS["asserted"])
     seen = spark.createDataFrame(
