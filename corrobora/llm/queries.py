@@ -55,7 +55,7 @@ def op6(spark, folder):
     return mixing.mixed_sizes(table(spark, folder, "documents")).drop("source", "times")
 
 
-@query("op7_exact_top_k")
+@query("op7_exact_top_k", topk.SQL)
 def op7(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -65,7 +65,7 @@ def op8(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op9_embedding_near_dedup")
+@query("op9_embedding_near_dedup", rabitq.SQL)
 def op9(spark, folder):
     return rabitq.near_vectors(table(spark, folder, "embeddings"))
 

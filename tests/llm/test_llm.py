@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import public_tokenizers
@@ -314,13 +315,14 @@ def vectors(spark):
     return spark.createDataFrame(rows + odd, VECTORS).withColumn("n", F.lit("x")), rows
 
 
-def test_near_vectors_match_brute_force(spark, vectors):
+@pytest.mark.parametrize("block, together", [(rabitq.BLOCK, rabitq.TOGETHER), (16, 24)])
+def test_near_vectors_match_brute_force(spark, vectors, block, together):
     table, rows = vectors
     x = np.array([r[1] for r in rows])
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     links = unit @ unit.T >= 0.95
     np.fill_diagonal(links, False)
-    told = {r.vec_id: r for r in rabitq.near_vectors(table).collect()}
+    told = {r.vec_id: r for r in rabitq.near_vectors(table, block=block, together=together).collect()}
     assert [told[i].n_links for i in range(len(rows))] == links.sum(axis=1).tolist()
     least = np.arange(len(rows))
     while (fresh := np.minimum(least, np.where(links, least[None, :], len(rows)).min(axis=1))).tolist() != least.tolist():
@@ -330,6 +332,25 @@ def test_near_vectors_match_brute_force(spark, vectors):
     assert rabitq.near_vectors(table.limit(0)).count() == 0
 
 
+def test_stored_codes_estimate_the_cosine_without_bias_and_within_the_bound():
+    rng = np.random.default_rng(3)
+    for width in (16, 63, 64):
+        x = rng.standard_normal((400, width))
+        x[200:] = x[:200] + 0.2 * rng.standard_normal((200, width))
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        kept = rabitq.sketched(unit @ rabitq.rotations(width, width)[:, :width])
+        rows = pd.DataFrame({"node": range(400), "width": width, "bucket": 0, "i": 0, "j": 0, "block": 0,
+                             **{c: [r.tobytes() for r in kept[c]] for c in ("code", "rounded")},
+                             **{c: kept[c] for c in ("factor", "low", "step")}})
+        codes = (np.unpackbits(kept["code"], axis=1, count=width) * 2.0 - 1) / np.sqrt(width) / kept["factor"][:, None]
+        halves = np.stack([kept["rounded"] >> 4, kept["rounded"] & 15], axis=2).reshape(400, -1)[:, :width]
+        gap = codes @ (kept["low"][:, None] + kept["step"][:, None] * halves).T - unit @ unit.T
+        assert abs(gap.mean()) < 0.01
+        open_ = {(int(a), int(b)) for a, b in np.hstack([np.vstack(p) for p in rabitq.open_pairs(rows, 0.95)]).T}
+        near = {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))}
+        assert near and near <= open_ and (width < 63 or len(open_) < 0.05 * 400 * 399 / 2)
+
+
 def test_near_vectors_with_repeated_and_missing_ids(spark):
     near = [[1.0, 0.01 * i, 0.0, 0.0] for i in range(4)]
     rows = list(zip((1, 1, 1, 2), near)) + [(None, [0.0, 1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.01, 0.0]), (None, [0.0, 0.0, 0.0, 5.0])]
