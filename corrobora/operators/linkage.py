@@ -280,3 +280,52 @@ def linkage_quality(judged: DataFrame, predicted="linked", actual="should_link")
         .withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"),
                                 F.col("precision") + F.col("recall")))
     )
+
+
+def cluster_quality(items: DataFrame, predicted="predicted", actual="actual") -> DataFrame:
+    """A14 for components: pairwise and per-item precision, recall and F1, from sizes alone.
+
+    Items that share a predicted and an actual group are one cell of a contingency table; pairs inside a
+    group of n are n(n-1)/2, so no pair is formed and a group of any size is one summed row. Pair counts
+    are decimals, since squares of large groups pass 64 bits. An item without a predicted or an actual
+    group can't be judged: it is counted in ``n_unjudged`` and takes part in nothing else. Ratios
+    without a base are 0.
+    """
+    known = F.col(predicted).isNotNull() & F.col(actual).isNotNull()
+    cells = cut_lineage(
+        items.select(F.when(known, F.struct(F.col(predicted).alias("p"), F.col(actual).alias("t"))).alias("cell"))
+        .groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        .select("cell.p", "cell.t", "n", F.col("cell").isNotNull().alias("judged")))
+    judged = cells.filter("judged").drop("judged")
+
+    def sizes(side, name):
+        return judged.groupBy(side).agg(F.sum("n").alias(name))
+
+    def pairs(n):
+        n = F.col(n).cast("decimal(18,0)")
+        return F.coalesce(F.sum((n * (n - 1) / 2).cast("decimal(36,0)")), F.lit(0)).cast("decimal(38,0)")
+
+    def share(of):
+        return F.sum(F.col("n").cast("double") * F.col("n") / F.col(of))
+
+    inside = judged.join(sizes("p", "n_p"), "p").join(sizes("t", "n_t"), "t").agg(
+        pairs("n").alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"),
+        share("n_p").alias("_precise"), share("n_t").alias("_recalled"))
+    sums = inside
+    for other in (sizes("p", "n_p").agg(pairs("n_p").alias("_predicted")),
+                  sizes("t", "n_t").agg(pairs("n_t").alias("_actual")),
+                  cells.agg(F.coalesce(F.sum(F.when(~F.col("judged"), F.col("n"))), F.lit(0)).alias("n_unjudged"))):
+        sums = sums.unionByName(other, allowMissingColumns=True)
+    told = sums.agg(*[F.max(c).alias(c) for c in sums.columns])  # four rows, a value of each column in one of them
+
+    def ratio(top, bottom):
+        return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
+
+    precision, recall = ratio(F.col("tp"), F.col("_predicted")), ratio(F.col("tp"), F.col("_actual"))
+    exact, whole = ratio(F.col("_precise"), F.col("n_items")), ratio(F.col("_recalled"), F.col("n_items"))
+    return told.select(
+        "n_items", "n_unjudged", "tp", (F.col("_predicted") - F.col("tp")).alias("fp"),
+        (F.col("_actual") - F.col("tp")).alias("fn"), precision.alias("precision"), recall.alias("recall"),
+        ratio(2 * precision * recall, precision + recall).alias("f1"),
+        exact.alias("item_precision"), whole.alias("item_recall"),
+        ratio(2 * exact * whole, exact + whole).alias("item_f1"))

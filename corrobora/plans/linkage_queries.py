@@ -154,13 +154,16 @@ NODES = [
 ]
 
 
-@query("resolve_parties", "WITH RECURSIVE " + with_ctes(NODES)[5:].rstrip() + """,
+REACHED = "WITH RECURSIVE " + with_ctes(NODES)[5:].rstrip() + """,
 reach AS (
   SELECT member_key, name AS root, name AS node FROM tok
   UNION
   SELECT r.member_key, r.root, e.name_b FROM reach r JOIN edge e
   ON e.member_key = r.member_key AND e.name_a = r.node)
-, label AS (SELECT member_key, root AS name, min(node) AS label FROM reach GROUP BY 1, 2)
+, label AS (SELECT member_key, root AS name, min(node) AS label FROM reach GROUP BY 1, 2)"""
+
+
+@query("resolve_parties", REACHED + """
 , party AS (
   SELECT member_key, label, arg_min(key, {'r': rank, 'i': id}) AS party_key
   FROM mention JOIN label USING (member_key, name) GROUP BY 1, 2)
@@ -170,6 +173,11 @@ reach AS (
 SELECT DISTINCT member_key, id, party_key
 FROM mention JOIN label USING (member_key, name) JOIN keyed USING (member_key, label)""")
 def resolve_parties(spark, folder):
+    return linkage.resolve_parties(*_mentions(spark, folder))[1]
+
+
+def _mentions(spark, folder):
+    """Accounts and deductors of every brand."""
     part = adapters.table(spark, folder, "part")
     accounts = part.filter(F.col("p_size") <= 10).select(
         F.col("p_brand").alias("member_key"),
@@ -179,7 +187,40 @@ def resolve_parties(spark, folder):
         F.col("p_brand").alias("member_key"),
         F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("tan"),
         F.concat(F.upper("p_name"), F.lit(" "), F.col("p_type"), F.lit(" MFG LIMITED")).alias("name"))
-    return linkage.resolve_parties(accounts, deductors)[1]
+    return accounts, deductors
+
+
+# every part stands for the organisation it is named after, within its brand; the SQL counts all pairs
+@query("party_quality", REACHED + """
+, item AS (
+  SELECT m.member_key, id, label, p_name AS actual
+  FROM mention m JOIN label USING (member_key, name)
+  JOIN part ON p_brand = m.member_key AND id = CASE WHEN p_size <= 10 THEN 'MHBAN' || lpad(CAST(p_partkey AS VARCHAR), 17, '0')
+                                                    ELSE 'T' || p_partkey END)
+, met AS (
+  SELECT a.member_key, a.id, a.id < b.id AS once, a.label = b.label AS p, a.actual = b.actual AS t
+  FROM item a JOIN item b USING (member_key))
+, pairs AS (
+  SELECT count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp,
+         count(*) FILTER (WHERE t AND NOT p) AS fn FROM met WHERE once)
+, each AS (
+  SELECT count(*) FILTER (WHERE p AND t) / count(*) FILTER (WHERE p) AS exact,
+         count(*) FILTER (WHERE p AND t) / count(*) FILTER (WHERE t) AS whole FROM met GROUP BY member_key, id)
+, items AS (SELECT count(*) AS n_items, avg(exact) AS e, avg(whole) AS w FROM each)
+SELECT n_items, 0 AS n_unjudged, CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn,
+       round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1,
+       round(e, 9) AS item_precision, round(w, 9) AS item_recall, round(2 * e * w / (e + w), 9) AS item_f1
+FROM pairs, items""")
+def party_quality(spark, folder):
+    links = linkage.resolve_parties(*_mentions(spark, folder))[1]
+    named = adapters.table(spark, folder, "part").select(
+        F.col("p_brand").alias("member_key"), "p_name",
+        F.when(F.col("p_size") <= 10, F.concat(F.lit("MHBAN"), F.lpad(F.col("p_partkey").cast("string"), 17, "0")))
+        .otherwise(F.concat(F.lit("T"), F.col("p_partkey").cast("string"))).alias("id"))
+    told = linkage.cluster_quality(named.join(links, ["member_key", "id"]).select(
+        F.struct("member_key", "party_key").alias("predicted"), F.struct("member_key", "p_name").alias("actual")))
+    rounded = {c: F.round(c, 9) for c in ("precision", "recall", "f1", "item_precision", "item_recall", "item_f1")}
+    return told.withColumns(rounded)
 
 
 # ---------------------------------------------------------------------- people

@@ -1,7 +1,10 @@
 """Organisation and person names: labelled pairs, and blocking against brute force."""
 
+import itertools
 import random
 
+import pytest
+
 from corrobora.operators import linkage, people
 from corrobora.session import cut_lineage
 
@@ -148,3 +151,25 @@ def test_people_of_one_very_common_name(spark):
     hub = [r for r in told if r.representative == "RAVI SINGH"]
     assert len(told) == 4_001 and [(r.n_members, r.n_links) for r in hub] == [(50_000, 4_000)]
     assert len({r.person for r in told}) == 1
+
+
+def test_quality_of_components_equals_counting_all_pairs(spark):
+    rng = random.Random(4)
+    items = [(rng.choice("abcdefg"), rng.choice([1, 2, 3, 4, 5])) for _ in range(300)] + [(None, 1), ("a", None)]
+    told = linkage.cluster_quality(spark.createDataFrame(items, "predicted string, actual int")).first()
+    judged = items[:300]
+    tp = fp = fn = 0
+    for (p, t), (q, u) in itertools.combinations(judged, 2):
+        tp, fp, fn = tp + (p == q and t == u), fp + (p == q and t != u), fn + (p != q and t == u)
+    assert (told.n_items, told.n_unjudged, int(told.tp), int(told.fp), int(told.fn)) == (300, 2, tp, fp, fn)
+    assert told.precision == pytest.approx(tp / (tp + fp)) and told.recall == pytest.approx(tp / (tp + fn))
+    share = [sum(x == y for y in judged) / sum(x[0] == y[0] for y in judged) for x in judged]
+    assert told.item_precision == pytest.approx(sum(share) / 300)
+
+
+def test_quality_of_huge_components_and_of_nothing(spark):
+    one = spark.range(4_000_000).selectExpr("1 AS predicted", "id % 2 AS actual")
+    told = linkage.cluster_quality(one).first()
+    assert int(told.tp) == 2 * (2_000_000 * 1_999_999 // 2) and int(told.fp) == 2_000_000 ** 2 and told.item_precision == 0.5
+    none = linkage.cluster_quality(spark.createDataFrame([], "predicted string, actual string")).first()
+    assert (none.n_items, int(none.tp), none.precision, none.item_f1) == (0, 0, 0.0, 0.0)
