@@ -1,20 +1,23 @@
 """Two members with known outcomes, rendered as the documents they would hand in."""
 
-from datetime import date
+from datetime import date, timedelta
 
 STATEMENT_HEAD = "Form 26AS\nAnnual Tax Statement\n\n"
 TABLE_HEAD = "Sr. No.  Name of Deductor   TAN of Deductor  Total Amount Paid  Total Tax Deducted  Deposited"
 ROW_HEAD = "Sr. No.  Section  Transaction Date  Status  Date of Booking  Remarks  Paid  Tax  Deposited"
 
-MONTH_ENDS = {
-    "starlit": ["31-Aug-2012", "30-Sep-2012", "31-Oct-2012", "30-Nov-2012", "31-Dec-2012", "31-Jan-2013",
-                "28-Feb-2013", "31-Mar-2013", "30-Apr-2013", "31-May-2013", "30-Jun-2013"],
-    "acme": ["30-Apr-2020", "31-May-2020", "30-Jun-2020", "31-Jul-2020", "31-Aug-2020", "30-Sep-2020",
-             "31-Oct-2020", "30-Nov-2020", "31-Dec-2020", "31-Jan-2021", "28-Feb-2021", "31-Mar-2021"],
-    "boreal": ["31-May-2021", "30-Jun-2021", "31-Jul-2021"],
-    "helios": ["30-Jun-2021", "31-Jul-2021", "31-Aug-2021", "30-Sep-2021", "31-Oct-2021", "30-Nov-2021",
-               "31-Dec-2021", "31-Jan-2022", "28-Feb-2022", "31-Mar-2022", "30-Apr-2022", "31-May-2022"],
-}
+
+
+def month_ends(year, month, n):
+    """The last days of ``n`` months in a row, as statements write them."""
+    firsts = [date(year + (month + k) // 12, (month + k) % 12 + 1, 1) for k in range(n)]
+    return [(first - timedelta(days=1)).strftime("%d-%b-%Y") for first in firsts]
+
+
+TIDEWATER_DAYS = month_ends(2013, 10, 7)
+MERIDIAN_DAYS = month_ends(2018, 2, 8)
+QUILLHAVEN_DAYS = month_ends(2018, 11, 5)
+OAKFERN_DAYS = month_ends(2020, 7, 9)
 
 
 def block(n, name, tan, days, paid, tax, amounts=None):
@@ -53,61 +56,57 @@ def months_of(days):
     return [d[3:] for d in days]
 
 
-ACME, BOREAL = "BLBNG00123450000001234", "PNPUN00678900000005678"
-SALARY = "NEFT CR-HDFC0000060-ACME TECHNOLOGIES-SALARY"
+MERIDIAN, QUILLHAVEN, OAKFERN = "GJSRT00417290000003307", "WBCAL00836140000001196", "KDMAL00552030000000418"
+SALARY = "NEFT CR-ICIC0000104-MERIDIAN LOOMWORKS-SALARY"
 
 
 def defective(member="GM1"):
+    """A lost first account, an exit dated three months early, and one never dated."""
     return [
         (member, "a-statement", statement(
-            "RAHUL KUMAR SINGH", "AAAPZ1234C",
-            block(1, "STARLIT RETAIL PRIVATE LIMITED", "MUMS45678B", MONTH_ENDS["starlit"], 24000, 1200),
-            block(2, "ACME TECHNOLOGIES PRIVATE LIMITED", "BLRA12345E", MONTH_ENDS["acme"], 65000, 3900),
-            block(3, "BOREAL SYSTEMS PRIVATE LIMITED", "PNEB67890K", MONTH_ENDS["boreal"], 80000, 4800))),
-        (member, "b-acme", passbook(
-            "BLBNG0012345000", "ACME TECHNOLOGIES PVT LTD", ACME, "RAHUL K SINGH", "25-12-1990",
-            "01-04-2020", "100999888777",
-            [(m, 7800, 2385, 1250) for m in months_of(MONTH_ENDS["acme"])])),
-        (member, "c-boreal", passbook(
-            "PNPUN0067890000", "BOREAL SYSTEMS PVT LTD", BOREAL, "RAHUL SINGH", "25-12-1990",
-            "01-05-2021", "100999888777",
-            [(m, 9600, 3350, 1250) for m in months_of(MONTH_ENDS["boreal"])])),
+            "ISHAAN DEV TALWAR", "KLMPT4821Q",
+            block(1, "TIDEWATER CANNERY PRIVATE LIMITED", "VPNT22417F", TIDEWATER_DAYS, 31000, 900),
+            block(2, "MERIDIAN LOOMWORKS PRIVATE LIMITED", "SRTM60318H", MERIDIAN_DAYS, 52000, 2100),
+            block(3, "QUILLHAVEN OPTICS PRIVATE LIMITED", "KOLQ81925D", QUILLHAVEN_DAYS, 59000, 2750))),
+        (member, "b-meridian", passbook(
+            MERIDIAN[:15], "MERIDIAN LOOMWORKS PVT LTD", MERIDIAN, "ISHAAN D TALWAR", "09-07-1987",
+            "05-02-2018", "100482615937", [(m, 6240, 1910, 1180) for m in months_of(MERIDIAN_DAYS)])),
+        (member, "c-quillhaven", passbook(
+            QUILLHAVEN[:15], "QUILLHAVEN OPTICS PVT LTD", QUILLHAVEN, "ISHAAN TALWAR", "09-07-1987",
+            "12-11-2018", "100482615937", [(m, 7080, 2430, 1250) for m in months_of(QUILLHAVEN_DAYS)])),
         (member, "d-history", history(
-            (ACME, "ACME TECHNOLOGIES PVT LTD", "01-04-2020", "30-11-2020"),
-            (BOREAL, "BOREAL SYSTEMS PVT LTD", "01-05-2021", "-"))),
+            (MERIDIAN, "MERIDIAN LOOMWORKS PVT LTD", "05-02-2018", "30-06-2018"),
+            (QUILLHAVEN, "QUILLHAVEN OPTICS PVT LTD", "12-11-2018", "-"))),
         (member, "e-bank", bank(
-            "RAHUL SINGH",
-            ("30-04-2020", SALARY + " APR20", "65,000.00", "CR"),
-            ("31-05-2020", SALARY + " MAY20", "65,000.00", "CR"),
-            ("30-06-2020", SALARY + " JUN20", "65,000.00", "CR"),
-            ("05-07-2020", "INT.CR QUARTERLY INTEREST CREDIT", "412.00", "CR"),
-            ("31-12-2020", SALARY + " DEC20", "65,000.00", "CR"),
-            ("31-01-2021", SALARY + " JAN21", "65,000.00", "CR"),
-            ("28-02-2021", SALARY + " FEB21", "65,000.00", "CR"),
-            ("15-03-2021", "UPI/P2A/408123456789/RENT", "18,000.00", "DR"),
-            ("31-03-2021", SALARY + " MAR21", "65,000.00", "CR"))),
+            "ISHAAN TALWAR",
+            ("28-03-2018", SALARY + " MAR18", "49,900.00", "CR"),
+            ("27-04-2018", SALARY + " APR18", "49,900.00", "CR"),
+            ("10-05-2018", "INT.CR HALF YEAR", "236.00", "CR"),
+            ("30-07-2018", SALARY + " JUL18", "49,900.00", "CR"),
+            ("29-08-2018", SALARY + " AUG18", "49,900.00", "CR"),
+            ("02-09-2018", "POS 2217 GROCER", "1,840.00", "DR"),
+            ("28-09-2018", SALARY + " SEP18", "49,900.00", "CR"))),
     ]
 
 
 def clean(member="GM2"):
-    account = "BGBNG00998870000009876"
+    """One account whose documents agree."""
     return [
         (member, "a-statement", statement(
-            "PRIYA MENON", "BBBPM5678D",
-            block(1, "HELIOS ANALYTICS PRIVATE LIMITED", "BLRH55555C", MONTH_ENDS["helios"], 72000, 4320))),
+            "LEELA VARGHESE", "QRSPV9034H",
+            block(1, "OAKFERN ROBOTICS PRIVATE LIMITED", "CHNO37741B", OAKFERN_DAYS, 72500, 4150))),
         (member, "b-passbook", passbook(
-            "BGBNG0099887000", "HELIOS ANALYTICS PVT LTD", account, "PRIYA MENON", "02-02-1995",
-            "01-06-2021", "100777666555",
-            [(m, 10200, 3600, 1250) for m in months_of(MONTH_ENDS["helios"])])),
-        (member, "d-history", history((account, "HELIOS ANALYTICS PVT LTD", "01-06-2021", "31-05-2022"))),
-        (member, "e-bank", bank("PRIYA MENON", ("05-07-2021", "NEFT-HELIOS ANALYTICS-SALARY JUN", "67680.00"))),
+            OAKFERN[:15], "OAKFERN ROBOTICS PVT LTD", OAKFERN, "LEELA VARGHESE", "21-11-1992",
+            "01-07-2020", "100815340276", [(m, 8640, 3060, 1250) for m in months_of(OAKFERN_DAYS)])),
+        (member, "d-history", history((OAKFERN, "OAKFERN ROBOTICS PVT LTD", "01-07-2020", "31-03-2021"))),
+        (member, "e-bank", bank("LEELA VARGHESE", ("04-08-2020", "NEFT-OAKFERN ROBOTICS-SALARY JUL", "68350.00"))),
     ]
 
 
 REGISTER = [
-    ("STARLIT RETAIL PRIVATE LIMITED", "MHBAN0026403000", True, date(2009, 4, 1), 1),
-    ("ACME TECHNOLOGIES PRIVATE LIMITED", "BLBNG0012345000", True, date(2015, 7, 1), 2),
-    ("BOREAL SYSTEMS PRIVATE LIMITED", "PNPUN0067890000", True, date(2018, 1, 1), 3),
-    ("KADAM & SONS TRADERS", "", False, None, 4),
+    ("TIDEWATER CANNERY PRIVATE LIMITED", "APVSP0071188000", True, date(2010, 8, 1), 1),
+    ("MERIDIAN LOOMWORKS PRIVATE LIMITED", MERIDIAN[:15], True, date(2014, 3, 1), 2),
+    ("QUILLHAVEN OPTICS PRIVATE LIMITED", QUILLHAVEN[:15], True, date(2016, 10, 1), 3),
+    ("PEREIRA & DAUGHTERS BAKERY", "", False, None, 4),
 ]
-AS_OF = date(2025, 8, 20)
+AS_OF = date(2024, 5, 14)

@@ -54,14 +54,14 @@ def test_settlement_order(spark):
 
 def test_orphan_cases(spark):
     register = spark.createDataFrame(
-        [("STARLIT RETAIL PRIVATE LIMITED", "MHBAN0026403000", True, date(2009, 4, 1), 1),
-         ("ACME TECHNOLOGIES PRIVATE LIMITED", "BLBNG0012345000", True, date(2015, 7, 1), 2),
-         ("KADAM & SONS TRADERS", "", False, None, 3)], CONTRACTS["establishments"])
+        [("TIDEWATER CANNERY PRIVATE LIMITED", "APVSP0071188000", True, date(2009, 4, 1), 1),
+         ("MERIDIAN LOOMWORKS PRIVATE LIMITED", "GJSRT0041729000", True, date(2015, 7, 1), 2),
+         ("PEREIRA & DAUGHTERS BAKERY", "", False, None, 3)], CONTRACTS["establishments"])
     cases = spark.createDataFrame(
-        [("1", "p", "STARLIT RETAIL PVT LTD", date(2012, 8, 31), date(2013, 6, 30), 11, 24000.0),
-         ("2", "p", "KADAM AND SONS TRADERS", date(2014, 5, 31), date(2015, 3, 31), 11, 18000.0),
-         ("3", "p", "ACME TECHNOLOGIES PVT LTD", date(2016, 1, 31), date(2016, 3, 31), 2, 30000.0),
-         ("4", "p", "ZEPHYR MICROSYSTEMS LLP", date(2011, 4, 30), date(2012, 3, 31), 12, 21000.0)],
+        [("1", "p", "TIDEWATER CANNERY PVT LTD", date(2013, 10, 31), date(2014, 4, 30), 7, 31000.0),
+         ("2", "p", "PEREIRA AND DAUGHTERS BAKERY", date(2015, 1, 31), date(2015, 9, 30), 9, 16500.0),
+         ("3", "p", "MERIDIAN LOOMWORKS PVT LTD", date(2017, 6, 30), date(2017, 8, 31), 2, 27500.0),
+         ("4", "p", "JUNIPER GLASSWORKS LLP", date(2011, 8, 31), date(2012, 5, 31), 10, 19500.0)],
         "member_key string, party_key string, name string, first_seen date, last_seen date, months bigint, "
         "gross_monthly double")
     resolved = cases.join(linkage.resolve_establishments(cases.select("name"), register), "name", "left")
