@@ -1,6 +1,6 @@
 """Person names compared across documents and scripts."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora.functions.names import name_signature, name_tokens
 from corrobora.operators.linkage import components
@@ -89,24 +89,107 @@ def spellings(names: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_docs"))
 
 
-def weakest_pair(names: DataFrame) -> DataFrame:
+#: leading classes of a member that meet all its spellings before counts are asked
+PROBES = 16
+
+
+def _forms(names: DataFrame) -> DataFrame:
+    """Spellings with their class: all that ``compare_names`` reads of a name but the order of its tokens."""
+    tokens = F.col("tokens")
+    spelt = spellings(names.filter(F.col("name").isNotNull())).withColumn("tokens", name_tokens("name")).withColumn(
+        "w", F.filter(tokens, lambda t: F.length(t) != 1)).withColumn("i", F.filter(tokens, lambda t: F.length(t) == 1))
+    return spelt.withColumn("s", F.transform("w", name_signature)).select(
+        "member_key", "name", "first_ord", "last_ord", "n_docs", "tokens",
+        F.struct("s", F.transform("w", _initial).alias("letters"), "i").alias("class"))
+
+
+def _floor(forms: DataFrame) -> DataFrame:
+    """A confidence that no two spellings of a member can fall below, from counts alone, and its number of classes.
+
+    A step of the ladder is possible only if the member has what its rule asks for: a spelling without full words, two
+    surnames under one given name (or something that excuses different given names), two given names, two middle
+    names, initials beside middle names. What holds here is necessary, not sufficient.
+    """
+    s = F.col("class.s")
+    given, surname = F.get(s, F.lit(0)), F.when(F.size(s) > 1, F.element_at(s, -1))
+    middle = F.array_sort(F.array_distinct(_middle(s)))
+    by_given = forms.select("member_key", given.alias("given"), surname.alias("surname"), "class", "tokens",
+                            middle.alias("middle"), F.slice(s, 2, 1 << 20).alias("later"))
+    per_given = by_given.groupBy("member_key", "given").agg(
+        F.min("surname").alias("low"), F.max("surname").alias("high"))
+    later = by_given.select("member_key", F.explode("later").alias("given")).distinct()
+    elsewhere = per_given.join(later, ["member_key", "given"]).select("member_key").distinct().withColumn(
+        "elsewhere", F.lit(True))
+    surnames = per_given.groupBy("member_key").agg(
+        F.bool_or(F.col("low") != F.col("high")).alias("split"), (F.min("low") != F.max("high")).alias("surnames"),
+        (F.min("given") != F.max("given")).alias("givens"))
+    named = F.when(F.size("middle") > 0, F.col("middle"))
+    facts = by_given.groupBy("member_key").agg(
+        F.bool_or(F.col("given").isNull()).alias("wordless"), F.bool_or(F.size("class.i") > 0).alias("initials"),
+        (F.min("middle") != F.max("middle")).alias("middles"), (F.min(named) != F.max(named)).alias("named_middles"),
+        F.max(named).isNotNull().alias("any_middle"), (F.min("tokens") != F.max("tokens")).alias("varies"),
+        F.count_distinct("class").alias("n_classes"))
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    floor = (
+        F.when(yes("wordless"), 0.0)
+        .when(yes("surnames") & (yes("split") | yes("initials") | yes("elsewhere")), 0.10)
+        .when(yes("givens"), 0.15).when(yes("named_middles"), 0.20)
+        .when(yes("initials") & yes("any_middle"), 0.35).when(yes("middles"), 0.75)
+        .when(yes("varies"), 0.85).otherwise(0.99))
+    return facts.join(surnames, "member_key").join(elsewhere, "member_key", "left").select(
+        "member_key", "n_classes", floor.alias("floor"))
+
+
+def weakest_pair(names: DataFrame, probes=PROBES) -> DataFrame:
     """The two spellings of a member that agree least; the first such pair on ties.
 
-    ``names``: member_key, name, ord. Spellings are reduced to distinct ones
-    first, so copies of a document are never paired with each other.
+    ``names``: member_key, name, ord (unique in a member); rows with a null name are left out. A pair is two documents
+    in reading order, so a spelling that comes once is not paired with itself, and a member with one document has no row.
+
+    Spellings of one class get the same answer against any other, so only the first spelling of a class has to stand
+    on the left. The first ``probes`` classes meet all spellings of their member. That settles members with no more
+    classes, and all others whose weakest pair so far is as weak as counts allow (``_floor``): later pairs can't be
+    weaker, and come later. Only what is left open is compared class by class.
     """
-    forms = spellings(names)
-    left = forms.select("member_key", F.col("name").alias("a"), F.col("first_ord").alias("ord_a"),
-                        F.col("n_docs").alias("n_a"))
+    forms = cut_lineage(_forms(names))
+    heads = forms.groupBy("member_key", "class").agg(
+        F.min_by(F.struct("name", "n_docs"), F.struct("first_ord", "name")).alias("h"),
+        F.min("first_ord").alias("ord_a"), F.max("last_ord").alias("last_b"))
+    rank = F.row_number().over(Window.partitionBy("member_key").orderBy("ord_a", "h.name"))
+    left = ["member_key", F.col("h.name").alias("a"), F.col("h.n_docs").alias("n_a"), "ord_a"]
     right = forms.select("member_key", F.col("name").alias("b"), F.col("last_ord").alias("last_b"),
-                         F.col("first_ord").alias("ord_b"))
-    pairs = left.join(right, "member_key").filter(
-        ((F.col("a") != F.col("b")) & (F.col("ord_a") < F.col("last_b")))
-        | ((F.col("a") == F.col("b")) & (F.col("n_a") > 1)))
-    return compare_names(pairs).groupBy("member_key").agg(
-        F.min_by(F.struct("a", "b", "confidence", "same_person", "reason"),
-                 F.struct("confidence", "ord_a", "ord_b")).alias("w")
-    ).select("member_key", "w.*")
+                         F.col("first_ord").alias("ord_b"), "class")
+    paired = (((F.col("a") != F.col("b")) & (F.col("ord_a") < F.col("last_b")))
+              | ((F.col("a") == F.col("b")) & (F.col("n_a") > 1)))
+
+    def weakest(pairs):
+        return compare_names(pairs).groupBy("member_key").agg(
+            F.min_by(F.struct("a", "b", "confidence", "same_person", "reason", "ord_a", "ord_b"),
+                     F.struct("confidence", "ord_a", "ord_b", "a", "b")).alias("w")).select("member_key", "w.*")
+
+    leading = heads.withColumn("rank", rank).filter(F.col("rank") <= probes).drop("rank")
+    probed = cut_lineage(weakest(leading.select(*left).join(right.drop("class"), "member_key").filter(paired)))
+    limits = _floor(forms).filter(F.col("n_classes") > probes)
+    undecided = cut_lineage(probed.join(limits, "member_key").filter(F.col("confidence") > F.col("floor")).select(
+        "member_key"))
+    out = ["member_key", "a", "b", "confidence", "same_person", "reason"]
+    if undecided.isEmpty():
+        return probed.select(*out)
+
+    open_heads = cut_lineage(heads.join(undecided, "member_key"))
+    mine = open_heads.select(*left, "class")
+    between = mine.join(
+        open_heads.select("member_key", F.col("h.name").alias("b"), "last_b", F.col("ord_a").alias("ord_b"),
+                          F.col("class").alias("class_b")), "member_key").filter(
+        (F.col("class") != F.col("class_b")) & (F.col("ord_a") < F.col("last_b")))
+    inside = mine.join(right, ["member_key", "class"]).filter(paired)
+    columns = ["member_key", "a", "n_a", "ord_a", "b", "ord_b"]
+    found = weakest(between.select(*columns).unionByName(inside.select(*columns)))
+    # a class was met by its head: the partner itself is looked up among all spellings
+    settled = weakest(found.select("member_key", "a", "ord_a").join(
+        open_heads.select("member_key", F.col("h.name").alias("a"), F.col("h.n_docs").alias("n_a")), ["member_key", "a"])
+        .join(right.drop("class"), "member_key").filter(paired))
+    return probed.join(undecided, "member_key", "left_anti").select(*out).unionByName(settled.select(*out))
 
 
 def canonical_name(names: DataFrame) -> DataFrame:

@@ -173,3 +173,50 @@ def test_quality_of_huge_components_and_of_nothing(spark):
     assert int(told.tp) == 2 * (2_000_000 * 1_999_999 // 2) and int(told.fp) == 2_000_000 ** 2 and told.item_precision == 0.5
     none = linkage.cluster_quality(spark.createDataFrame([], "predicted string, actual string")).first()
     assert (none.n_items, int(none.tp), none.precision, none.item_f1) == (0, 0, 0.0, 0.0)
+
+
+def _all_pairs(names):
+    """The weakest pair of each member by comparing every two spellings."""
+    forms = people.spellings(names.filter("name is not null"))
+    left = forms.selectExpr("member_key", "name a", "first_ord ord_a", "n_docs n_a")
+    right = forms.selectExpr("member_key", "name b", "last_ord last_b", "first_ord ord_b")
+    judged = people.compare_names(left.join(right, "member_key").filter("(a <> b and ord_a < last_b) or (a = b and n_a > 1)"))
+    best = {}
+    for r in judged.collect():
+        key = (r.confidence, r.ord_a, r.ord_b)
+        if r.member_key not in best or key < best[r.member_key][0]:
+            best[r.member_key] = (key, (r.a, r.b, r.confidence, r.same_person, r.reason))
+    return {m: told for m, (_, told) in best.items()}
+
+
+@pytest.mark.parametrize("probes", [1, 3, 16])
+def test_weakest_pair_equals_all_pairs(spark, probes):
+    rng = random.Random(probes)
+    given, middle = ["RAVI", "RAVEE", "SUNIL", "R", "KUMAR"], ["", "", "KUMAR", "K", "MOHAN", "M", "DEV"]
+    surname = ["SINGH", "SINGH", "SINHG", "VERMA", "", "RAVI"]
+    rows = []
+    for m in range(60):
+        # few words for some members, so that all steps of the ladder are the weakest somewhere
+        g, k, s = (rng.sample(x, rng.randint(1, len(x))) for x in (given, middle, surname))
+        for n in range(rng.randint(1, 14)):
+            rows.append((str(m), " ".join(w for w in (rng.choice(g), rng.choice(k), rng.choice(s)) if w), n))
+    rows += [("null", None, 0), ("null", "RAVI SINGH", 1), ("blank", "", 0), ("blank", "RAVI SINGH", 1), ("nulls", None, 0)]
+    names = cut_lineage(spark.createDataFrame(rows, "member_key string, name string, ord bigint"))
+    told = {r.member_key: (r.a, r.b, r.confidence, r.same_person, r.reason)
+            for r in people.weakest_pair(names, probes).collect()}
+    expected = _all_pairs(names)
+    assert told == expected and len({e[2] for e in expected.values()}) >= 6
+    assert "null" not in told and told["blank"][4] == "empty"
+
+
+def test_weakest_pair_of_very_many_spellings(spark):
+    """20,000 spellings of one member are settled without pairing them all."""
+    code = "translate(cast(id + 100000 as string), '0123456789', 'BCDGHJKLMN')"
+    names = spark.range(20_000).selectExpr(
+        "'m' member_key", f"if(id = 0, 'RAVI SINGH', concat('RAVI ', {code}, 'A SINGH')) name", "id ord")
+    told = people.weakest_pair(names).collect()
+    assert [(r.a[:5], r.confidence, r.reason) for r in told] == [("RAVI ", 0.20, "middle names conflict")]
+
+
+def test_weakest_pair_of_no_rows(spark):
+    assert people.weakest_pair(spark.createDataFrame([], "member_key string, name string, ord bigint")).count() == 0
