@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora import rules
-from corrobora.operators.spread import ORD_BLOCK, position_in_group
+from corrobora.operators.spread import position_in_order
 from corrobora.operators.verdicts import severity_rank
 
 
@@ -23,11 +23,9 @@ def plan_steps(findings: DataFrame, closed: DataFrame = None) -> DataFrame:
         actions = actions.join(closed, ["member_key", "party_key"], "left").withColumn(
             "is_closed", F.coalesce("_closed", F.lit(False)))
     attested = ~late & F.col("is_closed") & (F.col("route") == rules.JOINT_DECLARATION)
-    numbered = position_in_group(
-        actions.withColumn("severity_rank", severity_rank()), ["member_key"],
-        F.struct(late.alias("late"), "severity_rank", "phase",
-                 F.floor(F.col("ord") / ORD_BLOCK).alias("block")),
-        ["ord", "party_key", "kind"], "step_no")
+    numbered = position_in_order(
+        actions.withColumn("severity_rank", severity_rank()).withColumn("late", late), ["member_key"],
+        ["late", "severity_rank", "phase", "ord", "party_key", "kind"], "step_no")
     waits = late & (F.col("n_first") > 0)
     return numbered.join(first_wave, "member_key").select(
         "member_key", "step_no", "kind", "party_key", "party_key_2", "route",

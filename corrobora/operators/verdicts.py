@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora import rules
-from corrobora.operators.spread import ORD_BLOCK, position_in_group
+from corrobora.operators.spread import position_in_order
 
 
 def severity_rank(severity="severity"):
@@ -16,10 +16,9 @@ def severity_rank(severity="severity"):
 
 def order_findings(findings: DataFrame) -> DataFrame:
     """Position of each finding within its member, worst severity first."""
-    return position_in_group(
+    return position_in_order(
         findings.withColumn("severity_rank", severity_rank()), ["member_key"],
-        F.struct("severity_rank", "phase", F.floor(F.col("ord") / ORD_BLOCK).alias("block")),
-        ["ord", "party_key", "kind"], "finding_no")
+        ["severity_rank", "phase", "ord", "party_key", "kind"], "finding_no")
 
 
 def claim_status(findings: DataFrame, members: DataFrame, history: DataFrame = None) -> DataFrame:

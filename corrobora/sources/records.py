@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from corrobora import rules
 from corrobora.functions.dates import dmy
 from corrobora.functions.text import first_match, money, strip
-from corrobora.operators.spread import position_in_group
+from corrobora.operators.spread import position_in_order
 from corrobora.sources.corpus import DOC, explode_lines
 
 
@@ -93,8 +93,7 @@ def extract_names(classified: DataFrame) -> DataFrame:
         label = F.when(F.col("kind") == kind, text).otherwise(label)
     named = classified.filter(F.col("kind").isin(list(rules.NAME_LABELS))).select(
         *DOC, "kind", label.alias("label"), strip(found).alias("name"))
-    numbered = position_in_group(
-        named, ["member_key", "kind"], F.substring("doc_id", 1, 8), ["doc_id"], "n")
+    numbered = position_in_order(named, ["member_key", "kind"], ["doc_id"], "n")
     kind_order = F.array_position(F.array([F.lit(k) for k in rules.NAME_LABELS]), F.col("kind"))
     return numbered.filter(F.col("name").isNotNull()).select(
         "member_key", "doc_id", "kind",

@@ -4,7 +4,7 @@ import random
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from corrobora.contracts import CONTRACTS
 from corrobora.operators import linkage, money, orphans, planning, spread
@@ -173,3 +173,17 @@ def test_exit_counts_any_source(spark):
          ((2, "PAYSLIP"), (8, "EPF_CONTRIB"), (9, "PAYSLIP"))], CONTRACTS["observations"])
     found = detectors.all_findings(seen, asserted, date(2020, 10, 1)).filter("kind = 'EXIT_TOO_EARLY'").collect()
     assert [(r.severity, r.n_sources, r.measure) for r in found] == [("BLOCKING", 2, 2)]
+
+
+def test_positions_in_sampled_buckets(spark):
+    """Positions equal a plain row_number, whatever the buckets; a hot key is spread, nulls come first."""
+    df = spark.range(60_000).selectExpr(
+        "if(id % 10 = 0, cast(id % 70 as string), 'hot') k", "0 phase", "if(id % 997 = 0, null, hash(id) % 1000) x", "id i")
+    order = ["phase", "x", "i"]
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    for rows_per_bucket in (256, 1024, 1 << 20):
+        told = spread.position_in_order(df, ["k"], order, "n", rows_per_bucket)
+        assert told.select(*plain.columns).exceptAll(plain).isEmpty() and told.count() == 60_000
+    sizes = [r["count"] for r in spread.order_buckets(df, ["k"], order, "b", 1024).filter("k = 'hot'").groupBy("b").count().collect()]
+    assert len(sizes) > 25 and max(sizes) < 3 * 1024
+    assert spread.position_in_order(df.limit(0), ["k"], order).count() == 0
