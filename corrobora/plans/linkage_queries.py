@@ -1,8 +1,9 @@
 """Organisation and person names from the part table, linked across spellings, with their SQL.
 
-The SQL compares all pairs by brute force. It leaves out the similarity of
-first tokens that differ: between the words of these names it never reaches
-what a link would need, so both sides must give the same links.
+The SQL compares all pairs by brute force. In most queries it leaves out the
+similarity of first tokens that differ: between the words of these names it
+never reaches what a link would need, so both sides must give the same links.
+``first_word_scores`` and ``first_word_links`` are about that similarity.
 """
 
 from pyspark.sql import functions as F
@@ -81,6 +82,53 @@ def employer_pairs(spark, folder):
     return linkage.employer_pairs(narrations, registered(spark, folder))
 
 
+# first words with the last letter lost or the first one wrong: the similarity follows from their length alone
+MISSPELT = [
+    ("reg", "SELECT DISTINCT lower(p_type) AS w, p_name AS rest, lower(p_type) || ' ' || p_name AS name FROM part"),
+    ("spelt", """
+  SELECT w, rest, left(w, length(w) - 1) || ' ' || rest AS name, 2e0 * (length(w) - 1) / (2 * length(w) - 1) AS ratio FROM reg
+  UNION ALL
+  SELECT w, rest, 'z' || substr(w, 2) || ' ' || rest, (length(w) - 1e0) / length(w) FROM reg"""),
+    ("pairs", """
+  SELECT *, 0.45e0 * jaccard + 0.55e0 * head AS raw FROM (
+    SELECT a.name AS name_a, b.name AS name_b, a.w = b.w AND a.rest = b.rest AS aligned,
+           len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE) AS jaccard,
+           greatest(len(list_filter(list_zip(a.t, b.t), lambda z: z[1] = z[2])) / 3e0,
+                    0.8e0 * CASE WHEN a.w = b.w THEN ratio ELSE 0 END) AS head
+    FROM (SELECT *, string_split(name, ' ') AS t FROM spelt) a, (SELECT *, string_split(name, ' ') AS t FROM reg) b)"""),
+]
+
+
+def _misspelt(spark, folder):
+    """(registered, misspelt) names of type and part, of three words each; ``registered`` is kept beside a misspelt one."""
+    word = F.lower("p_type")
+    registered = adapters.table(spark, folder, "part").select(
+        word.alias("w"), F.col("p_name").alias("rest"), F.concat_ws(" ", word, "p_name").alias("name")).distinct()
+    wrong = F.array(F.expr("left(w, length(w) - 1)"), F.expr("concat('z', substr(w, 2))"))
+    return registered.select("name"), registered.select(
+        F.col("name").alias("registered"), F.explode(wrong).alias("wrong"), "rest").select(
+        "registered", F.concat_ws(" ", "wrong", "rest").alias("name"))
+
+
+@query("first_word_scores", with_ctes(MISSPELT) + """
+SELECT name_a AS a, name_b AS b, jaccard, head, raw >= 0.62 AS linked, round(raw, 3) AS score,
+       CASE WHEN raw >= 0.62 THEN 'linked' ELSE 'below threshold' END AS reason, '' AS one_sided
+FROM pairs WHERE aligned""")
+def first_word_scores(spark, folder):
+    """Scores that depend on how similar two differing first words are."""
+    _, misspelt = _misspelt(spark, folder)
+    return linkage.score_pairs(misspelt.select(F.col("name").alias("a"), F.col("registered").alias("b")))
+
+
+@query("first_word_links", with_ctes(MISSPELT) + """
+SELECT name_a, name_b, jaccard, head, true AS linked, round(raw, 3) AS score, 'linked' AS reason, '' AS one_sided
+FROM pairs WHERE raw >= 0.62""")
+def first_word_links(spark, folder):
+    """E3 through the joins of J9: long words with a lost letter link, short ones and wrong first letters don't."""
+    registered, misspelt = _misspelt(spark, folder)
+    return linkage.employer_pairs(misspelt.select("name"), registered)
+
+
 @query("resolve_establishments", with_ctes(PAIRS) + """
 , dir AS (SELECT p_name || ' manufacturing limited' AS name, min(p_partkey) AS ord, min(p_brand) AS code,
                  CAST('1996-01-01' AS DATE) + CAST(min(p_partkey) AS INTEGER) AS coverage_from,

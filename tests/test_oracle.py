@@ -10,7 +10,8 @@ from tests.oracle_check import compare, database
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["findings", "gate_summary", "plan_summary", "rejection_diagnoses", "proposal_checks", "merge_passbooks",
-          "statement_deductors", "passbook_heads", "employer_pairs", "weakest_pair", "lint_letters"]
+          "statement_deductors", "passbook_heads", "employer_pairs", "first_word_scores", "first_word_links", "weakest_pair",
+          "lint_letters"]
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
