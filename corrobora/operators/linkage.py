@@ -77,20 +77,25 @@ def _rare_keys(sequences, frequency, within, left):
     )
 
 
-def candidate_sequences(left: DataFrame, right: DataFrame, within=()) -> DataFrame:
-    """Every pair of token sequences that may link, found without comparing all pairs."""
-    within = list(within)
-    a, b = _sequences(left, within), _sequences(right, within)
+def candidate_sequences(left: DataFrame, right: DataFrame, within=(), repeats=False) -> DataFrame:
+    """Every pair of token sequences that may link, found without comparing all pairs.
+
+    With ``repeats`` a pair may come once per key it shares, and no shuffle of pairs is needed.
+    """
+    return _candidates(_sequences(left, within), _sequences(right, within), list(within), repeats)
+
+
+def _candidates(a: DataFrame, b: DataFrame, within, repeats) -> DataFrame:
     frequency = (
-        a.unionByName(b).select(F.explode(F.array_distinct("tokens")).alias("token"))
+        a.select("tokens").unionByName(b.select("tokens")).select(F.explode(F.array_distinct("tokens")).alias("token"))
         .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     keys_a = _head_keys(a, within, True).unionByName(_rare_keys(a, frequency, within, True))
     keys_b = _head_keys(b, within, False).unionByName(_rare_keys(b, frequency, within, False))
-    return (
+    pairs = (
         keys_a.withColumnRenamed("tokens", "tokens_a")
         .join(keys_b.withColumnRenamed("tokens", "tokens_b"), [*within, "key"])
-        .select(*within, "tokens_a", "tokens_b").distinct()
-    )
+        .select(*within, "tokens_a", "tokens_b"))
+    return pairs if repeats else pairs.distinct()
 
 
 def score_sequences(pairs: DataFrame) -> DataFrame:
@@ -159,21 +164,60 @@ def employer_pairs(left: DataFrame, right: DataFrame, within=()) -> DataFrame:
     )
 
 
+# sizes of token sets for which equal sets and heads are the only way to a score that rounds to 1
+FULL_SCORE_SIZES = (3, 800)
+
+
+def best_links(names: DataFrame, register: DataFrame, payload, within=()) -> DataFrame:
+    """Top-1 of J9: ``within``, name, score and ``payload`` of the best linked register row; names without a link are absent.
+
+    ``names``: ``within``, name; ``register``: ``within``, name, ord, ``payload``. The higher score (3 decimals) wins,
+    then the lower ord. A null name or one without identifying words links with nothing.
+
+    Each token sequence of the register is reduced to its first row, and each distinct sequence of the names is searched
+    once. A score of 1 can't be beaten: names with the token set and the three leading tokens of a register row are
+    settled by one equality join, so names that share a head but are registered as they stand never meet each other.
+    The others are scored in the task that joins them, and only each task's best goes on.
+    """
+    within = list(within)
+    tokens = F.col("tokens")
+    named = names.filter(F.col("name").isNotNull()).select(*within, "name").distinct().withColumn(
+        "tokens", employer_tokens("name"))
+    wanted = cut_lineage(named.filter(F.size("tokens") > 0))
+    first_rows = cut_lineage(
+        register.select(*within, employer_tokens("name").alias("tokens"), "ord", F.struct(*payload).alias("_row"))
+        .filter(F.size("tokens") > 0).groupBy(*within, "tokens")
+        .agg(F.min("ord").alias("ord"), F.min_by("_row", "ord").alias("_row")))
+
+    def exact(df):
+        return df.withColumn("_set", F.array_sort(F.array_distinct(tokens))).withColumn(
+            "_head", F.slice(tokens, 1, rules.HEAD_TOKENS)).filter(F.size("_set").between(*FULL_SCORE_SIZES))
+
+    same = [*within, "_head", "_set"]
+    full = exact(first_rows).groupBy(*same).agg(F.min_by("_row", "ord").alias("_row"))
+    sequences = wanted.select(*within, "tokens").distinct()
+    settled = cut_lineage(exact(sequences).join(full, same).select(*within, "tokens", F.lit(1.0).alias("score"), "_row"))
+    rest = cut_lineage(sequences.join(settled.select(*within, "tokens"), [*within, "tokens"], "left_anti"))
+    pairs = _candidates(rest, first_rows, within, repeats=True)
+    scored = score_sequences(pairs).filter("linked").join(
+        first_rows.withColumnRenamed("tokens", "tokens_b"), [*within, "tokens_b"])
+    found = scored.groupBy(*within, F.col("tokens_a").alias("tokens")).agg(
+        F.min_by(F.struct("score", "_row"), F.struct(-F.col("score"), "ord")).alias("_best")).select(
+        *within, "tokens", "_best.score", "_best._row")
+    return wanted.join(settled.unionByName(found), [*within, "tokens"]).select(*within, "name", "score", "_row.*")
+
+
 def resolve_establishments(names: DataFrame, establishments: DataFrame) -> DataFrame:
     """Best linked entry of the register per name; the earlier entry wins ties.
 
     ``names`` has a ``name`` column, ``establishments`` name, code, covered,
     coverage_from, ord. Names without a link are kept with nulls.
     """
-    pairs = employer_pairs(names, establishments)
-    best = (
-        pairs.join(establishments.withColumnRenamed("name", "name_b"), "name_b")
-        .groupBy("name_a").agg(F.min_by(
-            F.struct(F.col("name_b").alias("est_name"), F.col("code").alias("est_code"),
-                     "covered", "coverage_from", "score"),
-            F.struct(-F.col("score"), "ord")).alias("e")))
-    return names.select("name").distinct().join(
-        best.select(F.col("name_a").alias("name"), "e.*"), "name", "left")
+    register = establishments.select("name", "ord", F.col("name").alias("est_name"), F.col("code").alias("est_code"),
+                                     "covered", "coverage_from")
+    best = best_links(names, register, ["est_name", "est_code", "covered", "coverage_from"])
+    return names.select("name").distinct().join(best, "name", "left").select(
+        "name", "est_name", "est_code", "covered", "coverage_from", "score")
 
 
 def attribute_credits(credits: DataFrame, parties: DataFrame) -> DataFrame:
@@ -183,13 +227,9 @@ def attribute_credits(credits: DataFrame, parties: DataFrame) -> DataFrame:
     party wins ties).
     """
     def best(column):
-        texts = credits.select("member_key", F.col(column).alias("name")).filter(
-            F.col("name").isNotNull()).distinct()
-        return (
-            employer_pairs(texts, parties, ["member_key"])
-            .join(parties.withColumnRenamed("name", "name_b"), ["member_key", "name_b"])
-            .groupBy("member_key", F.col("name_a").alias(column))
-            .agg(F.min_by("party_key", F.struct(-F.col("score"), "ord")).alias(f"by_{column}")))
+        texts = credits.select("member_key", F.col(column).alias("name"))
+        return best_links(texts, parties, ["party_key"], ["member_key"]).select(
+            "member_key", F.col("name").alias(column), F.col("party_key").alias(f"by_{column}"))
 
     return (
         credits.join(best("hint"), ["member_key", "hint"], "left")

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corrobora.operators import linkage, people
 from corrobora.session import cut_lineage
@@ -220,3 +221,28 @@ def test_weakest_pair_of_very_many_spellings(spark):
 
 def test_weakest_pair_of_no_rows(spark):
     assert people.weakest_pair(spark.createDataFrame([], "member_key string, name string, ord bigint")).count() == 0
+
+
+def test_best_links_equal_the_best_of_all_links(spark):
+    rng = random.Random(11)
+    words = ["acme", "acne", "boreal", "tech", "retail", "systems", "global", "kadam", "sons"]
+    some = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(240)]
+    names = spark.createDataFrame([(rng.choice("mn"), n) for n in some[:140] + some[:20]] + [("m", None), ("m", "")], "k string, name string")
+    register = spark.createDataFrame(
+        [(rng.choice("mn"), n, i, f"c{i}") for i, n in enumerate(some[100:] + some[150:180])] + [("m", None, 999, "none")],
+        "k string, name string, ord int, code string")
+    told = {(r.k, r.name): (r.score, r.code) for r in linkage.best_links(names, register, ["code"], ["k"]).collect()}
+    every = names.distinct().withColumnRenamed("name", "a").join(register.withColumnRenamed("name", "b"), "k")
+    best = {}
+    for r in linkage.score_pairs(every).filter("linked").collect():
+        best[r.k, r.a] = min(best.get((r.k, r.a), (0, 0, "")), (-r.score, r.ord, r.code))
+    assert told == {key: (-score, code) for key, (score, _, code) in best.items()} and len(told) > 60
+    assert len({score for score, _ in told.values()}) > 3
+
+
+def test_best_links_of_a_hot_head(spark):
+    """50,000 registered names with the same three leading words are found without pairing them."""
+    names = spark.range(50_000).selectExpr(
+        "concat('acme boreal systems ', translate(cast(id + 100000 as string), '0123456789', 'abcdefghij')) name", "id ord")
+    told = linkage.best_links(names, names.withColumn("own", F.col("name")), ["own"])
+    assert told.filter("name = own and score = 1").count() == 50_000
