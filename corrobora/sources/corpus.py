@@ -64,6 +64,16 @@ def explode_lines(documents: DataFrame) -> DataFrame:
         *rest, F.posexplode(F.split(closed, rules.LINE_BREAK, -1)).alias("line_no", "line"))
 
 
+def lines_and_markers(documents: DataFrame) -> DataFrame:
+    """``explode_lines`` and, for each document, a row numbered -1 without a line: empty ones stay known."""
+    closed = F.regexp_replace("text", f"(?:{rules.LINE_BREAK})\\z", "")
+    marker = F.array(F.lit(None).cast("string"))
+    pieces = F.when(F.col("text") != "", F.concat(marker, F.split(closed, rules.LINE_BREAK, -1))).otherwise(marker)
+    rest = [c for c in documents.columns if c != "text"]
+    return documents.select(*rest, F.posexplode(pieces).alias("_at", "line")).select(
+        *rest, (F.col("_at") - 1).alias("line_no"), "line")
+
+
 def evidence_coverage(classified: DataFrame) -> DataFrame:
     """Which questions a member's set of documents can answer."""
     def has(kind):

@@ -6,7 +6,7 @@ from corrobora import rules
 from corrobora.functions.dates import dmy, wage_month
 from corrobora.functions.text import amounts, blank_out, first_match, from_end, strip
 from corrobora.session import cut_lineage
-from corrobora.sources.corpus import DOC, explode_lines
+from corrobora.sources.corpus import DOC, lines_and_markers
 
 
 # any of these makes a line worth reading; everything else never leaves the scan
@@ -20,7 +20,7 @@ def _read_lines(documents: DataFrame) -> DataFrame:
     line, low = F.col("line"), F.lower("line")
     name = F.regexp_replace(F.regexp_extract("line", rules.ESTABLISHMENT, 2), r"^[ \-/]+|[ \-/]+$", "")
     live = F.regexp_extract("line", rules.PASSBOOK_LIVE_ROW, 4)
-    worth = explode_lines(documents).filter(line.rlike(WORTH_READING)).select(
+    worth = lines_and_markers(documents).filter((F.col("line_no") < 0) | line.rlike(WORTH_READING)).select(
         *DOC, "line_no", strip("line").alias("line"))
     read = worth.select(
         *DOC, "line_no", "line",
@@ -78,7 +78,8 @@ def passbook_tables(documents: DataFrame):
     """(passbook_heads, contributions) of all passbook documents.
 
     The read lines are checkpointed: both tables come from them, and they are
-    far smaller than the text.
+    far smaller than the text. Among them is a row for each document, so the
+    documents themselves are read once.
     """
     lines = cut_lineage(_claimed(_read_lines(documents)))
 
@@ -106,16 +107,15 @@ def passbook_tables(documents: DataFrame):
         said(F.col("day"), "free", F.col("dob_mentioned")).alias("dob"),
         said(closing, "free", F.size("closing_sums") >= 3).alias("closing"),
         said(F.array_remove("ids", F.coalesce("stated_so_far", "free_id")), "free").alias("others"))
-    read = facts.groupBy(*DOC).agg(
+    heads = facts.groupBy(*DOC).agg(
         F.first("account_id").alias("account_id"), first("establishment"), first("est_code"),
         last("uan_stated"), first("uan_free"), last("name"), last("doj_stated"), first("doj_free"),
         first("dob"), last("closing"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))).alias("other_ids"))
-    heads = documents.select(*DOC).join(read, DOC, "left").select(
+    heads = heads.select(
         *DOC, "account_id", "establishment", "est_code",
         F.coalesce("doj_stated", "doj_free").alias("doj"), "dob",
-        F.coalesce("uan_stated", "uan_free").alias("uan"), "name", "closing",
-        F.coalesce("other_ids", F.array().cast("array<string>")).alias("other_ids"))
+        F.coalesce("uan_stated", "uan_free").alias("uan"), "name", "closing", "other_ids")
 
     has_row = F.size("sums") >= 2
     contributions = lines.filter((F.col("claim") == "free") & F.col("row_line")).select(
