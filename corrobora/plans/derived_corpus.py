@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from corrobora.plans import adapters
 
 
-def _lines(spark, folder) -> DataFrame:
-    return adapters._lines(spark, folder).select(
+def _lines(spark, folder, status=None) -> DataFrame:
+    """Order lines; with ``status``, of the orders in that status only, before anything is rendered."""
+    lines = adapters._lines(spark, folder)
+    return (lines if status is None else lines.filter(F.col("o_orderstatus") == status)).select(
         F.col("o_custkey").cast("string").alias("member_key"), "l_orderkey", "l_linenumber",
         "l_returnflag", "o_orderstatus", "r_name", "r_regionkey", "o_orderdate", "l_shipdate",
         F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
@@ -26,27 +28,24 @@ def _document(df, suffix, head, body, tail=None) -> DataFrame:
 
 
 def _in_order(text):
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("t"))))
-    return F.transform(rows, lambda r: r["t"])
+    return F.sort_array(F.collect_list(F.struct("l_linenumber", text.alias("t"))))["t"]
 
 
 def day(column, pattern="dd-MM-yyyy"):
     return F.date_format(column, pattern)
 
 
-def _statement_blocks(spark, folder, header, detail):
-    blocks = _lines(spark, folder).groupBy(
+def _statement_blocks(spark, folder, header, detail, status=None):
+    blocks = _lines(spark, folder, status).groupBy(
         "member_key", "l_orderkey", "r_regionkey", "r_name", "tan", "total").agg(
         F.sum("paid").cast("decimal(18,2)").alias("block_paid"),
         F.sum("tax").cast("decimal(18,2)").alias("block_tax"), _in_order(detail).alias("rows"))
     return blocks.withColumn("block", F.concat(F.array(header), F.col("rows"))).groupBy(
         "member_key", "l_orderkey", "total").agg(
-        F.flatten(F.transform(
-            F.array_sort(F.collect_list(F.struct("r_regionkey", "block"))), lambda b: b["block"])
-        ).alias("body"))
+        F.flatten(F.sort_array(F.collect_list(F.struct("r_regionkey", "block")))["block"]).alias("body"))
 
 
-def statements(spark, folder) -> DataFrame:
+def statements(spark, folder, status=None) -> DataFrame:
     section = F.when(F.col("l_returnflag") == "A", "194").otherwise("192")
     detail = F.concat_ws(
         "  ", F.col("l_linenumber").cast("string"), section, day("l_shipdate", "dd-MMM-yyyy"), F.lit("F"),
@@ -57,7 +56,7 @@ def statements(spark, folder) -> DataFrame:
         "tan", F.col("block_paid").cast("string"), F.col("block_tax").cast("string"),
         F.col("block_tax").cast("string"))
     head = F.lit("Form 26AS\nPART A - Details of Tax Deducted at Source\nSr. No.  Name of Deductor  TAN")
-    return _document(_statement_blocks(spark, folder, header, detail), "-st", head, F.col("body"))
+    return _document(_statement_blocks(spark, folder, header, detail, status), "-st", head, F.col("body"))
 
 
 def caret_section():
@@ -65,7 +64,7 @@ def caret_section():
             .otherwise("194A"))
 
 
-def caret_statements(spark, folder) -> DataFrame:
+def caret_statements(spark, folder, status=None) -> DataFrame:
     detail = F.concat_ws(
         "^", F.lit(""), F.col("l_linenumber").cast("string"), caret_section(), day("l_shipdate"),
         F.lit("F"), F.lit("15-06-2002"), F.lit("-"), F.col("paid").cast("string"),
@@ -77,13 +76,13 @@ def caret_statements(spark, folder) -> DataFrame:
     total = F.col("total").cast("string")
     challan = F.concat_ws("^", F.lit("1^100^0"), total, F.lit("0.00^0.00^0.00"), total,
                           F.lit("1234^30-07-2001^567^N"))
-    return _document(_statement_blocks(spark, folder, header, detail), "-ca", F.lit("Details"),
+    return _document(_statement_blocks(spark, folder, header, detail, status), "-ca", F.lit("Details"),
                      F.col("body"), challan)
 
 
-def passbooks(spark, folder) -> DataFrame:
+def passbooks(spark, folder, status=None) -> DataFrame:
     """Filled orders in the simple layout, the others in the live one with a closing line."""
-    lines = _lines(spark, folder)
+    lines = _lines(spark, folder, status)
     money = lambda c: F.format_number(c, 2)
     plain = lambda c: F.col(c).cast("string")
     simple_row = F.concat_ws("      ", day("l_shipdate", "MMM-yyyy"), plain("paid"), plain("tax"), F.lit("1250"))
@@ -111,18 +110,18 @@ def passbooks(spark, folder) -> DataFrame:
                      F.when(~simple, closing))
 
 
-def histories(spark, folder) -> DataFrame:
+def histories(spark, folder, status=None) -> DataFrame:
     """A filled line has left by its ship date if that follows the order date."""
     gone = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= F.col("o_orderdate"))
     row = F.concat_ws(
         "   ", F.concat(F.lit("MHBAN"), F.lpad(
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string"), 17, "0")),
         F.col("r_name"), day("o_orderdate"), F.when(gone, day("l_shipdate")).otherwise("-"))
-    files = _lines(spark, folder).groupBy("member_key", "l_orderkey").agg(_in_order(row).alias("rows"))
+    files = _lines(spark, folder, status).groupBy("member_key", "l_orderkey").agg(_in_order(row).alias("rows"))
     return _document(files, "-sh", F.lit("Service History\n\nMember ID   Establishment"), F.col("rows"))
 
 
-def bank_statements(spark, folder) -> DataFrame:
+def bank_statements(spark, folder, status=None) -> DataFrame:
     narration = (
         F.when(F.col("l_returnflag") == "R",
                F.concat(F.lit("NEFT CR-HDFC0000060-"), F.col("r_name"), F.lit(" TRADERS-SALARY")))
@@ -130,7 +129,7 @@ def bank_statements(spark, folder) -> DataFrame:
         .otherwise("TRANSFER TO HOUSEKEEPING"))
     direction = F.when(F.col("l_returnflag") == "A", "DR").otherwise("CR")
     row = F.concat_ws("  ", day("l_shipdate"), narration, F.format_number("paid", 2), direction)
-    files = _lines(spark, folder).groupBy("member_key", "l_orderkey").agg(_in_order(row).alias("rows"))
+    files = _lines(spark, folder, status).groupBy("member_key", "l_orderkey").agg(_in_order(row).alias("rows"))
     return _document(files, "-bk", F.lit("Statement of Account"), F.col("rows"))
 
 
@@ -141,15 +140,8 @@ def prose(spark, folder) -> DataFrame:
 
 def mixed(spark, folder) -> DataFrame:
     """Each order hands in what its status suggests; the prose documents come on top."""
-    status = adapters.table(spark, folder, "orders").select(
-        F.col("o_orderkey").cast("string").alias("_order"), "o_orderstatus")
-
-    def of(df, wanted):
-        keyed = df.withColumn("_order", F.substring_index("doc_id", "-", 1))
-        return keyed.join(status.filter(F.col("o_orderstatus") == wanted), "_order", "left_semi").drop("_order")
-
     return (
-        of(passbooks(spark, folder), "F").unionByName(of(histories(spark, folder), "F"))
-        .unionByName(of(caret_statements(spark, folder), "O"))
-        .unionByName(of(statements(spark, folder), "O"))
-        .unionByName(of(bank_statements(spark, folder), "P")).unionByName(prose(spark, folder)))
+        passbooks(spark, folder, "F").unionByName(histories(spark, folder, "F"))
+        .unionByName(caret_statements(spark, folder, "O"))
+        .unionByName(statements(spark, folder, "O"))
+        .unionByName(bank_statements(spark, folder, "P")).unionByName(prose(spark, folder)))

@@ -6,6 +6,7 @@ from corrobora import rules
 from corrobora.functions.dates import dmy
 from corrobora.functions.text import first_match, money, strip
 from corrobora.operators.spread import position_in_order
+from corrobora.session import cut_lineage
 from corrobora.sources.corpus import DOC, explode_lines
 
 
@@ -91,8 +92,9 @@ def extract_names(classified: DataFrame) -> DataFrame:
     label = F.lit(None).cast("string")
     for kind, text in rules.NAME_LABELS.items():
         label = F.when(F.col("kind") == kind, text).otherwise(label)
-    named = classified.filter(F.col("kind").isin(list(rules.NAME_LABELS))).select(
-        *DOC, "kind", label.alias("label"), strip(found).alias("name"))
+    # numbering reads this three times, so the text is read for it once
+    named = cut_lineage(classified.filter(F.col("kind").isin(list(rules.NAME_LABELS))).select(
+        *DOC, "kind", label.alias("label"), strip(found).alias("name")))
     numbered = position_in_order(named, ["member_key", "kind"], ["doc_id"], "n")
     kind_order = F.array_position(F.array([F.lit(k) for k in rules.NAME_LABELS]), F.col("kind"))
     return numbered.filter(F.col("name").isNotNull()).select(
