@@ -288,9 +288,9 @@ SELECT k.member_key, CAST(NULL AS VARCHAR) AS pan, uan,
        CASE WHEN uan IS NOT NULL THEN 1 ELSE 0 END AS n_dobs, '' AS dob_conflict
 FROM (SELECT DISTINCT member_key FROM kinds) k LEFT JOIN filled USING (member_key)""")
 def identities(spark, folder):
-    classified = corpus.classify_documents(derived.mixed(spark, folder))
-    heads, _ = passbooks.passbook_tables(classified.filter(F.col("kind") == "passbook").drop("kind"))
-    return records.extract_identity(classified, heads)
+    read = records.read_for_identity(corpus.classify_documents(derived.mixed(spark, folder)))
+    heads, _ = passbooks.passbook_tables(read.filter(F.col("kind") == "passbook").drop("kind", "pan"))
+    return records.extract_identity(read, heads)
 
 
 TYPED = [("typed", """

@@ -105,9 +105,20 @@ def extract_names(classified: DataFrame) -> DataFrame:
         "name")
 
 
+def read_for_identity(classified: DataFrame) -> DataFrame:
+    """What S11 needs of each document, written once: kind, a statement's tax number, a passbook's text."""
+    kind = F.col("kind")
+    return cut_lineage(classified.select(
+        *DOC, "kind", F.when(kind == "26as", first_match(F.col("text"), rules.PAN)).alias("pan"),
+        F.when(kind == "passbook", F.col("text")).alias("text")))
+
+
 def extract_identity(classified: DataFrame, heads: DataFrame) -> DataFrame:
-    """First tax number, account number and birth date, and every birth date if they differ."""
-    pan = first_match(F.col("text"), rules.PAN)
+    """First tax number, account number and birth date, and every birth date if they differ.
+
+    ``classified`` may carry the tax numbers already, as ``pan``.
+    """
+    pan = F.col("pan") if "pan" in classified.columns else first_match(F.col("text"), rules.PAN)
     from_statements = (
         classified.filter(F.col("kind") == "26as").select(*DOC, pan.alias("pan"))
         .groupBy("member_key")
