@@ -7,6 +7,8 @@ work per bucket, and carry only one summary row per bucket across the key.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corrobora.session import cut_lineage
+
 # rows per bucket, about: rows of one bucket fit a task, and so do the buckets of one key
 BUCKET_ROWS = 1 << 20
 # sampled rows per bucket: sizes of buckets stay within about a factor of two
@@ -40,20 +42,41 @@ def order_buckets(df: DataFrame, keys, order, name="_span", rows_per_bucket=BUCK
     ``SAMPLES * n / rows_per_bucket`` sampled orders. Rows of equal order can't be parted: ``order`` should nearly tell
     the rows of a key apart. Nulls come first, as in a sort.
     """
-    place = F.struct(*order)
-    sampled = df.select(*keys, place.alias("_place"), F.xxhash64(*keys, *order).alias("_hash")).filter(
+    splitters = _splitters(df, keys, order, rows_per_bucket)
+    return _in_buckets(df.join(splitters, list(keys), "left"), order, name).drop("_splitters")
+
+
+def _splitters(df, keys, order, rows_per_bucket) -> DataFrame:
+    sampled = df.select(*keys, F.struct(*order).alias("_place"), F.xxhash64(*keys, *order).alias("_hash")).filter(
         F.pmod("_hash", F.lit(max(1, rows_per_bucket // SAMPLES))) == 0)
-    splitters = sampled.groupBy(*keys).agg(F.filter(
+    return sampled.groupBy(*keys).agg(F.filter(
         F.sort_array(F.collect_set("_place")), lambda _, k: (k + 1) % SAMPLES == 0).alias("_splitters"))
-    passed = F.filter("_splitters", lambda splitter: splitter < place)
-    return df.join(splitters, list(keys), "left").withColumn(
-        name, F.when(F.col("_splitters").isNull(), 0).otherwise(F.size(passed))).drop("_splitters")
+
+
+def _in_buckets(df, order, name) -> DataFrame:
+    passed = F.filter("_splitters", lambda splitter: splitter < F.struct(*order))
+    return df.withColumn(name, F.when(F.col("_splitters").isNull(), 0).otherwise(F.size(passed)))
 
 
 def position_in_order(df: DataFrame, keys, order, name="position", rows_per_bucket=BUCKET_ROWS) -> DataFrame:
-    """row_number over ``keys`` in the whole ``order``, in buckets cut at sampled quantiles."""
-    return position_in_group(
-        order_buckets(df, keys, order, "_span", rows_per_bucket), keys, F.col("_span"), order, name).drop("_span")
+    """row_number over ``keys`` in the whole ``order``, in buckets cut at sampled quantiles.
+
+    Only keys with splitters have more than one bucket. Their splitters and the counts of their buckets are written, a
+    few rows that Spark knows to be few, so the rows themselves cross the network once, for the numbering.
+    """
+    splitters = cut_lineage(_splitters(df, keys, order, rows_per_bucket).filter(F.size("_splitters") > 0))
+    rows = _in_buckets(df.join(splitters, list(keys), "left"), order, "_span")
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(
+        rows.filter(F.col("_splitters").isNotNull()).groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_span", F.sum("_n").over(before).alias("_before")))
+    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
+    return (
+        rows.drop("_splitters").withColumn("_inside", F.row_number().over(inside))
+        .join(offsets, [*keys, "_span"], "left")
+        .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
+        .drop("_span", "_before", "_inside")
+    )
 
 
 def following_row(df: DataFrame, keys, bucket: Column, order, payload: Column, name) -> DataFrame:

@@ -11,7 +11,7 @@ from corrobora.operators import (
 from corrobora.plans import adapters
 from corrobora.plans.evidence_queries import (
     AS_OF, ASR, DAY, FLAGS, FND, MEM, OBS, ORDERED, RECON, WIN, findings_of, inputs,
-    reconstructed, self_exit_window, settled_inputs,
+    reconstructed, self_exit_window, settled_inputs, settled_lines,
 )
 from corrobora.plans.registry import query, with_ctes
 from corrobora.session import cut_lineage, shared_folder
@@ -512,18 +512,19 @@ def _gate_members(spark, folder, days, asserted, found):
     likely = found.filter(F.col("kind") == "ORPHAN_ACCOUNT").groupBy("member_key").agg(
         F.count(F.lit(1)).alias("likely_orphans"))
     return (
-        adapters.member_facts(spark, folder).join(flags, "member_key")
+        adapters.member_facts(spark, folder, days).join(flags, "member_key")
         .join(likely, "member_key", "left").fillna(0, ["likely_orphans"]))
 
 
 def _settled(spark, folder):
-    """Evidence, record and findings, each written once."""
-    tables = settled_inputs(spark, folder)
-    return (*tables, cut_lineage(findings_of(spark, folder, tables)))
+    """Evidence, record, findings and the order lines they come from, each written once."""
+    lines = settled_lines(spark, folder)
+    tables = settled_inputs(spark, folder, lines)
+    return (*tables, cut_lineage(findings_of(spark, folder, tables)), lines)
 
 
 def _gates(spark, folder, settled=None):
-    _, days, asserted, found = settled or _settled(spark, folder)
+    _, days, asserted, found, *_ = settled or _settled(spark, folder)
     return planning.gates(_gate_members(spark, folder, days, asserted, found), found)
 
 
@@ -537,16 +538,16 @@ def gate_summary(spark, folder):
     return planning.gate_summary(_gates(spark, folder))
 
 
-def closed_parties(spark, folder):
+def closed_parties(lines):
     """Parties that dealt with a supplier in debt stand for closed establishments."""
-    return adapters._lines(spark, folder).filter(F.col("s_acctbal") < 0).select(
+    return lines.filter("in_debt").select(
         F.col("o_custkey").cast("string").alias("member_key"),
         F.col("r_name").alias("party_key")).distinct()
 
 
 def _steps(spark, folder, settled=None):
-    found = (settled or _settled(spark, folder))[3]
-    return planning.plan_steps(found, closed_parties(spark, folder))
+    *_, found, lines = settled or _settled(spark, folder)
+    return planning.plan_steps(found, closed_parties(lines))
 
 
 @query("plan_steps", with_ctes(STEP) + "SELECT * FROM step")
@@ -643,8 +644,8 @@ def proposal_state(spark, folder):
     return corrections.proposal_state(adapters.proposals(spark, folder), _checks(spark, folder))
 
 
-def _ready(spark, folder, days, asserted):
-    proposals = adapters.proposals(spark, folder)
+def _ready(spark, folder, days, asserted, lines=None):
+    proposals = cut_lineage(adapters.proposals(spark, folder, lines))
     state = corrections.proposal_state(
         proposals, corrections.check_proposals(proposals, asserted, days))
     return cut_lineage(state.filter(F.col("state") == "ready"))
@@ -666,8 +667,9 @@ def overlaid_record(spark, folder):
 
 def _corrected(spark, folder):
     """Evidence and ready proposals, the record with them in place, and the findings it gives."""
-    observations, days, asserted = settled_inputs(spark, folder)
-    ready = _ready(spark, folder, days, asserted)
+    lines = settled_lines(spark, folder)
+    observations, days, asserted = settled_inputs(spark, folder, lines)
+    ready = _ready(spark, folder, days, asserted, lines)
     after = cut_lineage(corrections.overlay(asserted, ready))
     found = cut_lineage(detectors.all_findings(observations, after, AS_OF, days))
     return observations, days, asserted, ready, after, found
@@ -719,11 +721,11 @@ UNION ALL
 SELECT member_key, 'DATE', strftime(e, '%d-%m-%Y'), party_key, 'corrected boundary'
 FROM corrected JOIN early USING (member_key, party_key)""")
 def supporting_facts(spark, folder):
-    observations, days, asserted, found = _settled(spark, folder)
+    observations, days, asserted, found, _ = _settled(spark, folder)
     corrected = detectors.corrected_timeline(asserted, envelopes.support_windows(days), AS_OF)
     return letters.supporting_facts(
         found, asserted, observations, corrected,
-        adapters.member_facts(spark, folder).select("member_key", "uan"))
+        adapters.member_facts(spark, folder, days).select("member_key", "uan"))
 
 
 # --------------------------------------------------------------------- orphans

@@ -216,11 +216,16 @@ def inputs(spark, folder):
     return observations, envelopes.evidence_days(observations), adapters.asserted(spark, folder)
 
 
-def settled_inputs(spark, folder):
-    """The same tables written once, for plans that read each of them many times."""
-    observations = cut_lineage(adapters.observations(spark, folder))
+def settled_inputs(spark, folder, lines=None):
+    """The same tables for plans that read each of them many times: order lines are joined and written once."""
+    lines = settled_lines(spark, folder) if lines is None else lines
+    observations = adapters.observations(spark, folder, lines)
     return (observations, cut_lineage(envelopes.evidence_days(observations)),
-            cut_lineage(adapters.asserted(spark, folder)))
+            cut_lineage(adapters.asserted(spark, folder, lines)))
+
+
+def settled_lines(spark, folder):
+    return cut_lineage(adapters.party_lines(spark, folder))
 
 
 def findings_of(spark, folder, tables=None):

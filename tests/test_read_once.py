@@ -1,6 +1,9 @@
 """Text and rows are read once, however many results need them."""
 
-from corrobora.plans import derived_corpus
+from pyspark.sql import Window, functions as F
+
+from corrobora.operators import spread
+from corrobora.plans import derived_corpus, evidence_queries
 from corrobora.sources import corpus, passbooks, records
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,3 +45,17 @@ def test_identity_reads_kinds_and_numbers_from_one_written_table(spark):
     assert "regexp_extract" not in plan(found)
     assert sorted((r.member_key, r.pan, r.uan) for r in found.collect()) == [
         ("m", None, "100200300400"), ("n", "ABCDE1234F", None)]
+
+
+def test_positions_move_the_rows_once(spark):
+    rows = spark.range(4000).selectExpr("id % 3 key", "1000 - id % 1000 place", "id", "repeat('x', 50) load")
+    placed = spread.position_in_order(rows, ["key"], ["place", "id"], "n", rows_per_bucket=64)
+    written = placed._jdf.queryExecution().executedPlan().toString()
+    assert written.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in written
+    expected = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("place", "id")))
+    assert sorted(placed.select("key", "id", "n").collect()) == sorted(expected.select("key", "id", "n").collect())
+
+
+def test_order_lines_are_joined_once_for_evidence_and_record(spark):
+    observations, _, _ = evidence_queries.settled_inputs(spark, SMALL)
+    assert "Join" not in plan(observations)
