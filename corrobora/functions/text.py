@@ -1,5 +1,7 @@
 """Number and token extraction from document lines."""
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from corrobora import rules
@@ -7,7 +9,7 @@ from corrobora import rules
 
 def money(text) -> Column:
     """Text with optional thousands separators as an exact amount."""
-    return F.regexp_replace(text, ",", "").try_cast("decimal(18,2)")
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
 
 def amounts(text, pattern=rules.GROUPED_AMOUNT) -> Column:
@@ -31,4 +33,17 @@ def blank_out(text, pattern) -> Column:
 
 def strip(text) -> Column:
     """White space of any kind removed from both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(rules.BLANKS))
+
+
+def holds(text, pattern) -> Column:
+    """Does the pattern occur? As ``rlike``; each alternative is tried only on a text with its longest plain word.
+
+    For patterns of plain words, ``\\s``, ``\\b``, character classes and one level of groups, where no word is optional.
+    """
+    found = F.lit(False)
+    for branch in re.split(r"\|(?![^(]*\))", pattern):
+        words = re.findall(r"[a-z0-9]+", re.sub(r"\\[a-z]|\([^)]*\)|\[[^]]*\]", " ", branch))
+        word = text.contains(max(words, key=len))
+        found = found | (word if branch in words else word & text.rlike(branch))
+    return found

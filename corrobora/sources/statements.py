@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora import rules
 from corrobora.functions.dates import dmony, dmy
-from corrobora.functions.text import amounts, blank_out, first_match, from_end, money, strip
+from corrobora.functions.text import amounts, blank_out, from_end, money, strip
 from corrobora.session import cut_lineage
 from corrobora.sources.corpus import DOC, explode_lines
 
@@ -18,31 +18,38 @@ def _read_lines(lines: DataFrame) -> DataFrame:
     """
     caret, line, low = F.col("is_caret"), F.col("line"), F.lower("line")
     heading = F.ltrim(low).startswith("sr. no.") | low.startswith("part ")
-    tabular = ~heading & (
-        line.rlike(rules.TAN) | (line.rlike(r"^\s*\d+\s") & line.rlike(rules.DMONY)))
+    has_tan = line.rlike(rules.TAN_INSIDE) & line.rlike(rules.TAN)
+    tabular = ~heading & ((line.rlike(r"^\s*\d+\s") & line.rlike(rules.DMONY)) | has_tan)
     zero = F.lit(0).cast("decimal(18,2)")
-    first, third = F.lit(0), F.lit(2)
+    zeroth, third = F.lit(0), F.lit(2)
 
-    def fields_like(pattern):
-        return F.filter("fields", lambda x: x.rlike(pattern))
+    def first(pattern):
+        return F.get(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), zeroth)
+
+    def fields_like(pattern, shaped):
+        return F.filter("fields", lambda x: shaped(x) & x.rlike(pattern))
+
+    def long(*lengths):
+        return lambda x: F.length(x).isin(*lengths)
 
     split = lines.filter(F.when(caret, line.contains("^")).otherwise(tabular)).select(
         *DOC, "line_no", "line", "is_caret",
         F.when(caret, F.transform(F.split("line", r"\^", -1), strip)).alias("fields"),
-        F.when(~caret, first_match(line, rules.TAN)).alias("line_tan"))
+        F.when(~caret & line.rlike(rules.TAN_INSIDE), first(rules.TAN)).alias("line_tan"))
     read = split.select(
         *DOC, "line_no", "line", "is_caret", "fields",
-        F.when(caret, F.get(fields_like(r"^[A-Z]{4}\d{5}[A-Z]$"), first)).otherwise(
+        F.when(caret, F.get(fields_like(r"^[A-Z]{4}\d{5}[A-Z]$", long(10)), zeroth)).otherwise(
             F.col("line_tan")).alias("tan"),
-        F.when(caret, F.transform(fields_like(rules.CARET_MONEY), money))
+        F.when(caret, F.transform(fields_like(
+            rules.CARET_MONEY, lambda x: F.substring(x, -3, 1) == "."), money))
         # a header is read after its TAN, a detail line without its dates
         .when(F.col("line_tan").isNotNull(),
               amounts(F.regexp_extract("line", rules.TAN + r"(.*)$", 2), rules.PLAIN_NUMBER))
         .otherwise(amounts(blank_out(line, rules.DMONY), rules.PLAIN_NUMBER)).alias("sums"),
         F.when(caret, F.get(F.filter(F.transform(
-            fields_like(rules.CARET_DATE), lambda x: F.coalesce(dmy(x), dmony(x))),
-            lambda d: d.isNotNull()), first))
-        .when(F.col("line_tan").isNull(), dmony(first_match(line, rules.DMONY))).alias("txn_date"))
+            fields_like(rules.CARET_DATE, long(10, 11)), lambda x: F.coalesce(dmy(x), dmony(x))),
+            lambda d: d.isNotNull()), zeroth))
+        .when(F.col("line_tan").isNull(), dmony(first(rules.DMONY))).alias("txn_date"))
 
     sums, n = F.col("sums"), F.size("sums")
     is_header = F.col("tan").isNotNull() & (~caret | (n >= 2))
