@@ -8,6 +8,7 @@ document came in as one cell, so the lines of one document fit one task.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora import rules
+from corrobora.functions.text import holds
 
 DOC = ["member_key", "doc_id"]
 
@@ -44,10 +45,10 @@ def kind_of(text):
         (F.regexp_count(text, F.lit(r"\^")) > rules.CARETS_OVER)
         & text.rlike(rules.TAN) & text.rlike(rules.CARET_ROW))
     return (
-        F.when(caret_statement | low.rlike(rules.STATEMENT_WORDS), "26as")
-        .when(low.rlike(rules.HISTORY_WORDS) & ~low.contains("wage month"), "service_history")
-        .when(low.rlike(rules.PASSBOOK_WORDS), "passbook")
-        .when(low.rlike(rules.BANK_WORDS), "bank")
+        F.when(caret_statement | holds(low, rules.STATEMENT_WORDS), "26as")
+        .when(holds(low, rules.HISTORY_WORDS) & ~low.contains("wage month"), "service_history")
+        .when(holds(low, rules.PASSBOOK_WORDS), "passbook")
+        .when(holds(low, rules.BANK_WORDS), "bank")
         .otherwise("unknown")
     )
 
@@ -56,21 +57,36 @@ def classify_documents(documents: DataFrame) -> DataFrame:
     return documents.withColumn("kind", kind_of(F.col("text")))
 
 
+def _pieces():
+    """The text cut at line breaks. Most texts know one kind of break, which needs no pattern."""
+    single = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    rare = F.col("text").rlike(rules.RARE_CONTROL)
+    for mark in rules.RARE_BREAKS:
+        rare = rare | F.col("text").contains(mark)
+    return F.when(rare, F.split(single, rules.SINGLE_BREAK, -1)).otherwise(
+        F.split("text", "\n", -1))
+
+
+def _closed(pieces):
+    """Without the empty piece behind a final line break; an empty text has no lines."""
+    n = F.size(pieces)
+    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), n - 1)).otherwise(F.col(pieces))
+
+
 def explode_lines(documents: DataFrame) -> DataFrame:
     """S3: one row per line, numbered from 0; a final line break opens no further line."""
-    closed = F.regexp_replace("text", f"(?:{rules.LINE_BREAK})\\z", "")
     rest = [c for c in documents.columns if c != "text"]
-    return documents.filter(F.col("text") != "").select(
-        *rest, F.posexplode(F.split(closed, rules.LINE_BREAK, -1)).alias("line_no", "line"))
+    split = documents.select(*rest, _pieces().alias("_pieces"))
+    return split.select(*rest, F.posexplode(_closed("_pieces")).alias("line_no", "line"))
 
 
 def lines_and_markers(documents: DataFrame) -> DataFrame:
     """``explode_lines`` and, for each document, a row numbered -1 without a line: empty ones stay known."""
-    closed = F.regexp_replace("text", f"(?:{rules.LINE_BREAK})\\z", "")
     marker = F.array(F.lit(None).cast("string"))
-    pieces = F.when(F.col("text") != "", F.concat(marker, F.split(closed, rules.LINE_BREAK, -1))).otherwise(marker)
     rest = [c for c in documents.columns if c != "text"]
-    return documents.select(*rest, F.posexplode(pieces).alias("_at", "line")).select(
+    split = documents.select(*rest, _pieces().alias("_pieces"))
+    pieces = F.when(F.col("_pieces").isNotNull(), F.concat(marker, _closed("_pieces"))).otherwise(marker)
+    return split.select(*rest, F.posexplode(pieces).alias("_at", "line")).select(
         *rest, (F.col("_at") - 1).alias("line_no"), "line")
 
 
@@ -96,13 +112,13 @@ def corpus_profile(documents: DataFrame) -> DataFrame:
     """Structure of each document, without repeating anything it says."""
     low = F.col("low")
     kind = (
-        F.when(low.rlike(rules.STATEMENT_WORDS), "26as")
-        .when(low.rlike(rules.PROBE_PASSBOOK_WORDS), "passbook")
-        .when(low.rlike(rules.PROBE_AIS_WORDS), "ais").otherwise("unknown"))
+        F.when(holds(low, rules.STATEMENT_WORDS), "26as")
+        .when(holds(low, rules.PROBE_PASSBOOK_WORDS), "passbook")
+        .when(holds(low, rules.PROBE_AIS_WORDS), "ais").otherwise("unknown"))
 
     def found(anchors):
         return F.array_compact(F.array(
-            [F.when(low.rlike(pattern), label) for label, pattern in anchors.items()]))
+            [F.when(holds(low, pattern), label) for label, pattern in anchors.items()]))
 
     def distinct_tokens(pattern):
         return F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))

@@ -1,7 +1,11 @@
 """Text and rows are read once, however many results need them."""
 
+import re
+
 from pyspark.sql import Window, functions as F
 
+from corrobora import rules
+from corrobora.functions.text import holds, strip
 from corrobora.operators import spread
 from corrobora.plans import derived_corpus, evidence_queries
 from corrobora.sources import corpus, passbooks, records
@@ -59,3 +63,42 @@ def test_positions_move_the_rows_once(spark):
 def test_order_lines_are_joined_once_for_evidence_and_record(spark):
     observations, _, _ = evidence_queries.settled_inputs(spark, SMALL)
     assert "Join" not in plan(observations)
+
+
+def test_lines_are_cut_as_by_the_pattern_of_all_breaks(spark):
+    texts = ["", "a", "a\n", "\n", "\n\n", "a\r\nb\r\n", "a\r\r\nb", "a\x0bb\x0c", "\x1c\x1d\x1e", "a\x85b\u2028c\u2029", "\u2029",
+             "a\tb\x1fc\n\nd", "a\n\r", "\x0e\nb", "\u0939\n\u0930"]
+    docs = spark.createDataFrame([("m", str(i), t) for i, t in enumerate(texts)] + [("m", "x", None)],
+                                 "member_key string, doc_id string, text string")
+    lines = corpus.explode_lines(docs)
+    assert "regexp_replace" not in plan(lines)  # one kind of break needs no pattern
+    told = {(r.doc_id, r.line_no): r.line for r in lines.collect()}
+    expected = {}
+    for i, t in enumerate(texts):
+        pieces = re.split(rules.LINE_BREAK, t)
+        for k, line in enumerate(pieces[:-1] if pieces[-1] == "" else pieces):
+            expected[str(i), k] = line
+    assert told == expected
+    marked = corpus.lines_and_markers(docs).collect()
+    assert {(r.doc_id, r.line_no): r.line for r in marked if r.line_no >= 0} == expected
+    assert sorted(r.doc_id for r in marked if r.line_no < 0) == sorted([*map(str, range(len(texts))), "x"])
+
+
+def test_words_are_looked_for_before_patterns(spark):
+    patterns = [*rules.STATEMENT_ANCHORS.values(), *rules.PASSBOOK_ANCHORS.values(), rules.STATEMENT_WORDS, rules.HISTORY_WORDS,
+                rules.PASSBOOK_WORDS, rules.BANK_WORDS, rules.PROBE_PASSBOOK_WORDS, rules.PROBE_AIS_WORDS]
+    texts = ["", "form26as", "form \t26as", "form x 26as", "annual tax statement", "part -a", "part ab", "titan tan.", "titan",
+             "tan of deductor", "name\nof deductor", "1192", "192", "section", "transaction date", "date of payment", "date of",
+             "amount  credited", "tds deposited", "member id", "member passbook", "members", "epf passbook", "establishment code",
+             "establishment", "doj", "doe", "date of exit", "date of joining", "month / year", "month-year", "month x year", "wage month",
+             "employee share", "ee share", "er share", "eps contribution", "pension", "ais", "rais", "annual information statement",
+             "service history", "narration", "closing balance", "closing"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[
+        F.struct(holds(F.col("t"), p).alias("a"), F.col("t").rlike(p).alias("b")).alias(str(i)) for i, p in enumerate(patterns)])
+    assert all(r[str(i)].a == r[str(i)].b for r in found.collect() for i in range(len(patterns)))
+    assert all(any(r[str(i)].a for r in found.collect()) for i in range(len(patterns)))
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    row = spark.createDataFrame([(" \t\n\x0b\f\ra b\r\n \t",)], "t string").select(strip(F.col("t")).alias("s"), F.expr("1")).first()
+    assert row.s == "a b" and "regexp_replace" not in str(strip(F.col("t")))
