@@ -4,8 +4,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora.contracts import CONTRACTS
 from corrobora.operators.detectors import FINDING_COLUMNS, all_findings
+from corrobora.operators.envelopes import evidence_days
+from corrobora.session import cut_lineage
 
 COMPACT_AFTER = 8  # deltas of a bucket
+#: state is dealt by these: a busy member's bucket is written by several tasks, and equal rows meet in one
+DEALT = ["bucket", "party_key", "source"]
 
 
 def evidence_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +25,9 @@ def row_copies(evidence: DataFrame) -> DataFrame:
     parts of the evidence merge by their maximum, so they can be kept as state.
     """
     columns = [c for c in evidence.columns if c != "file"]
-    in_file = evidence.groupBy("file", *columns).agg(F.count(F.lit(1)).alias("copies"))
+    # dealt once, so that neither count moves the rows again
+    dealt = evidence.repartition(*DEALT) if set(DEALT) <= set(columns) else evidence
+    in_file = dealt.groupBy("file", *columns).agg(F.count(F.lit(1)).alias("copies"))
     return in_file.groupBy(*columns).agg(F.max("copies").alias("copies"))
 
 
@@ -83,8 +89,7 @@ def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame,
         if batch.isEmpty():
             return
         place = f"{store}/evidence/batch={batch_id}"
-        # spread by party and source as well, so a busy member's bucket is written by several tasks
-        (row_copies(batch).withColumn("bucket", bucket).repartition("bucket", "party_key", "source")
+        (row_copies(batch.withColumn("bucket", bucket))
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/kind=delta"))
         fresh = spark.read.parquet(f"{place}/kind=delta")
         fresh.select("member_key").distinct().write.mode("overwrite").parquet(f"{store}/members/batch={batch_id}")
@@ -93,11 +98,13 @@ def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame,
         changed = sorted(r[0] for r in fresh.select("bucket").distinct().collect())
         state, due = bucket_state(spark, store, batch_id, changed)
         if due:
-            (merged_copies(state.filter(F.col("bucket").isin(due))).repartition("bucket", "party_key", "source")
+            (merged_copies(state.filter(F.col("bucket").isin(due)).repartition(*DEALT))
              .write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/kind=base"))
-        evidence = merged_copies(state.drop("bucket").join(touched, "member_key", "left_semi"))
-        record = asserted.join(touched, "member_key", "left_semi")
-        (all_findings(repeated(evidence), record, as_of)
+        # every detector reads these three, so each is worked out once and written
+        evidence = cut_lineage(repeated(merged_copies(
+            state.join(touched, "member_key", "left_semi").repartition(*DEALT)).drop("bucket")))
+        record = cut_lineage(asserted.join(touched, "member_key", "left_semi"))
+        (all_findings(evidence, record, as_of, cut_lineage(evidence_days(evidence)))
          .write.mode("overwrite").parquet(f"{store}/findings/batch={batch_id}"))
         (spark.createDataFrame([(b, b in due) for b in changed], "bucket int, compacted boolean").coalesce(1)
          .write.mode("overwrite").parquet(f"{store}/index/batch={batch_id}"))
