@@ -6,9 +6,10 @@ from pyspark.sql import Window, functions as F
 
 from corrobora import rules
 from corrobora.functions.text import holds, strip
-from corrobora.operators import spread
+from corrobora.operators import people, spread
 from corrobora.plans import derived_corpus, evidence_queries
 from corrobora.sources import corpus, passbooks, records
+from corrobora.streaming import refresh
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -102,3 +103,20 @@ def test_words_are_looked_for_before_patterns(spark):
 def test_white_space_of_any_kind_is_stripped(spark):
     row = spark.createDataFrame([(" \t\n\x0b\f\ra b\r\n \t",)], "t string").select(strip(F.col("t")).alias("s"), F.expr("1")).first()
     assert row.s == "a b" and "regexp_replace" not in str(strip(F.col("t")))
+
+
+def test_names_are_not_multiplied_where_they_are_read(spark):
+    names = spark.createDataFrame([("a", "RAVI SINGH"), ("a", "RAVEE SINGH"), ("b", "RAVI SINGH"), ("b", "RAVI SINGH"), ("c", None),
+                                   ("c", "ASHA RAO")], "member_key string, name string")
+    classes = people.name_classes(names)
+    assert "Expand" not in plan(classes)
+    assert sum(r.n_members for r in classes.collect() if "RAVI" in r.representative or "RAVEE" in r.representative) >= 2
+    assert {r.representative: (r.n_members, r.n_spellings) for r in classes.collect()}["ASHA RAO"] == (1, 1)
+
+
+def test_copies_of_evidence_are_counted_after_one_shuffle(spark):
+    rows = [("f1", 1, "p", "s", "m", 5)] * 3 + [("f2", 1, "p", "s", "m", 5)] * 2 + [("f2", 1, "q", "s", "m", 5)]
+    counted = refresh.row_copies(spark.createDataFrame(
+        rows, "file string, bucket int, party_key string, source string, member_key string, ord long"))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.party_key, r.copies) for r in counted.collect()) == [("p", 3), ("q", 1)]
