@@ -551,7 +551,6 @@ UNION ALL
 SELECT member_key, party_key, 'CORRECTION_CONFLICT', 2,
        'asserted:' || party_key_2 || '[' || b_start || '..]' FROM ovc""")
 def finding_evidence(spark, folder):
-    observations, days, asserted = settled_inputs(spark, folder)
-    windows = envelopes.support_windows(days)
-    found = cut_lineage(detectors.all_findings(observations, asserted, AS_OF, days))
-    return detectors.finding_evidence(found, observations, days, asserted, windows, AS_OF)
+    lines = settled_lines(spark, folder)
+    asserted = cut_lineage(adapters.asserted(spark, folder, lines))
+    return detectors.evidence_of_all(adapters.observations(spark, folder, lines), asserted, AS_OF)

@@ -1,13 +1,17 @@
 """Text and rows are read once, however many results need them."""
 
+import random
 import re
+from collections import Counter
+from datetime import date, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Window, functions as F
 
 from corrobora import rules
 from corrobora.functions.text import holds, strip
-from corrobora.operators import people, spread
-from corrobora.plans import derived_corpus, evidence_queries
+from corrobora.operators import detectors, envelopes, people, spread
+from corrobora.plans import adapters, derived_corpus, evidence_queries
 from corrobora.sources import corpus, passbooks, records
 from corrobora.streaming import refresh
 
@@ -120,3 +124,39 @@ def test_copies_of_evidence_are_counted_after_one_shuffle(spark):
         rows, "file string, bucket int, party_key string, source string, member_key string, ord long"))
     assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((r.party_key, r.copies) for r in counted.collect()) == [("p", 3), ("q", 1)]
+
+
+def test_evidence_by_party_rows_equals_evidence_of_all_findings(spark):
+    """Plain parties, and parties with notes, crowded days, unknown places and dates, several records or unknown accounts."""
+    rng, as_of, sources = random.Random(3), date(2001, 12, 1), ["EPF_CONTRIB", "TDS_26AS", "BANK_SALARY", rules.ASSERTED_SOURCE]
+    seen, records = [], []
+    for i in range(320):
+        who, kind, n = (f"m{i // 4}", f"p{i % 4}"), i % 16, rng.choice([0, 1, 2, 5, 12, 30])
+        start, last_fund = date(1995, 1, 1) + timedelta(rng.randrange(900)), rng.randrange(n + 1)
+        days = sorted(rng.randrange(60 + 40 * n) for _ in range(n))
+        for k, d in enumerate(days):
+            source = rng.choice(sources if k <= last_fund else sources[1:])
+            amount = None if source == "EPF_CONTRIB" or rng.random() < 0.1 else Decimal(rng.choice([100, 101, 102, 900]))
+            for _ in range(rng.choice([1, 1, 1, 1, 2, 5 if kind == 1 else 1])):
+                seen.append((*who, None if kind == 2 and k == 3 else start + timedelta(d), source, amount,
+                             "late" if kind == 3 and k % 3 == 0 else "", None if kind == 4 and k == 1 else rng.randrange(10 ** 6)))
+        for r in range([1, 0, 1, 1][i % 4] + (kind in (5, 6))):
+            end = days[-1 - min(n - 1, rng.choice([0, 1, 2, 3, n // 2]))] if n and rng.random() < 0.8 else None
+            records.append((*who, None if kind == 7 else f"a{i}-{r if kind == 5 else 0}", start + timedelta(rng.choice([-9, 0, 80])),
+                            None if end is None else start + timedelta(end), r * 10 + i % 4))
+    observations = spark.createDataFrame(
+        seen, "member_key string, party_key string, obs_date date, source string, amount decimal(18,2), note string, ord long").cache()
+    asserted = spark.createDataFrame(
+        records, "member_key string, party_key string, account_id string, doj date, doe date, ord long").cache()
+    days = envelopes.evidence_days(observations).cache()
+    expected = Counter(detectors.finding_evidence(
+        detectors.all_findings(observations, asserted, as_of, days), observations, days, asserted,
+        envelopes.support_windows(days), as_of).collect())
+    told = detectors.evidence_of_all(observations, asserted, as_of)
+    assert Counter(told.collect()) == expected
+    assert {r.kind for r in expected} == {*detectors.ROUTE_OF}
+
+
+def test_lines_are_not_sorted_for_the_record(spark):
+    lines = adapters.party_lines(spark, SMALL)
+    assert "SortAggregate" not in adapters.asserted(spark, SMALL, lines)._jdf.queryExecution().executedPlan().toString()
