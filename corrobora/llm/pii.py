@@ -6,12 +6,13 @@ has the digits of a phone number, a card or a network address. Boosted trees sco
 context, their scores are calibrated, and a threshold per kind selects what is added. Where selected spans overlap, the
 better score stays; a span that touches a base span is never added.
 
-The trees learn from the corpus itself: a bounded sample of texts by hash (``MOST_TEXTS``, at most ``PER_TEXT``
-proposals each and ``MOST_ROWS`` in all). A base span is an example of its kind; so are its other ways of writing
+The trees learn from every text of the corpus. A base span is an example of its kind; so are its other ways of writing
 (without a plus sign, in other groups, with words for signs, beside another number). Base spans whose check digits or
-lengths are spoilt, and proposals that are no base spans, are counterexamples. Another part of the sample, split by
-hash, calibrates the scores and gives each kind the lowest threshold at which ``PRECISION`` is reached; a kind without
-such a threshold adds nothing.
+lengths are spoilt, and proposals that are no base spans, are counterexamples. Equal examples are counted and written;
+each level of a tree is one job that sums slopes by node, column and bin over all of them, so only sums of a fixed number
+reach the driver. Up to ``FEW`` different examples are summed on the driver instead; the sums are of whole numbers and so
+the same. One text in three, by hash, is held out: all its examples calibrate the scores and give each kind the
+lowest threshold at which ``PRECISION`` is reached; a kind without such a threshold adds nothing.
 
 Null and empty cases: a null text is empty and has no spans; rows may repeat, and each is reported; an empty table, or a
 corpus without base spans, gives no model and base spans only. Other columns play no part. All patterns are linear in
@@ -20,23 +21,25 @@ the text; offsets are code points.
 
 import bisect
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corrobora.llm.boosting import BoostedTrees
+from corrobora.llm.boosting import BINS, BoostedTrees
 from corrobora.llm.logistic import fit, sigmoid
 from corrobora.llm.tables import in_batches, packed, whole_text
 from corrobora.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-MOST_TEXTS = 6000  # of the sample
-PER_TEXT = 12      # proposals of a sampled text that are learned from, of each label
-MOST_ROWS = 16_000
 PRECISION = 0.98   # on held-out proposals, of what is added
 NEAR = 40          # characters of context
+TOP = 255          # features are whole numbers, counted up to this one
+FEW = 50_000       # different examples, 2 MB, that are summed without a job for each level
+GRID = 256         # steps of a score (log odds) that are told apart, in one unit
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -195,78 +198,124 @@ class Taken:
         self.ends.insert(at, end)
 
 
-def examples(text: str, seed: int) -> list[tuple[list[float], int]]:
+def examples(text: str, seed: int) -> Iterator[tuple[list[float], int]]:
     """Features and labels of a text's base spans, their other ways of writing, and its other proposals."""
     base = base_spans(text)
-    taken, out = Taken((a, b) for a, _, b in base), {0: [], 1: []}
+    taken = Taken((a, b) for a, _, b in base)
     for start, rank, end in base:
-        out[1].append((text, start, rank, end))
+        yield features(text, start, rank, end), 1
         for whole, a, k, b, label in other_ways(text, start, rank, end, seed):
-            out[label].append((whole, a, k, b))
+            yield features(whole, a, k, b), label
     for start, rank, end in proposals(text):
         if not taken.touched(start, end):
-            out[0].append((text, start, rank, end))
-    rng = np.random.default_rng(seed)
-    return [(features(*rows[i]), label) for label, rows in out.items()
-            for i in rng.permutation(len(rows))[:PER_TEXT].tolist()]
+            yield features(text, start, rank, end), 0
 
 
 class Model:
-    """Trees, calibration, and thresholds on the calibrated scores per kind."""
+    """Trees, calibration, and thresholds on the calibrated scores per kind.
+
+    ``held``: of the held-out proposals, rows of kind, step of the score, label and number.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision=PRECISION):
-        self.trees = BoostedTrees().fit(x[~held], y[~held])
-        raw = self.trees.score(x[held])
-        self.line = fit(raw[:, None], y[held].astype(float))
-        p, kind = self.calibrated(raw), x[held, 0].astype(int)
+    def __init__(self, trees: BoostedTrees, held: np.ndarray, precision=PRECISION):
+        self.trees = trees
+        kind, step, label, n = held.T
+        self.line = fit(step[:, None] / GRID, label.astype(float), n.astype(float))
         self.least = np.full(len(KINDS), np.inf)
         for k in range(len(KINDS)):
-            own, label = p[kind == k], y[held][kind == k]
-            order = np.argsort(-own, kind="stable")
-            right = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-            # a threshold lies between different scores, and above one half
-            good = (right >= precision) & (own[order] >= 0.5) & np.append(own[order][1:] < own[order][:-1], True)[:len(order)]
+            steps, at = np.unique(step[kind == k], return_inverse=True)
+            every, ones = (np.bincount(at, w, len(steps))[::-1].cumsum() for w in (n[kind == k], (n * label)[kind == k]))
+            own = self.calibrated(steps[::-1] / GRID)
+            # a threshold is a step that is told apart, and above one half
+            good = (ones >= precision * every) & (own >= 0.5)
             if good.any():
-                self.least[k] = own[order][np.flatnonzero(good)[-1]]
+                self.least[k] = own[np.flatnonzero(good)[-1]]
 
     def calibrated(self, raw):
         return sigmoid(raw * self.line[0] + self.line[1])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.calibrated(self.trees.score(x))
+        return self.calibrated(steps_of(self.trees.score(np.minimum(x, TOP))) / GRID)
 
 
-def trained(docs: DataFrame, most_texts=MOST_TEXTS, most_rows=MOST_ROWS, precision=PRECISION) -> Model | None:
-    """The model of a corpus, or none if its sample has no examples of both labels to learn and to calibrate from.
+def steps_of(raw: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(raw, -30, 30) * GRID).astype(np.int64)
 
-    The sample takes texts with a digit or an at sign whose hash lies under a bar that leaves about ``most_texts`` of
-    the corpus, so no more than that moves, whatever its size.
-    """
+
+def counted_examples(docs: DataFrame) -> DataFrame:
+    """x (a byte per feature), y, held, n: all examples of all texts with a digit or an at sign, equal ones counted."""
     rows = docs.select(whole_text().alias("text")).filter(F.col("text").rlike("[0-9@]"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    n = rows.count()
-    bar = -(1 << 63) + int((1 << 64) * min(1.0, most_texts / max(1, n))) - 1
-    chosen = rows.filter(F.col("hash") <= F.lit(bar)).dropDuplicates(["hash"])
 
     def work(batch):
-        x, y, hashes = [], [], []
+        met = Counter()
         for text, h in zip(batch.column("text").to_pylist(), batch.column("hash").to_pylist()):
-            for row, label in examples(text, h & 0xFFFFFFFF):
-                x.append([float(v) for v in row])
-                y.append(label)
-                hashes.append(h)
+            met.update((bytes(min(int(v), TOP) for v in row), label, h % 3 == 0) for row, label in examples(text, h & 0xFFFFFFFF))
+        columns = zip(*met) if met else ([], [], [])
         return pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(hashes, pa.int64())], ["x", "y", "hash"])
-    told = cut_lineage(in_batches(chosen, work, "x array<double>, y int, hash long", texts="text"))
-    few = told.orderBy(F.xxhash64("hash", "x", "y")).limit(most_rows).toPandas()
-    if few.empty:
-        return None
-    few = few.sort_values(["hash", "y"], kind="stable")
-    x, y = np.array(few["x"].tolist()), few["y"].to_numpy()
-    held = few["hash"].to_numpy() % 3 == 0
-    if any(len(set(y[part])) < 2 for part in (held, ~held)):
+            [pa.array(list(c), kind) for c, kind in zip(columns, (pa.binary(), pa.int32(), pa.bool_()))]
+            + [pa.array(list(met.values()), pa.int64())], ["x", "y", "held", "n"])
+    told = in_batches(rows, work, "x binary, y int, held boolean, n long", texts="text")
+    return told.groupBy("x", "y", "held").agg(F.sum("n").alias("n"))
+
+
+def by_feature(xs) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b"".join(xs), np.uint8).reshape(-1, WIDTH).T)
+
+
+def added_up(rows: DataFrame, work) -> np.ndarray:
+    """Rows of cell and sum: ``work(x, y, n)`` gives an array of whole numbers for a batch of examples (x by feature, then
+    example); the arrays of all batches are added up, cell by cell."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = work(by_feature(batch.column("x").to_pylist()), batch.column("y").to_numpy(), batch.column("n").to_numpy())
+                total = part if total is None else total + part
+        if total is not None:
+            cells = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total.ravel()[cells], pa.int64())], ["cell", "n"])
+    sums = rows.select("x", "y", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    return np.array([(r["cell"], r["n"]) for r in sums], dtype=np.int64).reshape(-1, 2)
+
+
+def trained(docs: DataFrame, precision=PRECISION, few=FEW) -> Model | None:
+    """The model of a corpus, or none if it has no examples of both labels to learn and to calibrate from."""
+    told = cut_lineage(counted_examples(docs))
+    groups = told.groupBy("held", "y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).collect()
+    sizes = {(r["held"], r["y"]): r["n"] for r in groups}
+    if len(sizes) < 4:
         return None
-    return Model(x, y, held, precision)
+    learned, held = told.filter(~F.col("held")), told.filter("held")
+
+    def whole(rows, size, work):
+        out = np.zeros(size, dtype=np.int64)
+        found = added_up(rows, work)
+        out[found[:, 0]] = found[:, 1]
+        return out
+    values = whole(learned, WIDTH * (TOP + 1), lambda x, y, n: np.stack(
+        [np.bincount(c, n, TOP + 1) for c in x]).astype(np.int64))
+    trees = BoostedTrees()
+    trees.edges_from(values.reshape(WIDTH, TOP + 1))
+    if sum(r["different"] for r in groups if not r["held"]) <= few:
+        rows = learned.select("x", "y", "n").collect()
+        columns, y, n = trees.binned(by_feature(r["x"] for r in rows).T), *np.array([(r["y"], r["n"]) for r in rows]).T
+
+        def sums():
+            return trees.sums(columns, y, n)
+    else:
+        def sums():
+            return whole(learned, 2 * 2 ** trees.level * WIDTH * BINS, lambda x, y, n: trees.sums(trees.binned(x.T), y, n))
+    trees.grow(sizes[False, 0] + sizes[False, 1], sizes[False, 1], sums)
+
+    span = 2 * 30 * GRID + 1
+
+    def graded(x, y, n):
+        cell = (x[0].astype(np.int64) * span + steps_of(trees.score(x.T)) + 30 * GRID) * 2 + y
+        return np.bincount(cell, n, len(KINDS) * span * 2).astype(np.int64)
+    found = added_up(held, graded)
+    cell, n = found[np.argsort(found[:, 0])].T
+    return Model(trees, np.stack([cell // (2 * span), cell // 2 % span - 30 * GRID, cell % 2, n], axis=1), precision)
 
 
 def added(text: str, base, model: Model) -> list[tuple[int, int, int, float]]:

@@ -185,3 +185,23 @@ def test_boosted_trees_learn_what_no_line_can():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
     model = boosting.BoostedTrees().fit(x[:3000], y[:3000])
     assert ((model.score(x[3000:]) > 0) == y[3000:]).mean() > 0.95
+
+
+def test_private_model_is_fitted_on_every_proposal(private):
+    """All examples of every text are counted, and sums over Spark give the trees of the rows in memory."""
+    rows, docs = private
+    crowded = " ".join(f"+{i} (555) 123-4567," for i in range(10, 60))
+    docs = docs.union(docs.limit(1).select(F.lit(999).cast(docs.schema[0].dataType).alias("doc_id"), F.lit(crowded).alias("text"),
+                                           *[F.col(c) for c in docs.columns[2:]]))
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    every = [(row, label, hashes[d] % 3 == 0) for d, text, *_ in [*rows, (999, crowded)]
+             for row, label in pii.examples(text or "", hashes[d] & 0xFFFFFFFF)]
+    told = pii.counted_examples(docs).collect()
+    expected = collections.Counter((bytes(min(int(v), pii.TOP) for v in row), label, held) for row, label, held in every)
+    assert {(bytes(r.x), r.y, r.held): r.n for r in told} == expected
+    x = np.array([[min(int(v), pii.TOP) for v in row] for row, _, held in every if not held], dtype=float)
+    y = np.array([label for _, label, held in every if not held])
+    model, alone = pii.trained(docs, few=0), boosting.BoostedTrees().fit(x, y)
+    assert (pii.trained(docs).trees.values == model.trees.values).all()
+    assert all((a == b).all() for a, b in zip(model.trees.edges, alone.edges))
+    assert (model.trees.cuts == alone.cuts).all() and np.allclose(model.trees.values, alone.values)
