@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora import rules
-from corrobora.operators.envelopes import PARTY, support_windows
+from corrobora.operators.envelopes import PARTY, party_windows, support_windows
 from corrobora.operators.spread import totals_as_of
 
 CAUSES = ["MISSING_EXIT", "EXIT_TOO_EARLY", "CONTRIBUTION_GAP"]
@@ -33,7 +33,8 @@ def diagnose_rejections(claims: DataFrame, findings: DataFrame) -> DataFrame:
 def check_proposals(proposals: DataFrame, asserted: DataFrame, days: DataFrame) -> DataFrame:
     """The tests a proposed date must pass, one row per proposal and test.
 
-    ``proposals``: member_key, proposal_id, account_id, proposed, evidence, started.
+    ``proposals``: member_key, proposal_id, account_id, proposed, evidence, started. ``days`` is the evidence, by day or as
+    ``party_rows``.
     Whether another record covers a date is read from running counts of starts
     minus ends, once for the member and once for the account itself.
     """
@@ -41,7 +42,8 @@ def check_proposals(proposals: DataFrame, asserted: DataFrame, days: DataFrame)
     record = asserted.groupBy(*account).agg(
         F.max_by(F.struct("party_key", "doj"), F.struct("ord", "party_key", "doj")).alias("r")
     ).select(*account, "r.party_key", "r.doj")
-    reach = support_windows(days, asserted_source=None).select(*PARTY, "latest", "n_sources")
+    windows = party_windows if "days" in days.columns else support_windows
+    reach = windows(days, asserted_source=None).select(*PARTY, "latest")
 
     spans = asserted.filter(F.col("doj").isNotNull() & (
         F.col("doe").isNull() | (F.col("doe") >= F.col("doj"))))

@@ -12,9 +12,9 @@ from corrobora.functions.dates import (
     month_from_no, month_no, months_apart, stamp,
 )
 from corrobora.operators.envelopes import (
-    PARTY, cite_first, cite_last, citation, evidence_days, latest_record, support_windows,
+    PARTY, cite_first, cite_last, citation, evidence_days, latest_record, party_rows, support_windows,
 )
-from corrobora.operators.spread import best_before, following_row, totals_as_of, upper_median
+from corrobora.operators.spread import best_before, busy_keys, following_row, totals_as_of, upper_median
 from corrobora.session import cut_lineage
 
 FINDING_COLUMNS = [
@@ -329,16 +329,198 @@ def gap_findings(days: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- together
 
-def all_findings(observations: DataFrame, asserted: DataFrame, as_of, days=None) -> DataFrame:
-    """The union of all detectors."""
-    days = evidence_days(observations) if days is None else days
-    windows = support_windows(days)
-    return (
-        record_findings(observations, days, windows, asserted, as_of)
-        .unionByName(overlap_findings(asserted, windows, as_of))
-        .unionByName(orphan_findings(windows, asserted))
-        .unionByName(gap_findings(days))
-    )
+def all_findings(observations: DataFrame, asserted: DataFrame, as_of, days=None, parties=None) -> DataFrame:
+    """The union of all detectors, from one row per party with its evidence and its records.
+
+    ``parties`` is ``party_rows(observations, asserted)``, if it is there already. What a row can't tell, as it knows days
+    and not observations, is left to the detectors of records, for these records alone; ``days`` (``evidence_days``) saves
+    them the reduction. What the rows say is written once, overlaps are found from its intervals.
+    """
+    told = cut_lineage(party_findings(party_rows(observations, asserted) if parties is None else parties, as_of))
+    found = (
+        told.select(*PARTY, F.explode_outer("found").alias("f")).filter(F.col("f").isNotNull())
+        .select(*PARTY, "f.*").select(*FINDING_COLUMNS)
+        .unionByName(interval_findings(told.filter(F.col("interval").isNotNull()).select(*PARTY, "interval.*"))))
+    undecided = told.filter(F.col("undecided").isNotNull()).select(*PARTY, "undecided.*")
+    if undecided.isEmpty():
+        return found
+    records = cut_lineage(undecided)
+    concerned = cut_lineage(records.select(*PARTY).distinct())
+    crowded = cut_lineage(observations.join(concerned, PARTY, "left_semi"))
+    crowded_days = cut_lineage(evidence_days(crowded) if days is None else days.join(concerned, PARTY, "left_semi"))
+    return found.unionByName(record_findings(crowded, crowded_days, support_windows(crowded_days), records, as_of))
+
+
+def with_following(intervals: DataFrame) -> DataFrame:
+    """Each interval with the next one by start on record (``next``) and by corrected start (``c_next``).
+
+    Members cross the network once, unless they have very many intervals: these are spread over months.
+    """
+    key = ["member_key"]
+
+    def starting(column):
+        return F.struct("party_key", F.col(column).alias("start"))
+
+    def at_once(rows):
+        def following(column):
+            following = F.lead(starting(column)).over(Window.partitionBy(*key).orderBy(column, "ord"))
+            # intervals of an unknown member meet in their month only
+            return F.when(F.col("member_key").isNotNull() | (month_no(following["start"]) == month_no(column)), following)
+        return rows.select("*", following("start").alias("next"), following("c_start").alias("c_next"))
+
+    def by_month(rows):
+        for column, name in (("start", "next"), ("c_start", "c_next")):
+            rows = following_row(rows, key, month_no(column), [column, "ord"], starting(column), name)
+        return rows
+
+    busy = busy_keys(intervals, key, ["party_key"])
+    if busy is None:
+        return at_once(intervals)
+    return at_once(intervals.join(busy, key, "left_anti")).unionByName(by_month(intervals.join(busy, key, "left_semi")))
+
+
+def interval_findings(intervals: DataFrame) -> DataFrame:
+    """J4 and J5 of one row per party: start and end on record, and as the evidence corrects them.
+
+    Both overlaps of an interval are in its row, so a pair on record is known where its correction is looked at.
+    """
+    seen = with_following(intervals)
+    on_record = "start IS NOT NULL AND coalesce(end >= next.start, false)"
+    corrected = "c_start IS NOT NULL AND coalesce(c_end >= c_next.start, false)"
+    same = f"coalesce({on_record} AND member_key IS NOT NULL AND party_key IS NOT NULL AND next.party_key = c_next.party_key, false)"
+
+    def shaped(kind, severity, phase, start, end, following):
+        return _finding_sql(
+            kind, f"'{severity}'", f"datediff({end}, {following}.start) + 1", phase,
+            f"shiftleft(CAST(unix_date({start}) AS BIGINT), 32) + ord", party_2=f"{following}.party_key")
+    return seen.selectExpr(*PARTY, f"""explode_outer(array_compact(array(
+        CASE WHEN {on_record} THEN {shaped("SERVICE_OVERLAP", rules.BLOCKING, 1, "start", "end", "next")} END,
+        CASE WHEN {corrected} AND NOT {same}
+          THEN {shaped("CORRECTION_CONFLICT", rules.DEGRADED, 2, "c_start", "c_end", "c_next")} END))) AS f""").filter(
+        "f IS NOT NULL").select(*PARTY, "f.*").select(*FINDING_COLUMNS)
+
+
+def _finding_sql(kind, severity, measure, phase, ord, account="CAST(NULL AS STRING)", party_2="CAST(NULL AS STRING)", n_sources="0",
+                 first_evidence="CAST(NULL AS DATE)"):
+    """``_finding`` as SQL text."""
+    return f"""named_struct(
+      'kind', '{kind}', 'party_key_2', {party_2}, 'account_id', {account}, 'severity', {severity},
+      'measure', CAST({measure} AS BIGINT), 'n_sources', CAST({n_sources} AS BIGINT), 'first_evidence', {first_evidence},
+      'fix', '{rules.FIX[kind]}', 'route', '{ROUTE_OF[kind]}', 'days', {_days_of(kind)}, 'phase', {phase}, 'ord', CAST({ord} AS BIGINT))"""
+
+
+def party_findings(parties: DataFrame, as_of) -> DataFrame:
+    """What each row of ``party_rows`` tells by itself: a row per record, or one for a party without.
+
+    ``found``: findings on the record, and on a party's first row unlinked accounts and gaps. ``interval``: the record the
+    party counts with, on its first row. ``undecided``: a record that needs the observations themselves, for the median of
+    payments on crowded days, or for the last citations where a crowded day holds the third.
+    """
+    amount = parties.schema["days"].dataType.elementType["min_amount"].dataType.simpleString()
+    fund, tax = f"'{rules.FUND_SOURCE}'", f"'{rules.TAX_SOURCE}'"
+    by_month = "d.source IN ({})".format(", ".join(f"'{source}'" for source in rules.MONTH_STAMPED_SOURCES))
+    today = f"DATE '{as_of.isoformat()}'"
+
+    def month(day):
+        return f"(year({day}) * 12 + month({day}) - 1)"
+
+    def months_of(source):
+        return f"array_distinct(transform(filter(days, d -> d.source = {source}), d -> {month('d.obs_date')}))"
+
+    def of(days, column):
+        return f"transform({days}, d -> d.{column})"
+
+    def stamps(days):
+        return f"transform({days}, d -> CASE WHEN {by_month} THEN trunc(d.obs_date, 'MM') ELSE d.obs_date END)"
+
+    def n_obs(days):
+        return f"aggregate({days}, 0L, (n, d) -> n + d.n_obs)"
+
+    def certain(condition):
+        return f"coalesce({condition}, false)"
+
+    def last_of(last, first):
+        return f"coalesce(d.{last}, d.{first})"
+
+    stale = f"({month(today)} - {month('latest')})"
+    allowed = f"usual * CAST({rules.SETTLEMENT_DEVIATION} AS DECIMAL(3,2))"
+    rows = parties.selectExpr(
+        *PARTY, "days", "records", f"filter(days, d -> d.source <> '{rules.ASSERTED_SOURCE}') AS seen",
+        "posexplode_outer(records) AS (k, r)")
+    steps = [
+        {"earliest": f"array_min({of('seen', 'obs_date')})", "latest": f"array_max({of('seen', 'obs_date')})",
+         "ord": "r.ord", "account_id": "r.account_id", "doj": "r.doj", "doe": "r.doe", "first": "coalesce(k, 0) = 0",
+         "tail": "filter(seen, d -> d.obs_date > r.doe)"},
+        # only a short tail without fund payments can be a settlement, if it breaks the pattern of payments before it
+        {"no_exit": certain(f"records IS NOT NULL AND doe IS NULL AND {stale} >= {rules.STALE_EXIT_MONTHS}"),
+         "short": certain(f"""NOT exists(tail, d -> d.source = {fund}) AND exists(tail, d -> d.min_amount IS NOT NULL)
+           AND size(array_distinct(transform(tail, d -> {month('d.obs_date')}))) <= {rules.SETTLEMENT_TAIL_MONTHS}"""),
+         "later_sources": f"size(array_distinct({of('tail', 'source')}))", "after_exit": certain("size(tail) > 0"),
+         "first_stamp": f"array_min({stamps('tail')})"},
+        {"before": "CASE WHEN short THEN filter(seen, d -> d.n_amounts > 0 AND d.obs_date <= doe) END",
+         # the last three observations lie on the last three days of sources; on the date of the third there may be a choice
+         "last": "CASE WHEN no_exit THEN slice(reverse(filter(seen, d -> d.obs_date IS NOT NULL)), 1, 3) END"},
+        {"unknown_pay": certain("exists(before, d -> d.n_amounts > 2 AND d.max_amount IS NOT NULL)"),
+         "paid": """sort_array(flatten(transform(before, d -> CASE WHEN d.max_amount IS NULL
+           THEN array(named_struct('amount', d.min_amount, 'n', d.n_amounts))
+           ELSE array(named_struct('amount', d.min_amount, 'n', 1L), named_struct('amount', d.max_amount, 'n', 1L)) END)))""",
+         "third": f"""CASE WHEN {n_obs('slice(last, 1, 1)')} >= 3 THEN get(last, 0).obs_date
+           WHEN {n_obs('slice(last, 1, 2)')} >= 3 THEN get(last, 1).obs_date ELSE get(last, 2).obs_date END"""},
+        {"half": "floor(aggregate(paid, 0L, (n, p) -> n + p.n) / 2)",
+         "newer": "CASE WHEN third IS NULL THEN last ELSE filter(seen, d -> d.obs_date > third) END",
+         "at_third": "CASE WHEN third IS NOT NULL THEN filter(seen, d -> d.obs_date = third) END"},
+        {"usual": f"""aggregate(paid, named_struct('n', 0L, 'amount', CAST(NULL AS {amount})),
+           (upto, p) -> named_struct('n', upto.n + p.n, 'amount',
+             CASE WHEN upto.n <= half AND upto.n + p.n > half THEN p.amount ELSE upto.amount END), upto -> upto.amount)""",
+         "free": f"3 - {n_obs('newer')}"},
+        {"choice": certain(f"""{n_obs('at_third')} > free AND exists(at_third, d -> {by_month})
+           AND exists(at_third, d -> NOT {by_month})"""),
+         "settlement": certain(f"""short AND usual > 0 AND (
+           array_max(transform(tail, d -> {last_of('max_amount', 'min_amount')})) - usual > {allowed}
+           OR usual - array_min({of('tail', 'min_amount')}) > {allowed})""")},
+        {"unknown_place": certain("choice AND exists(at_third, d -> d.n_obs > 2 OR NOT d.placed)")},
+        {"month_cited": f"""CASE WHEN choice AND NOT unknown_place THEN exists(slice(sort_array(flatten(transform(at_third, d ->
+             CASE WHEN d.n_obs = 1 THEN array(named_struct('ord', d.first_ord, 'source', d.source))
+             ELSE array(named_struct('ord', d.first_ord, 'source', d.source),
+                        named_struct('ord', {last_of('last_ord', 'first_ord')}, 'source', d.source)) END)), false),
+           1, CAST(free AS INT)), d -> {by_month}) ELSE exists(at_third, d -> {by_month}) END""",
+         "open_record": "unknown_pay OR unknown_place",
+         "fund": f"CASE WHEN first THEN {months_of(fund)} END",
+         # a party's last record holds the place of its first, as in latest_record
+         "counts": "CASE WHEN first THEN array_max(records) END"},
+        {"last_cited": f"""least(array_min({stamps('newer')}),
+           CASE WHEN month_cited THEN trunc(third, 'MM') ELSE third END)""",
+         "fund_first": "array_min(fund)", "fund_last": "array_max(fund)"},
+        {"missing": f"""CASE WHEN size(fund) > 0 THEN filter(
+           array_except({months_of(tax)}, fund), m -> m > fund_first AND m < fund_last) END"""},
+    ]
+    for step in steps:
+        rows = rows.withColumns({name: F.expr(text) for name, text in step.items()})
+    exit_cited = {"measure": n_obs("tail"), "phase": 0, "ord": "ord * 4 + 1", "account": "account_id",
+                  "n_sources": "later_sources", "first_evidence": "first_stamp"}
+    late_join = f"({month('earliest')} - {month('doj')})"
+    checks = [
+        ("no_exit AND NOT open_record", _finding_sql(
+            "MISSING_EXIT", f"'{rules.BLOCKING}'", stale, 0, "ord * 4", "account_id", first_evidence="last_cited")),
+        ("after_exit AND settlement AND NOT open_record", _finding_sql("TRAILING_PAYOUT", f"'{rules.DEGRADED}'", **exit_cited)),
+        ("after_exit AND NOT settlement AND NOT open_record", _finding_sql(
+            "EXIT_TOO_EARLY", f"CASE WHEN later_sources >= 2 THEN '{rules.BLOCKING}' ELSE '{rules.DEGRADED}' END", **exit_cited)),
+        (f"records IS NOT NULL AND {late_join} > {rules.JOIN_GAP_MONTHS} AND NOT open_record", _finding_sql(
+            "JOIN_SUSPECT", f"'{rules.DEGRADED}'", late_join, 0, "ord * 4 + 2", "account_id")),
+        ("records IS NULL AND size(seen) > 0", _finding_sql(
+            "ORPHAN_ACCOUNT", f"'{rules.OPPORTUNITY}'", f"{month('latest')} - {month('earliest')} + 1", 3,
+            f"array_min({of('seen', 'first_ord')})")),
+        ("first AND size(missing) > 0", _finding_sql(
+            "CONTRIBUTION_GAP", f"'{rules.BLOCKING}'", "size(missing)", 4, "0",
+            first_evidence="make_date(CAST(floor(fund_first / 12) AS INT), fund_first % 12 + 1, 1)")),
+    ]
+    found = ", ".join(f"CASE WHEN {condition} THEN {finding} END" for condition, finding in checks)
+    return rows.selectExpr(
+        *PARTY, f"array_compact(array({found})) AS found",
+        f"""CASE WHEN counts IS NOT NULL THEN named_struct(
+              'ord', array_min(transform(records, r -> r.ord)), 'start', counts.doj, 'end', coalesce(counts.doe, {today}),
+              'c_start', least(counts.doj, earliest), 'c_end', greatest(coalesce(counts.doe, {today}), latest)) END AS interval""",
+        "CASE WHEN open_record THEN named_struct('account_id', account_id, 'doj', doj, 'doe', doe, 'ord', ord) END AS undecided")
 
 
 def finding_evidence(findings, observations, days, asserted, windows, as_of) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corrobora import rules
 from corrobora.functions.dates import month_from_no, month_no, stamp
+from corrobora.operators.spread import busy_keys
 
 PARTY = ["member_key", "party_key"]
 
@@ -24,6 +25,87 @@ def evidence_days(observations: DataFrame) -> DataFrame:
     )
 
 
+def party_rows(observations: DataFrame, asserted: DataFrame, merged=None) -> DataFrame:
+    """One row per party: its days of evidence and its records, as lists (``days``, ``records``; null if there are none).
+
+    ``days`` is what ``evidence_days`` has of the party, in order, with the last ``ord``, the number of amounts and whether
+    every observation of the day has a place (``placed``), so a row is bounded by the calendar. A last ``ord`` or greatest
+    amount is null if it is the first or least as well, as it nearly always is (``last_of``). Observations cross the
+    network once, to their party. Only parties with very many are reduced to days before they do, as no task should read
+    them all; they are found in a sample. ``merged`` is done to the rows of a party when they are together and may give
+    each the number of times it counts (``copies``).
+    """
+    if merged is None:
+        observations = observations.select(*PARTY, "source", "obs_date", "ord", "amount")
+    busy = busy_keys(observations, PARTY, ["source", "obs_date", "ord"])
+
+    def day_facts(rows):
+        return _day_facts(rows if merged is None else merged(rows))
+    if busy is None:
+        return with_records(_in_rows(day_facts(observations.repartition(*PARTY))), asserted)
+    rest = day_facts(observations.join(busy, PARTY, "left_anti").repartition(*PARTY))
+    reduced = day_facts(observations.join(busy, PARTY, "left_semi")).repartition(*PARTY)
+    return with_records(_in_rows(rest).unionByName(_in_rows(reduced)), asserted)
+
+
+def with_records(parties: DataFrame, asserted: DataFrame) -> DataFrame:
+    """``party_rows`` with the records of another table in place."""
+    records = asserted.groupBy(*PARTY).agg(F.collect_list(F.struct("ord", "account_id", "doj", "doe")).alias("records"))
+    return parties.select(*PARTY, "days").join(records, PARTY, "full")
+
+
+def _day_facts(observations):
+    copies = F.col("copies") if "copies" in observations.columns else F.lit(1).cast("bigint")
+
+    def number(column):
+        return F.sum(F.when(F.col(column).isNotNull(), copies).otherwise(0))
+    return observations.groupBy(*PARTY, "source", "obs_date").agg(
+        F.sum(copies).alias("n_obs"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"),
+        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
+        number("amount").alias("n_amounts"), number("ord").alias("n_ord"))
+
+
+def _in_rows(days):
+    def other(last, first):
+        return F.when(F.col(last) != F.col(first), F.col(last)).alias(last)
+    return days.groupBy(*PARTY).agg(F.sort_array(F.collect_list(F.struct(
+        "obs_date", "source", "n_obs", "first_ord", other("last_ord", "first_ord"), "min_amount",
+        other("max_amount", "min_amount"), "n_amounts", (F.col("n_ord") == F.col("n_obs")).alias("placed")))).alias("days"))
+
+
+def last_of(day, last, first):
+    """The last ``ord`` or greatest amount of an element of ``days``."""
+    return F.coalesce(day[last], day[first])
+
+
+def days_in(parties: DataFrame) -> DataFrame:
+    """``evidence_days`` back from ``party_rows``; nothing is moved."""
+    return parties.filter(F.col("days").isNotNull()).select(*PARTY, F.explode_outer("days").alias("d")).select(
+        *PARTY, "d.source", "d.obs_date", "d.n_obs", "d.first_ord", "d.min_amount",
+        last_of(F.col("d"), "max_amount", "min_amount").alias("max_amount"))
+
+
+def sources_in(parties: DataFrame) -> DataFrame:
+    """The sources of each party of ``party_rows`` with any evidence."""
+    return parties.filter(F.col("days").isNotNull()).select(
+        *PARTY, F.array_distinct(F.transform("days", lambda d: d["source"])).alias("sources"))
+
+
+def party_windows(parties: DataFrame, asserted_source=rules.ASSERTED_SOURCE) -> DataFrame:
+    """A4 of ``party_rows``; nothing is moved."""
+    days = F.col("days") if asserted_source is None else F.filter("days", lambda d: d["source"] != asserted_source)
+    seen = parties.select(*PARTY, days.alias("seen")).filter(F.size("seen") > 0)
+
+    def of(column):
+        return F.transform("seen", lambda d: d[column])
+    return seen.select(
+        *PARTY, F.array_min(of("obs_date")).alias("earliest"), F.array_max(of("obs_date")).alias("latest"),
+        F.array_sort(F.array_compact(F.array_distinct(of("source")))).alias("sources"),
+        F.aggregate(of("n_obs"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_obs"),
+        F.array_min(of("first_ord")).alias("first_ord"),
+    ).withColumn("n_sources", F.size("sources"))
+
+
 def support_windows(days: DataFrame, asserted_source=rules.ASSERTED_SOURCE) -> DataFrame:
     """A4: envelope of the independent evidence per member and party."""
     independent = days if asserted_source is None else days.filter(

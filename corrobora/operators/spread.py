@@ -58,25 +58,47 @@ def _in_buckets(df, order, name) -> DataFrame:
     return df.withColumn(name, F.when(F.col("_splitters").isNull(), 0).otherwise(F.size(passed)))
 
 
-def position_in_order(df: DataFrame, keys, order, name="position", rows_per_bucket=BUCKET_ROWS) -> DataFrame:
+def position_in_order(df: DataFrame, keys, order, name="position", rows_per_bucket=BUCKET_ROWS, totals=None) -> DataFrame:
     """row_number over ``keys`` in the whole ``order``, in buckets cut at sampled quantiles.
 
     Only keys with splitters have more than one bucket. Their splitters and the counts of their buckets are written, a
-    few rows that Spark knows to be few, so the rows themselves cross the network once, for the numbering.
+    few rows that Spark knows to be few, so the rows themselves cross the network once, for the numbering. ``totals`` (name
+    -> condition) adds to every row how many rows of its key meet a condition, in the same pass.
     """
+    totals = totals or {}
     splitters = cut_lineage(_splitters(df, keys, order, rows_per_bucket).filter(F.size("_splitters") > 0))
+    if splitters.isEmpty():
+        whole = Window.partitionBy(*keys)
+        return df.select(
+            "*", F.row_number().over(whole.orderBy(*order)).cast("bigint").alias(name),
+            *[F.count_if(condition).over(whole).alias(total) for total, condition in totals.items()])
     rows = _in_buckets(df.join(splitters, list(keys), "left"), order, "_span")
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys)
+    before = across.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut_lineage(
-        rows.filter(F.col("_splitters").isNotNull()).groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_span", F.sum("_n").over(before).alias("_before")))
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
-    return (
-        rows.drop("_splitters").withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_span"], "left")
-        .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
-        .drop("_span", "_before", "_inside")
-    )
+        rows.filter(F.col("_splitters").isNotNull()).groupBy(*keys, "_span").agg(
+            F.count(F.lit(1)).alias("_n"), *[F.count_if(condition).alias(f"_{total}") for total, condition in totals.items()])
+        .select(*keys, "_span", F.sum("_n").over(before).alias("_before"),
+                *[F.sum(f"_{total}").over(across).alias(f"_{total}") for total in totals]))
+    inside = Window.partitionBy(*keys, "_span")
+    numbered = rows.drop("_splitters").select(
+        "*", F.row_number().over(inside.orderBy(*order)).alias("_inside"),
+        *[F.count_if(condition).over(inside).alias(total) for total, condition in totals.items()])
+    numbered = numbered.join(offsets, [*keys, "_span"], "left").withColumn(
+        name, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
+    return numbered.withColumns({total: F.coalesce(f"_{total}", total) for total in totals}).drop(
+        "_span", "_before", "_inside", *[f"_{total}" for total in totals])
+
+
+def busy_keys(df: DataFrame, keys, place, rows=BUCKET_ROWS) -> DataFrame | None:
+    """Keys with about ``rows`` rows or more, as a written table of a few rows; None if there are none.
+
+    One row in ``rows / SAMPLES`` is taken by a hash of keys and ``place``, which should nearly tell the rows of a key apart.
+    """
+    sampled = df.filter(F.pmod(F.xxhash64(*keys, *place), F.lit(max(1, rows // SAMPLES))) == 0)
+    busy = cut_lineage(
+        sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SAMPLES).select(*keys).dropna())
+    return None if busy.isEmpty() else busy
 
 
 def following_row(df: DataFrame, keys, bucket: Column, order, payload: Column, name) -> DataFrame:
@@ -158,13 +180,13 @@ def totals_as_of(events: DataFrame, asks: DataFrame, keys, day, counters) -> Dat
     sum, so one key holds at most as many rows as the calendar has days, and no
     event is ever paired with an ask.
     """
-    daily = events.groupBy(*keys, day).agg(*[F.sum(c).alias(c) for c in counters])
-    asked = asks.select(*keys, day).distinct().withColumn("_asked", F.lit(True))
+    rows = events.select(*keys, day, *counters, F.lit(None).cast("boolean").alias("_asked")).unionByName(
+        asks.select(*keys, day, F.lit(True).alias("_asked")), allowMissingColumns=True)
+    timeline = rows.groupBy(*keys, day).agg(*[F.sum(c).alias(c) for c in counters], F.max("_asked").alias("_asked"))
     upto = (
         Window.partitionBy(*keys).orderBy(day)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    timeline = asked.join(daily, [*keys, day], "full")
     return (
         timeline.select(
             *keys, day, "_asked",

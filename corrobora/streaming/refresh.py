@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora.contracts import CONTRACTS
 from corrobora.operators.detectors import FINDING_COLUMNS, all_findings
-from corrobora.operators.envelopes import evidence_days
+from corrobora.operators.envelopes import PARTY, party_rows
 from corrobora.session import cut_lineage
 
 COMPACT_AFTER = 8  # deltas of a bucket
@@ -69,6 +69,24 @@ def bucket_state(spark: SparkSession, store: str, batch_id: int, buckets: list[i
     return rows, [b for b in buckets if waiting.get(b, 0) + 1 >= COMPACT_AFTER]
 
 
+def touched_rows(state: DataFrame, touched: DataFrame, asserted: DataFrame) -> DataFrame:
+    """``party_rows`` of the members in ``touched``, from unmerged ``state``.
+
+    State rows cross the network once, to their party, where they are matched with the parties of these members, merged
+    and reduced to days.
+    """
+    record = asserted.join(touched, "member_key", "left_semi")
+    named = state.filter(F.col("party_key").isNotNull())
+    parties = cut_lineage(named.select(*PARTY).distinct().join(touched, "member_key", "left_semi"))
+    told = party_rows(named.join(parties, PARTY, "left_semi"), record, merged_copies)
+    unnamed = state.filter(F.col("party_key").isNull())
+    if unnamed.isEmpty():
+        return told
+    # a row without a party can be matched by its member alone and meets no record
+    return told.unionByName(party_rows(
+        unnamed.join(touched, "member_key", "left_semi"), record.filter(F.lit(False)), merged_copies))
+
+
 def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame, as_of, checkpoint: str,
                             buckets=64):
     """Recompute the findings of the members each batch touches, and nobody else's.
@@ -90,7 +108,7 @@ def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame,
             return
         place = f"{store}/evidence/batch={batch_id}"
         (row_copies(batch.withColumn("bucket", bucket))
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/kind=delta"))
+         .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{place}/kind=delta"))
         fresh = spark.read.parquet(f"{place}/kind=delta")
         fresh.select("member_key").distinct().write.mode("overwrite").parquet(f"{store}/members/batch={batch_id}")
         touched = spark.read.parquet(f"{store}/members/batch={batch_id}")
@@ -99,13 +117,12 @@ def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame,
         state, due = bucket_state(spark, store, batch_id, changed)
         if due:
             (merged_copies(state.filter(F.col("bucket").isin(due)).repartition(*DEALT))
-             .write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/kind=base"))
-        # every detector reads these three, so each is worked out once and written
-        evidence = cut_lineage(repeated(merged_copies(
-            state.join(touched, "member_key", "left_semi").repartition(*DEALT)).drop("bucket")))
-        record = cut_lineage(asserted.join(touched, "member_key", "left_semi"))
-        (all_findings(evidence, record, as_of, cut_lineage(evidence_days(evidence)))
-         .write.mode("overwrite").parquet(f"{store}/findings/batch={batch_id}"))
+             .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{place}/kind=base"))
+        state = state.drop("bucket")
+        # the rows of parties hold all but a few answers, for which observations are put together again
+        evidence = repeated(merged_copies(state.join(touched, "member_key", "left_semi")))
+        (all_findings(evidence, asserted, as_of, parties=touched_rows(state, touched, asserted))
+         .write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/findings/batch={batch_id}"))
         (spark.createDataFrame([(b, b in due) for b in changed], "bucket int, compacted boolean").coalesce(1)
          .write.mode("overwrite").parquet(f"{store}/index/batch={batch_id}"))
 
@@ -116,7 +133,14 @@ def refresh_findings_stream(stream: DataFrame, store: str, asserted: DataFrame,
 
 
 def current_findings(spark: SparkSession, store: str) -> DataFrame:
-    """The findings of every member as of the latest batch that touched it."""
-    latest = spark.read.parquet(f"{store}/members").groupBy("member_key").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{store}/findings").join(latest, ["member_key", "batch"], "left_semi").select(
-        *FINDING_COLUMNS)
+    """The findings of every member as of the latest batch that touched it.
+
+    All findings of the last batch are current; of those before, members that no later batch touched are looked up.
+    """
+    members, findings = spark.read.parquet(f"{store}/members"), spark.read.parquet(f"{store}/findings")
+    last = members.agg(F.max("batch")).first()[0]
+    earlier = cut_lineage(
+        members.groupBy("member_key").agg(F.max("batch").alias("batch")).filter(F.col("batch") < last))
+    return findings.filter(F.col("batch") == last).unionByName(
+        findings.filter(F.col("batch") < last).join(earlier, ["member_key", "batch"], "left_semi")
+    ).select(*FINDING_COLUMNS)
