@@ -14,11 +14,10 @@ def plan_steps(findings: DataFrame, closed: DataFrame = None) -> DataFrame:
     """
     actions = findings.filter(F.col("severity").isin(rules.BLOCKING, rules.OPPORTUNITY))
     late = F.col("kind").isin(rules.SECOND_WAVE_KINDS)
-    first_wave = actions.groupBy("member_key").agg(F.count_if(~late).alias("n_first"))
     attested = ~late & F.col("is_closed") & (F.col("route") == rules.JOINT_DECLARATION)
     numbered = position_in_order(
         actions.withColumn("severity_rank", severity_rank()).withColumn("late", late), ["member_key"],
-        ["late", "severity_rank", "phase", "ord", "party_key", "kind"], "step_no")
+        ["late", "severity_rank", "phase", "ord", "party_key", "kind"], "step_no", totals={"n_first": ~F.col("late")})
     # numbering reads its rows more than once, so what it does not need joins after it
     if closed is None:
         numbered = numbered.withColumn("is_closed", F.lit(False))
@@ -28,7 +27,7 @@ def plan_steps(findings: DataFrame, closed: DataFrame = None) -> DataFrame:
         numbered = numbered.join(closed, ["member_key", "party_key"], "left").withColumn(
             "is_closed", F.coalesce("_closed", F.lit(False)))
     waits = late & (F.col("n_first") > 0)
-    return numbered.join(first_wave, "member_key").select(
+    return numbered.filter(F.col("member_key").isNotNull()).select(
         "member_key", "step_no", "kind", "party_key", "party_key_2", "route",
         F.when(attested, rules.ATTESTED_DAYS).otherwise(F.col("days")).alias("days"),
         F.when(waits, 2).otherwise(1).alias("wave"),
