@@ -9,7 +9,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from corrobora import rules
-from corrobora.operators import detectors, envelopes, spread
+from corrobora.operators import detectors, envelopes, planning, spread
+from corrobora.plans import decision_queries
 from corrobora.session import cut_lineage
 from corrobora.streaming import refresh
 
@@ -103,3 +104,23 @@ def test_state_moves_once_for_the_rows_of_parties(spark):
     record = asserted.join(touched, "member_key", "left_semi")
     told = refresh.touched_rows(state, touched, asserted)
     assert counted(detectors.all_findings(rows, record, AS_OF, parties=told)) == by_detectors(rows, record)
+
+
+def test_steps_are_counted_where_they_are_numbered(spark):
+    found = spark.createDataFrame(
+        [("a", "MISSING_EXIT", "p", None, "BLOCKING", 0, 0), ("a", "ORPHAN_ACCOUNT", "q", None, "OPPORTUNITY", 3, 5),
+         ("b", "ORPHAN_ACCOUNT", "p", None, "OPPORTUNITY", 3, 1), ("a", "JOIN_SUSPECT", "p", None, "DEGRADED", 0, 2),
+         (None, "MISSING_EXIT", "p", None, "BLOCKING", 0, 0)],
+        "member_key string, kind string, party_key string, party_key_2 string, severity string, phase int, ord long").withColumns(
+        {"route": F.lit(rules.SELF_SERVICE), "days": F.lit(1)})
+    steps = planning.plan_steps(cut_lineage(found))
+    assert "Join" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.member_key, r.step_no, r.kind, r.wave, r.n_deps) for r in steps.collect()) == [
+        ("a", 1, "MISSING_EXIT", 1, 0), ("a", 2, "ORPHAN_ACCOUNT", 2, 1), ("b", 1, "ORPHAN_ACCOUNT", 1, 0)]
+
+
+def test_corrections_look_at_their_members_only(spark):
+    *_, parties, record, _, after, touched = decision_queries._corrected(spark, "/root/testdata/sf0.001")
+    members = {r[0] for r in touched.collect()}
+    assert {r[0] for r in parties.select("member_key").collect()} == members
+    assert {r[0] for r in record.select("member_key").collect()} == members == {r[0] for r in after.select("member_key").collect()}
